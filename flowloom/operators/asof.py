@@ -22,14 +22,14 @@ def attach_global_series(series: DataFrame) -> DataFrame:
     after seeing its real size.
     """
     own = series.where(F.col("pid").isNotNull())
-    shared = series.where(F.col("pid").isNull() & (F.col("kind") == POLLED))
-    mine = own.where(F.col("kind") == POLLED).select("pid", "feature").distinct()
+    polled = series.where(F.col("kind") == POLLED)
+    shared = polled.where(F.col("pid").isNull())
     names = shared.agg(F.collect_set("feature").alias("n")).scalar()
     pairs = (
-        mine.select("pid")
-        .distinct()
-        .select("pid", F.explode(names).alias("feature"))
-        .join(mine, ["pid", "feature"], "left_anti")
+        polled.where(F.col("pid").isNotNull())
+        .groupBy("pid")
+        .agg(F.collect_set("feature").alias("mine"))
+        .select("pid", F.explode(F.array_except(names, F.col("mine"))).alias("feature"))
     )
     copies = shared.drop("pid").join(pairs, "feature")
     return own.unionByName(copies.select(*own.columns))
@@ -109,7 +109,7 @@ def extract_features(
 
     named = flows.select(F.struct(*flows.columns).alias("_flow"), F.col("start_ts_ns").alias("ts_ns"))
     placed = spread(splits.on("ts_ns").attach(named, subdivide=False), splits, by=["_flow"])
-    probes = fan_out_by_pid(placed, pids if pids is not None else pid_union(owned))
+    probes = fan_out_by_pid(placed, pids if pids is not None else pid_union(series))
     both = copy_to_salts(samples, splits).unionByName(probes, allowMissingColumns=True)
     running = (
         Window.partitionBy("pid", CHUNK, "_salt")

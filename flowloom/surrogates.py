@@ -28,7 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = table(spark, sf_dir, "events")
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def shape_events(raw: DataFrame) -> DataFrame:
+    """The event columns the surrogates use; the session zone must be UTC."""
     return raw.select(
         "event_id",
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
