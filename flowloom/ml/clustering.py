@@ -75,7 +75,8 @@ def lloyd_step(df: DataFrame, centres: Sequence[Sequence[float]]) -> list[list[f
             if len(batch):
                 points = np.stack(batch["features"].to_numpy()).astype("float64")
                 best, _ = nearest(points, fixed)
-                np.add.at(sums, best, points)
+                for index in np.unique(best):
+                    sums[index] += points[best == index].sum(axis=0)
                 counts += np.bincount(best, minlength=len(fixed))
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"c": used, "n": counts[used], "s": list(sums[used])})

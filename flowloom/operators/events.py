@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,19 @@ def collective_events(calls: DataFrame) -> DataFrame:
     return calls.select(*keep, collective_bytes(F.col("count"), F.col("dtype")).cast("bigint").alias("size"))
 
 
-def name_records(events: DataFrame) -> DataFrame:
-    """STF-05: the record a probe writes; unknown probes write none and drop out."""
-    record = F.lit(None).cast("string")
-    for probe, name in PROBE_RECORD.items():
-        record = F.when(F.col("probe") == probe, F.lit(name)).otherwise(record)
-    return events.withColumn("record", record).where(F.col("record").isNotNull())
+def probes_of(records: Iterable[str]) -> list[str]:
+    """The probes that write the given records."""
+    wanted = set(records)
+    return [probe for probe, record in PROBE_RECORD.items() if record in wanted]
+
+
+def name_records(events: DataFrame, records: Iterable[str] = tuple(PROBE_RECORD.values())) -> DataFrame:
+    """STF-05: the record a probe writes; events of other probes drop out.
+
+    Rows are chosen by probe, so the choice can be pushed to the scan.
+    """
+    names = F.create_map(*[F.lit(word) for pair in PROBE_RECORD.items() for word in pair])
+    return events.where(F.col("probe").isin(probes_of(records))).withColumn("record", names[F.col("probe")])
 
 
 def route_records(
@@ -59,24 +68,23 @@ def route_records(
     collective sizes are summed per interval; the rest pass straight through.
     System-wide probes are summed once and then copied to every pid.
     """
-    named = name_records(events)
-    if not gpu:
-        named = named.where(~F.col("record").isin(list(GPU_RECORDS)))
+    wanted = [r for r in PROBE_RECORD.values() if gpu or r not in GPU_RECORDS]
     traced = pids.select(F.col("pid").cast("string"))
-    shared = F.col("record").isin(list(SYSTEM_WIDE_RECORDS))
-    mine = named.withColumn("pid", F.col("pid").cast("string")).where(~shared).join(traced, "pid", "left_semi")
-    sampled = F.col("record").isin(list(SAMPLED_RECORDS))
-    straight = mine.where(F.col("record").isin(list(DIRECT_RECORDS))).select("record", "pid", "ts_ns", "size")
-    totals = interval_accumulate(
-        mine.where(sampled)
-        .unionByName(named.where(shared).withColumn("pid", F.lit(None).cast("string")))
-        .select("record", "pid", "ts_ns", "size", "ord"),
-        interval_ns,
-        ("record", "pid"),
-        rows_per_task=rows_per_task,
-    )
+
+    def owned(records: Iterable[str]) -> DataFrame:
+        rows = name_records(events, records).withColumn("pid", F.col("pid").cast("string"))
+        return rows.join(traced, "pid", "left_semi")
+
+    columns = ["record", "pid", "ts_ns", "size", "ord"]
+    straight = owned([r for r in wanted if r in DIRECT_RECORDS])
+    summed = owned([r for r in wanted if r in SAMPLED_RECORDS and r not in SYSTEM_WIDE_RECORDS]).select(*columns)
+    shared = [r for r in wanted if r in SYSTEM_WIDE_RECORDS]
+    if shared:
+        everywhere = name_records(events, shared).withColumn("pid", F.lit(None).cast("string"))
+        summed = summed.unionByName(everywhere.select(*columns))
+    totals = interval_accumulate(summed, interval_ns, ("record", "pid"), rows_per_task=rows_per_task)
     listed = traced.agg(F.collect_set("pid").alias("p")).scalar()
     copied = totals.withColumn(
         "pid", F.explode(F.when(F.col("pid").isNotNull(), F.array("pid")).otherwise(listed))
     )
-    return straight.unionByName(copied.select("record", "pid", "ts_ns", "size"))
+    return straight.select("record", "pid", "ts_ns", "size").unionByName(copied.select("record", "pid", "ts_ns", "size"))

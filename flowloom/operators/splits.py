@@ -30,22 +30,26 @@ HALO = "_halo"
 
 SAMPLES_PER_TASK = 64
 SUB_CHUNKS = 1 << 20
-# A plan estimated below this many bytes per task-row cannot hold a hot key.
+# Sources below this many bytes per task-row are not worth sampling for hot keys.
 SMALL_ROW_BYTES = 8
 # Positions within a key run from 0 up to this.
 TOP = 1.0 - 1e-6
 
 
-def _plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, or None where the session does not expose it."""
+def _source_bytes(df: DataFrame) -> int | None:
+    """Size of everything the plan reads, or None where the session does not expose it.
+
+    Leaves are measured files; estimates higher up multiply at every join.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 
 
 def is_small(df: DataFrame, rows_per_task: int) -> bool:
-    size = _plan_bytes(df)
+    size = _source_bytes(df)
     return size is not None and size < rows_per_task * SMALL_ROW_BYTES
 
 

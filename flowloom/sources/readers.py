@@ -66,19 +66,22 @@ def parse_capture_text(lines: DataFrame, column: str = "value") -> DataFrame:
     Greedy matching takes the last ``length`` of a line.
     """
     text = F.col(column)
+    rest = [c for c in lines.columns if c != column]
+    # one match per line: the six parts, joined by blanks that none of them contains
+    parts = F.split(F.regexp_replace(text, CAPTURE_LINE + ".*$", "$1 $2 $3 $4 $5 $6"), " ")
+    found = lines.where(text.rlike(CAPTURE_LINE)).select(parts.alias("_parts"), *rest)
 
     def part(i: int):
-        return F.regexp_extract(text, CAPTURE_LINE, i)
-
-    rest = [c for c in lines.columns if c != column]
-    return lines.where(text.rlike(CAPTURE_LINE)).select(
-        epoch_s_to_ns(part(1)).alias("ts_ns"),
-        epoch_s_text(part(1)).alias("timestamp_epoch_s"),
-        part(2).alias("source_ip"),
-        part(3).cast("int").alias("source_port"),
-        part(4).alias("destination_ip"),
-        part(5).cast("int").alias("destination_port"),
-        part(6).cast("bigint").alias("packet_size"),
+        return F.col("_parts")[i]
+
+    return found.select(
+        epoch_s_to_ns(part(0)).alias("ts_ns"),
+        epoch_s_text(part(0)).alias("timestamp_epoch_s"),
+        part(1).alias("source_ip"),
+        part(2).cast("int").alias("source_port"),
+        part(3).alias("destination_ip"),
+        part(4).cast("int").alias("destination_port"),
+        part(5).cast("bigint").alias("packet_size"),
         *rest,
     )
 

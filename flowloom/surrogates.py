@@ -7,7 +7,7 @@ documents.  Nothing here samples or limits its table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.config import Settings
@@ -152,23 +152,27 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per conversation; its user turns are the questions.
+    """One document per user turn: its question, with the conversation's system turn as context.
 
-    A conversation is one document, so its turns form one row, as in the input
-    format; the answer of a question is the assistant turn directly after it.
+    The answer is the assistant turn numbered directly after the question.  It
+    is found by an equi-join on (conversation, turn), so a very long
+    conversation is neither sorted in one task nor gathered into one row.
     """
     turns = table(spark, sf_dir, "conversations")
-    line = Window.partitionBy("conv_id").orderBy("turn")
-    answered = turns.withColumn("_role", F.lead("role").over(line)).withColumn("_text", F.lead("text").over(line))
-    answers = F.when(
-        F.col("_role") == "assistant", F.array(F.struct(F.col("_text").alias("text")))
-    ).otherwise(F.array().cast("array<struct<text:string>>"))
-    qa = F.struct("turn", F.struct(F.col("text").alias("question"), answers.alias("answers")).alias("qa"))
-    docs = answered.groupBy("conv_id").agg(
-        F.coalesce(F.max(F.when(F.col("role") == "system", F.col("text"))), F.lit("")).alias("context"),
-        F.sort_array(F.collect_list(F.when(F.col("role") == "user", qa))).alias("qas"),
+    replies = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.array(F.struct(F.col("text"))).alias("reply")
     )
-    paragraph = F.struct("context", F.transform("qas", lambda x: x["qa"]).alias("qas"))
-    return docs.select(
+    heads = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.max("text").alias("context"))
+    asked = (
+        turns.where(F.col("role") == "user")
+        .join(replies, ["conv_id", "turn"], "left")
+        .join(heads, "conv_id", "left")
+    )
+    answers = F.coalesce("reply", F.array().cast("array<struct<text:string>>"))
+    question = F.struct(F.col("text").alias("question"), answers.alias("answers"))
+    paragraph = F.struct(
+        F.coalesce("context", F.lit("")).alias("context"), F.array(question).alias("qas")
+    )
+    return asked.select(
         F.struct(F.col("conv_id").cast("string").alias("title"), F.array(paragraph).alias("paragraphs")).alias("data")
     )
