@@ -72,9 +72,9 @@ def running_bytes(packets: DataFrame, rows_per_task: int = 4_000_000) -> DataFra
 def counter_splits(packets: DataFrame, vantage_ip: str | None, rows_per_task: int = 4_000_000) -> Splits:
     """Cuts per address.  Flow starts are packet times, so packets stand for both sides."""
     if vantage_ip:
-        basis = packets.select(F.lit(vantage_ip).alias("ip"), "ts_ns")
-    else:
-        basis = byte_moves(packets, None).select("ip", "ts_ns")
+        # a single address: its whole time line is what needs cutting
+        return find_splits(packets.select("ts_ns"), (), "ts_ns", None, rows_per_task)
+    basis = byte_moves(packets, None).select("ip", "ts_ns")
     return find_splits(basis, ("ip",), "ts_ns", None, rows_per_task)
 
 
@@ -135,10 +135,13 @@ def _carry_forward(cut_moves: DataFrame, splits: Splits) -> DataFrame:
         .withColumn("bytes_in", F.sum("i").over(upto))
         .withColumn("bytes_out", F.sum("o").over(upto))
         .withColumn("_next", F.lead(CHUNK).over(by_ip))
-        .join(F.broadcast(splits.hot_keys(cut_moves).select("ip", "_last")), "ip")
-        .withColumn("_until", F.coalesce("_next", "_last"))
-        .where(F.col("_until") > F.col(CHUNK))
     )
+    if splits.keys:
+        # one row per hot address
+        totals = totals.join(F.broadcast(splits.hot_keys(cut_moves).select("ip", "_last")), "ip")
+    else:
+        totals = totals.withColumn("_last", F.lit(splits.last_chunk).cast("long"))
+    totals = totals.withColumn("_until", F.coalesce("_next", "_last")).where(F.col("_until") > F.col(CHUNK))
     return totals.select(
         "ip",
         F.explode(F.sequence(F.col(CHUNK) + 1, F.col("_until"))).alias(CHUNK),
