@@ -125,7 +125,9 @@ def interval_accumulate(
             int(piece["_pending"].iloc[0]),
             exact,
         )
-        out = pd.DataFrame({"ts_ns": np.array(stamps, "int64"), "size": np.array(sums, "int64")})
+        if not stamps:
+            return pd.DataFrame()
+        out = pd.DataFrame({"ts_ns": stamps, "size": sums}, dtype="int64")
         for place, name in enumerate(series):
             out.insert(place, name, [piece[name].iloc[0]] * len(out))
         return out

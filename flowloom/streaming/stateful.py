@@ -42,10 +42,11 @@ def interval_stream(
             last = int(np.searchsorted(ts, stamps[-1] + interval_ns, side="left"))
             prev, pending = int(ts[last]), int(size[last + 1 :].sum())
         held.update((prev, pending))
-        out = pd.DataFrame({"ts_ns": np.array(stamps, "int64"), "size": np.array(sums, "int64")})
-        for place, (name, value) in enumerate(zip(series, key)):
-            out.insert(place, name, [value] * len(out))
-        yield out
+        if stamps:
+            out = pd.DataFrame({"ts_ns": stamps, "size": sums}, dtype="int64")
+            for place, (name, value) in enumerate(zip(series, key)):
+                out.insert(place, name, [value] * len(out))
+            yield out
 
     rows = events.select(*series, "ts_ns", "size", "ord")
     return rows.groupBy(*series).applyInPandasWithState(
@@ -71,9 +72,10 @@ def write_pair_stream(log: DataFrame, pid: int | None = None) -> DataFrame:
         last, opened = kinds.iloc[-1], turn.iloc[-1] in (ENTER, "sent")
         held.update(("sent" if opened and last in (SEND, "sent") else ENTER if opened else EXIT,))
         done = rows[written]
-        yield pd.DataFrame(
-            {"id": key[0], "ts_ns": done["ts_ns"], "size": done["ret"].astype("int64"), "ord": done["ord"]}
-        )
+        if len(done):
+            yield pd.DataFrame(
+                {"id": key[0], "ts_ns": done["ts_ns"], "size": done["ret"].astype("int64"), "ord": done["ord"]}
+            )
 
     rows = keep_target_enters(log.where(log["kind"].isin(ENTER, SEND, EXIT)), pid)
     return (
