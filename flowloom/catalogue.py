@@ -174,7 +174,7 @@ def _probe_events(spark, sf):
 
 def event_routing(spark, sf):
     probes = _probe_events(spark, sf)
-    traced = probes.select("pid").where(F.col("pid") < 1003).distinct()
+    traced = probes.select("pid").distinct()
     return events.route_records(probes, traced, INTERVAL_NS, gpu=True)
 
 

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.splits import SAMPLES_PER_TASK, is_small
 from flowloom.session import checkpoint
 
 # Reset probability and starting rank.
@@ -24,47 +25,63 @@ def exists_check(df: DataFrame, what: str) -> DataFrame:
 
 @dataclass
 class Graph:
-    """``edges``: src, dst, copies, lane.  ``vertices``: id, outdeg, lanes."""
+    """``edges``: src, dst, copies, lane, placed by ``join_on``.  ``vertices``: id, outdeg, lanes."""
 
     edges: DataFrame
     vertices: DataFrame
+    join_on: list[str]
 
     def unpersist(self) -> None:
         self.edges.unpersist()
         self.vertices.unpersist()
 
 
+def _hubs(edges: DataFrame, rows_per_task: int) -> list[tuple[int, int]]:
+    """Sources with more edges than a task should hold, and how many lanes they need.
+
+    Found in a sample; at most edges / rows_per_task of them.
+    """
+    if is_small(edges, rows_per_task):
+        return []
+    fraction = min(1.0, SAMPLES_PER_TASK / rows_per_task)
+    step = max(1, round(rows_per_task * fraction))
+    sample = edges.select("src") if fraction == 1.0 else edges.select("src").sample(fraction=fraction, seed=17)
+    found = sample.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * step)
+    return [(r["src"], -(-r["n"] // step)) for r in found.collect()]
+
+
 def build_graph(edges: DataFrame, rows_per_task: int = 4_000_000) -> Graph:
     """GRF-01: vertices are all endpoints; parallel edges and self-loops count.
 
-    Parallel edges become one row with a count, which never grows the table.
-    The edges of a vertex with a very large out-degree are spread over lanes,
-    so that the join on source never puts them all into one task.
+    Parallel edges become one row with a count, summed before the shuffle.  The
+    edges of a hub are spread over lanes by destination, so that the join on
+    source never puts them all into one task.
     """
+    hubs = _hubs(edges, rows_per_task)
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies"))
-    ends = weighted.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("id"), F.col("copies").alias("c"), F.lit(1).alias("n")),
-                F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("n")),
-            )
+    if hubs:
+        table = edges.sparkSession.createDataFrame(hubs, "src long, lanes long")
+        weighted = weighted.join(F.broadcast(table), "src", "left").withColumn(
+            "lane", F.pmod(F.xxhash64("dst"), F.coalesce("lanes", F.lit(1)))
         )
+        join_on = ["src", "lane"]
+    else:
+        weighted = weighted.withColumn("lane", F.lit(0).cast("long"))
+        join_on = ["src"]
+    placed = (
+        weighted.select("src", "dst", "copies", "lane").repartition(*join_on).persist(StorageLevel.MEMORY_AND_DISK)
     )
-    vertices = (
-        ends.groupBy("id")
-        .agg(F.sum("c").alias("outdeg"), F.sum("n").alias("_targets"))
-        .select("id", "outdeg", F.ceil((F.col("_targets") + 1) / F.lit(rows_per_task)).alias("lanes"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    # at most edges / rows_per_task vertices have more than one lane
-    wide = vertices.where(F.col("lanes") > 1).select(F.col("id").alias("src"), "lanes")
-    laned = (
-        weighted.join(F.broadcast(wide), "src", "left")
-        .withColumn("lane", F.pmod(F.xxhash64("dst"), F.coalesce("lanes", F.lit(1))))
-        .select("src", "dst", "copies", "lane")
+    none = F.lit(0).cast("long")
+    ends = F.array(
+        F.struct(F.col("src").alias("id"), F.col("copies").alias("out")), F.struct(F.col("dst").alias("id"), none.alias("out"))
     )
-    placed = laned.repartition("src", "lane").persist(StorageLevel.MEMORY_AND_DISK)
-    return Graph(placed, vertices)
+    vertices = placed.select(F.inline(ends)).groupBy("id").agg(F.sum("out").alias("outdeg"))
+    if hubs:
+        wide = table.withColumnRenamed("src", "id")
+        vertices = vertices.join(F.broadcast(wide), "id", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+    else:
+        vertices = vertices.withColumn("lanes", F.lit(1).cast("long"))
+    return Graph(placed, vertices.persist(StorageLevel.MEMORY_AND_DISK), join_on)
 
 
 def static_pagerank(
@@ -78,18 +95,15 @@ def static_pagerank(
     """
     graph = build_graph(edges, rows_per_task)
     vertices = graph.vertices
-    ranks = vertices.select("id", "outdeg", "lanes", F.lit(FIRST_RANK).alias("rank"))
+    ranks = vertices.withColumn("rank", F.lit(FIRST_RANK))
     for step in range(1, iterations + 1):
-        share = (
-            ranks.where(F.col("outdeg") > 0)
-            .select(
-                F.col("id").alias("src"),
-                (F.col("rank") / F.col("outdeg")).alias("share"),
-                F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes").cast("long") - 1)).alias("lane"),
-            )
+        share = ranks.where(F.col("outdeg") > 0).select(
+            F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("share"), "lanes"
         )
+        if "lane" in graph.join_on:
+            share = share.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
         inflow = (
-            graph.edges.join(share, ["src", "lane"])
+            graph.edges.join(share, graph.join_on)
             .groupBy(F.col("dst").alias("id"))
             .agg(F.sum(F.col("share") * F.col("copies")).alias("inflow"))
         )
@@ -101,7 +115,7 @@ def static_pagerank(
         )
         if step % checkpoint_every == 0 and step < iterations:
             ranks = checkpoint(ranks)
-    ranks = checkpoint(ranks)
+    ranks = checkpoint(ranks.select("id", "rank"))
     graph.unpersist()
     scale = ranks.agg((F.count(F.lit(1)) / F.sum("rank")).alias("s")).scalar()
     return ranks.select("id", (F.col("rank") * scale).alias("rank"))

@@ -205,7 +205,7 @@ probes AS (
 named AS (
   SELECT CASE probe {' '.join(f"WHEN '{p}' THEN '{r}'" for p, r in PROBE_RECORD.items())} END AS record,
     CAST(pid AS VARCHAR) AS pid, ts_ns, size, ord FROM probes),
-traced AS (SELECT DISTINCT pid FROM named WHERE pid < '1003')"""
+traced AS (SELECT DISTINCT pid FROM named)"""
 
 SAMPLED_LIST = ", ".join(f"'{r}'" for r in SAMPLED_RECORDS if r != "cuda_allocations")
 DIRECT_LIST = ", ".join(f"'{r}'" for r in DIRECT_RECORDS)

@@ -17,6 +17,8 @@ def build_session(app_name: str = "flowloom", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # streaming flows: merge sessions before the shuffle, which thins hot keys
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     options.update(conf)
     for key, value in options.items():

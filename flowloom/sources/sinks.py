@@ -33,20 +33,20 @@ def render_numbers(df: DataFrame) -> DataFrame:
 def write_by_pid(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """SNK-02: one output folder per pid.
 
-    Rows go straight from the tasks that hold them to their pid's folder, so a
-    pid with many rows is written by many tasks.
+    Rows are first rebalanced by pid: small pids end up in few files, and AQE
+    splits a pid with many rows over several tasks.
     """
-    writer = df.write.mode("overwrite").partitionBy("pid")
+    rows = df.hint("rebalance", "pid")
     if fmt == "csv":
-        render_numbers(df).write.mode("overwrite").partitionBy("pid").option("header", True).csv(path)
+        render_numbers(rows).write.mode("overwrite").partitionBy("pid").option("header", True).csv(path)
     else:
-        writer.format(fmt).save(path)
+        rows.write.mode("overwrite").partitionBy("pid").format(fmt).save(path)
 
 
 def write_series(series: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK-03: one output folder per (feature, pid); the folder is cleared first."""
     rows = series.select("feature", F.coalesce("pid", F.lit("system")).alias("pid"), "ts_ns", "value")
-    writer = rows.write.mode(mode).partitionBy("feature", "pid")
+    writer = rows.hint("rebalance", "feature", "pid").write.mode(mode).partitionBy("feature", "pid")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
