@@ -21,7 +21,7 @@ from flowloom.plans import dataset
 from flowloom.schemas import FLOW
 from flowloom.session import ensure_checkpoint_dir
 from flowloom.sources import proc, readers, sinks
-from flowloom.streaming import enrich, stateful
+from flowloom.streaming import batchwise, enrich, stateful
 from flowloom.streaming import flows as stream_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,11 +367,27 @@ def stream_counters(spark, sf):
 
 
 def stream_interval(spark, sf):
+    folder = scratch(spark)
+    rows = S.alloc_events_of(_event_stream(spark, sf))
+    batchwise.interval_batches(rows, INTERVAL_NS, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+def stream_interval_keyed(spark, sf):
+    """The same with per-key state in the state store."""
     found = stateful.interval_stream(S.alloc_events_of(_event_stream(spark, sf)), INTERVAL_NS)
     return enrich.run_to_table(found, scratch(spark))
 
 
 def stream_writes(spark, sf):
+    folder = scratch(spark)
+    rows = S.probe_log_of(_event_stream(spark, sf))
+    batchwise.write_pair_batches(rows, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+def stream_writes_keyed(spark, sf):
+    """The same with per-key state in the state store."""
     found = stateful.write_pair_stream(S.probe_log_of(_event_stream(spark, sf)))
     return enrich.run_to_table(found, scratch(spark))
 
@@ -388,7 +404,7 @@ def stream_asof(spark, sf):
     query = enrich.asof_stream(_event_stream(spark, sf), split, folder, POLLED, RECORDS, pids)
     query.awaitTermination()
     ages = [f"tt_{r}" for r in RECORDS]
-    found = spark.read.parquet(f"{folder}/features")
+    found = spark.read.parquet(f"{folder}/rows")
     return found.select("pid", "flow_id", *POLLED, *RECORDS, *ages)
 
 
@@ -455,7 +471,9 @@ QUERIES: dict[str, Query] = {
         stream_flows,
         stream_counters,
         stream_interval,
+        stream_interval_keyed,
         stream_writes,
+        stream_writes_keyed,
         stream_asof,
         stream_metrics,
     )

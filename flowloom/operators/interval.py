@@ -53,8 +53,8 @@ def summarise_piece(ts: np.ndarray, size: np.ndarray, interval_ns: int) -> dict:
 
 def emit_piece(
     ts: np.ndarray, size: np.ndarray, interval_ns: int, prev_ts: int, pending: int, exact: bool
-) -> tuple[list[int], list[int]]:
-    """Emissions of one piece given the state at its start.
+) -> tuple[list[int], list[int], list[int]]:
+    """Emissions of one piece given the state at its start: stamps, sums and own times.
 
     An emission is stamped with the time of the emission before it.  The
     emitting event counts twice unless ``exact``.
@@ -66,14 +66,14 @@ def emit_piece(
         chosen.append(at)
         at = follow[at]
     if not chosen:
-        return [], []
+        return [], [], []
     index = np.array(chosen)
     total = np.cumsum(size)
     sums = np.diff(total[index], prepend=-pending)
     if not exact:
         sums = sums + size[index]
     stamps = np.concatenate(([prev_ts], ts[index[:-1]]))
-    return stamps.tolist(), sums.tolist()
+    return stamps.tolist(), sums.tolist(), ts[index].tolist()
 
 
 def interval_accumulate(
@@ -84,6 +84,8 @@ def interval_accumulate(
     clock_offset_ns: int = 0,
     rows_per_task: int = 4_000_000,
     splits: Splits | None = None,
+    state: DataFrame | None = None,
+    emission_times: bool = False,
 ) -> DataFrame:
     """STF-01: per series, running size sums emitted once an interval has passed.
 
@@ -97,6 +99,9 @@ def interval_accumulate(
     series is cut along time: pieces are summarised in parallel, the summaries -
     one row per piece - are chained per series, and the pieces then emit in
     parallel from their known starting state.
+
+    ``state`` (series, prev, pending; keys not null) continues an earlier run;
+    ``emission_times`` adds ``at_ns``, the time of each emitting event.
     """
     series = list(series)
     rows = events.select(*series, "ts_ns", "size", "ord")
@@ -104,20 +109,24 @@ def interval_accumulate(
         splits = find_splits(rows, series, "ts_ns", "ord", rows_per_task)
     cut = splits.attach(rows)
     keys = [cut.schema[c] for c in series]
-    out_schema = StructType(keys + [StructField("ts_ns", LongType()), StructField("size", LongType())])
-    start = {"_prev": F.lit(0).cast("long"), "_pending": F.lit(0).cast("long")}
-    if splits.trivial:
-        begun = cut.withColumns(start)
-    else:
-        states = _piece_states(cut.where(F.col(CHUNK) > 0), series, keys, interval_ns)
+    longs = ["ts_ns", "size"] + (["at_ns"] if emission_times else [])
+    out_schema = StructType(keys + [StructField(name, LongType()) for name in longs])
+    zero = F.lit(0).cast("long")
+    begun = _with_state(cut, series, state)
+    if not splits.trivial:
+        states = _piece_states(cut.where(F.col(CHUNK) > 0), series, keys, interval_ns, state)
         # one row per cut: small whatever the input, so it is safe to broadcast
-        begun = cut.join(F.broadcast(states), [*series, CHUNK], "left").withColumns(
-            {name: F.coalesce(F.col(name), value) for name, value in start.items()}
+        begun = (
+            begun.withColumnsRenamed({"_prev": "_prev0", "_pending": "_pending0"})
+            .join(F.broadcast(states), [*series, CHUNK], "left")
+            .withColumn("_prev", F.coalesce("_prev", "_prev0", zero))
+            .withColumn("_pending", F.coalesce("_pending", "_pending0", zero))
+            .drop("_prev0", "_pending0")
         )
 
     def emit(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values(["ts_ns", "ord"], kind="stable")
-        stamps, sums = emit_piece(
+        stamps, sums, times = emit_piece(
             piece["ts_ns"].to_numpy("int64"),
             piece["size"].to_numpy("int64"),
             interval_ns,
@@ -127,7 +136,7 @@ def interval_accumulate(
         )
         if not stamps:
             return pd.DataFrame()
-        out = pd.DataFrame({"ts_ns": stamps, "size": sums}, dtype="int64")
+        out = pd.DataFrame({"ts_ns": stamps, "size": sums, "at_ns": times}, dtype="int64")[longs]
         for place, name in enumerate(series):
             out.insert(place, name, [piece[name].iloc[0]] * len(out))
         return out
@@ -136,7 +145,35 @@ def interval_accumulate(
     return emitted.withColumn("ts_ns", F.col("ts_ns") + F.lit(clock_offset_ns).cast("long"))
 
 
-def _piece_states(cut: DataFrame, series: list[str], keys: list[StructField], interval_ns: int) -> DataFrame:
+def _with_state(rows: DataFrame, series: list[str], state: DataFrame | None) -> DataFrame:
+    """Add the series' starting state, zero where there is none."""
+    zero = F.lit(0).cast("long")
+    if state is None:
+        return rows.withColumn("_prev", zero).withColumn("_pending", zero)
+    held = state.select(*series, F.col("prev").alias("_prev"), F.col("pending").alias("_pending"))
+    return rows.join(held, series, "left").fillna(0, ["_prev", "_pending"])
+
+
+def next_state(events: DataFrame, emitted: DataFrame, state: DataFrame, series: Sequence[str]) -> DataFrame:
+    """The state after ``events``, from exact sums with their emission times.
+
+    Bytes are either emitted or pending, so the pending ones follow by subtraction.
+    """
+    series = list(series)
+    none = F.lit(None).cast("long")
+    changes = (
+        state.select(*series, F.col("prev").alias("t"), F.col("pending").alias("b"))
+        .unionByName(events.select(*series, none.alias("t"), F.col("size").alias("b")))
+        .unionByName(emitted.select(*series, F.col("at_ns").alias("t"), (-F.col("size")).alias("b")))
+    )
+    return changes.groupBy(*series).agg(
+        F.coalesce(F.max("t"), F.lit(0)).alias("prev"), F.sum("b").alias("pending")
+    )
+
+
+def _piece_states(
+    cut: DataFrame, series: list[str], keys: list[StructField], interval_ns: int, state: DataFrame | None
+) -> DataFrame:
     """The state (previous time, pending bytes) with which each piece starts."""
     longs = ArrayType(LongType())
     chunk = StructField(CHUNK, LongType())
@@ -163,7 +200,8 @@ def _piece_states(cut: DataFrame, series: list[str], keys: list[StructField], in
         return pd.DataFrame([{**head, **row}])
 
     def chain(pieces: pd.DataFrame) -> pd.DataFrame:
-        prev, pending, states = 0, 0, []
+        prev, pending = int(pieces["_prev"].iloc[0]), int(pieces["_pending"].iloc[0])
+        states = []
         for piece in pieces.sort_values(CHUNK).itertuples(index=False):
             states.append((prev, pending))
             at = int(np.searchsorted(np.asarray(piece.upto), prev + interval_ns, side="left"))
@@ -176,9 +214,5 @@ def _piece_states(cut: DataFrame, series: list[str], keys: list[StructField], in
         out["_pending"] = [s[1] for s in states]
         return out
 
-    return (
-        cut.groupBy(*series, CHUNK)
-        .applyInPandas(summarise, summary_schema)
-        .groupBy(*series)
-        .applyInPandas(chain, state_schema)
-    )
+    summaries = cut.groupBy(*series, CHUNK).applyInPandas(summarise, summary_schema)
+    return _with_state(summaries, series, state).groupBy(*series).applyInPandas(chain, state_schema)

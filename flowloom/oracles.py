@@ -401,7 +401,9 @@ SELECT round((sum(pos) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label =
 moves AS (SELECT src_ip AS ip, 0 AS i, size AS o FROM packets UNION ALL SELECT dst_ip, size, 0 FROM packets)
 SELECT ip, CAST(sum(i) AS BIGINT) AS bytes_in, CAST(sum(o) AS BIGINT) AS bytes_out FROM moves GROUP BY ip""",
     "stream_interval": f"WITH RECURSIVE {EV}, {ALLOC}, {_interval('emitted', 'alloc', 'series')} SELECT * FROM emitted",
+    "stream_interval_keyed": f"WITH RECURSIVE {EV}, {ALLOC}, {_interval('emitted', 'alloc', 'series')} SELECT * FROM emitted",
     "stream_writes": WRITES,
+    "stream_writes_keyed": WRITES,
     "stream_asof": f"WITH {EV}, {STREAM_PROBES},{SERIES},{_enriched('probes', POLLED, RECORDS)} "
     f"SELECT pid, flow_id, {', '.join(POLLED + RECORDS + AGES)} FROM feat",
     "stream_metrics": METRICS,

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from flowloom.operators.asof import extract_features
 from flowloom.operators.filters import feature_allowlist
 from flowloom.operators.reshape import metrics_unpivot
 from flowloom.sources.proc import SNAPSHOT_FEATURES, parse_proc_snapshots
 from flowloom.sources.sinks import write_series
+from flowloom.streaming.batchwise import run_batches
 
-STATE_SCHEMA = "pid string, kind string, feature string, ts_ns long, value double, ord long"
+STATE_SCHEMA = StructType(
+    [StructField(n, StringType()) for n in ("pid", "kind", "feature")]
+    + [StructField("ts_ns", LongType()), StructField("value", DoubleType()), StructField("ord", LongType())]
+)
 
 
 def newest_samples(series: DataFrame) -> DataFrame:
@@ -39,32 +44,16 @@ def asof_stream(
 
     ``split`` turns a micro-batch into (flows, samples).  Each batch is enriched
     by the batch as-of operator over its own samples and the newest ones of all
-    earlier batches, so hot pids and bursts are handled as in batch.  Results
-    and the newest samples are written per batch number; a retried batch
-    rewrites its own folders and reads those of the batch before it.
+    earlier batches, so hot pids and bursts are handled as in batch.
     """
 
-    def enrich(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         flows, samples = split(batch)
-        known = _state_before(spark, folder, number)
-        held = samples.select("pid", "kind", "feature", "ts_ns", "value", "ord").unionByName(known)
-        newest_samples(held).write.mode("overwrite").parquet(f"{folder}/state/v={number}")
+        held = samples.select("pid", "kind", "feature", "ts_ns", "value", "ord").unionByName(state)
         found = extract_features(flows, held, polled, events, pids, rows_per_task)
-        found.write.mode("overwrite").parquet(f"{folder}/features/batch={number}")
+        return found, newest_samples(held)
 
-    return (
-        rows.writeStream.foreachBatch(enrich)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _state_before(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    if number == 0:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/state/v={number - 1}")
+    return run_batches(rows, step, STATE_SCHEMA, folder)
 
 
 def metric_stream(

@@ -1,4 +1,9 @@
-"""Streaming operators whose state the built-in aggregates cannot express."""
+"""Streaming operators whose state the built-in aggregates cannot express.
+
+Each key's state lives in the state store, and a key's new rows are handled by
+one task per micro-batch.  For streams in which one key may dominate use the
+batchwise forms in ``streaming.batchwise``.
+"""
 
 from __future__ import annotations
 
@@ -35,12 +40,12 @@ def interval_stream(
         prev, pending = held.get if held.exists else (0, 0)
         rows = _in_order(batches)
         ts, size = rows["ts_ns"].to_numpy("int64"), rows["size"].to_numpy("int64")
-        stamps, sums = emit_piece(ts, size, interval_ns, prev, pending, exact)
+        stamps, sums, times = emit_piece(ts, size, interval_ns, prev, pending, exact)
         pending += int(size.sum())
         if stamps:
-            # the last emission is the first event past the previous one by an interval
+            # the last emission is the first event past the one before it by an interval
             last = int(np.searchsorted(ts, stamps[-1] + interval_ns, side="left"))
-            prev, pending = int(ts[last]), int(size[last + 1 :].sum())
+            prev, pending = times[-1], int(size[last + 1 :].sum())
         held.update((prev, pending))
         if stamps:
             out = pd.DataFrame({"ts_ns": stamps, "size": sums}, dtype="int64")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import asof, flows
 from flowloom.operators.interval import interval_accumulate
 from flowloom.operators.pairing import pair_socket_writes
-from flowloom.streaming import enrich, stateful
+from flowloom.streaming import batchwise, enrich, stateful
 from flowloom.streaming import flows as stream_ops
 from tests import model
 
@@ -34,6 +34,10 @@ def test_interval_state_survives_batches(spark, tmp_path):
     stream, table = in_files(spark, tmp_path, rows, "series string, ts_ns long, size long, ord long", 4, lambda r: r[1])
     found = enrich.run_to_table(stateful.interval_stream(stream, 50), str(tmp_path / "out"))
     same(found, interval_accumulate(table, 50))
+    for rows_per_task in (10**6, 8):
+        folder = str(tmp_path / f"batchwise{rows_per_task}")
+        batchwise.interval_batches(stream, 50, folder, rows_per_task=rows_per_task).awaitTermination()
+        same(spark.read.parquet(f"{folder}/rows").drop("batch"), interval_accumulate(table, 50))
 
 
 def test_open_writes_survive_batches(spark, tmp_path):
@@ -42,6 +46,10 @@ def test_open_writes_survive_batches(spark, tmp_path):
     stream, table = in_files(spark, tmp_path, rows, "ts_ns long, id long, kind string, ret long, ord long", 5, lambda r: r[0])
     found = enrich.run_to_table(stateful.write_pair_stream(stream), str(tmp_path / "out"))
     same(found, pair_socket_writes(table))
+    for rows_per_task in (10**6, 10):
+        folder = str(tmp_path / f"batchwise{rows_per_task}")
+        batchwise.write_pair_batches(stream, folder, rows_per_task=rows_per_task).awaitTermination()
+        same(spark.read.parquet(f"{folder}/rows").drop("batch"), pair_socket_writes(table))
 
 
 def test_last_values_survive_batches(spark, tmp_path):
@@ -61,7 +69,7 @@ def test_last_values_survive_batches(spark, tmp_path):
     enrich.asof_stream(stream, split, str(tmp_path / "out"), ["rss"], ["send"], pids).awaitTermination()
     want = asof.extract_features(*split(table), ["rss"], ["send"], pids)
     assert want.where("rss is not null").count() > 0
-    same(spark.read.parquet(str(tmp_path / "out" / "features")).drop("batch"), want)
+    same(spark.read.parquet(str(tmp_path / "out" / "rows")).drop("batch"), want)
 
 
 def test_stream_flows_and_counters_equal_batch(spark, tmp_path):
