@@ -23,7 +23,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -231,6 +231,11 @@ def _keyed_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
     return result
 
 
+def _accuracy(pieces: int) -> int:
+    """Quantile accuracy well below one piece, within what a summary may hold."""
+    return max(10_000, min(20 * pieces, 1_000_000))
+
+
 def _global_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
     ts = result.ts
     n, lo, hi = sample.agg(F.count(ts), F.min(ts), F.max(ts)).first()
@@ -239,7 +244,7 @@ def _global_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
         return result
     points = [i / pieces for i in range(1, pieces)]
     found = sample.agg(
-        F.percentile_approx(ts, points, max(10_000, 20 * pieces)).alias("p")
+        F.percentile_approx(ts, points, _accuracy(pieces)).alias("p")
     ).first()["p"]
     copies: dict[int, int] = {}
     for t in found:
@@ -261,7 +266,7 @@ def _global_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
         ways = sum(c for _, _, c in result.heavy) + 1
         ties = (
             sample.join(F.broadcast(wanted), ts, "left_semi")
-            .agg(F.percentile_approx(result.tie, [i / ways for i in range(1, ways)], max(10_000, 20 * ways)))
+            .agg(F.percentile_approx(result.tie, [i / ways for i in range(1, ways)], _accuracy(ways)))
             .first()[0]
         )
         result.tie_cuts = sorted({float(v) for v in ties})
