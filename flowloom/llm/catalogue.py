@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, tokencount
+from flowloom.llm import decontaminate, privacy, quality, sharding, tokencount
+from flowloom.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def op1_privacy(spark, sf):
+    return privacy.find_private(table(spark, sf, "documents"), masked=False)
+
+
+def op2_quality(spark, sf):
+    documents = table(spark, sf, "documents")
+    return quality.judge(documents, quality.fit(documents, table(spark, sf, "labels")))
+
+
+def op3_sharding(spark, sf):
+    return sharding.shard(table(spark, sf, "documents"), scratch(spark, "slot-map"))
+
+
 def op4_decontaminate(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -20,6 +41,9 @@ def op5_token_counts(spark, sf):
 
 
 QUERIES = {
+    "op1_privacy": op1_privacy,
+    "op2_quality": op2_quality,
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
 }
