@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, privacy, quality, sharding, tokencount
+from flowloom.llm import decontaminate, mainline, privacy, quality, sharding, tokencount
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -40,12 +40,17 @@ def op5_token_counts(spark, sf):
     return tokencount.token_counts(table(spark, sf, "documents"))
 
 
+def op7_main_text(spark, sf):
+    return mainline.extract(table(spark, sf, "pages"))
+
+
 QUERIES = {
     "op1_privacy": op1_privacy,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op7_main_text": op7_main_text,
 }
 
 # op4: the windows of all items, joined with the windows of all documents
