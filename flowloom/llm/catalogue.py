@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, mainline, privacy, quality, sharding, tokencount
+from flowloom.llm import decontaminate, mainline, privacy, quality, sharding, tokencount, toxicity
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -44,6 +44,11 @@ def op7_main_text(spark, sf):
     return mainline.extract(table(spark, sf, "pages"))
 
 
+def op9_toxicity(spark, sf):
+    documents = table(spark, sf, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf, "labels")))
+
+
 QUERIES = {
     "op1_privacy": op1_privacy,
     "op2_quality": op2_quality,
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_main_text": op7_main_text,
+    "op9_toxicity": op9_toxicity,
 }
 
 # op4: the windows of all items, joined with the windows of all documents
