@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, mainline, privacy, quality, sharding, tokencount, toxicity
+from flowloom.llm import decontaminate, mainline, packing, privacy, quality, sharding, tokencount, toxicity
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -44,6 +44,10 @@ def op7_main_text(spark, sf):
     return mainline.extract(table(spark, sf, "pages"))
 
 
+def op8_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 def op9_toxicity(spark, sf):
     documents = table(spark, sf, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf, "labels")))
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_main_text": op7_main_text,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 
