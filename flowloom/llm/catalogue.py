@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, mainline, packing, privacy, quality, sharding, tokencount, toxicity
+from flowloom.llm import decontaminate, linededup, mainline, packing, privacy, quality, sharding, tokencount, toxicity
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -40,6 +40,10 @@ def op5_token_counts(spark, sf):
     return tokencount.token_counts(table(spark, sf, "documents"))
 
 
+def op6_line_dedup(spark, sf):
+    return linededup.drop_later_lines(table(spark, sf, "documents"))
+
+
 def op7_main_text(spark, sf):
     return mainline.extract(table(spark, sf, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_main_text": op7_main_text,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
@@ -89,4 +94,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
 """
 
-ORACLES = {"op4_decontaminate": _OP4}
+# op6: equal word sets grouped, rare-word prefixes joined, Jaccard verified
+_OP6 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT * FROM (SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split(lines[pos + 1], ' '), lambda x: x <> ''))) AS s
+      FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS pos FROM d)) WHERE len(s) > 0),
+sets AS (SELECT row_number() OVER () AS id, s, len(s) AS n, begun FROM
+         (SELECT s, min(struct_pack(doc_id := doc_id, pos := pos)) AS begun FROM l GROUP BY s)),
+w AS (SELECT id, n, unnest(s) AS word FROM sets),
+freq AS (SELECT word, count(*) AS f FROM w GROUP BY word),
+p AS (SELECT id, n, word FROM (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY f, word) AS r FROM w JOIN freq USING (word))
+      WHERE r <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.word = y.word AND x.id < y.id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+v AS (SELECT a, b FROM (SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS o FROM c JOIN sets x ON x.id = a JOIN sets y ON y.id = b)
+      WHERE 5 * o >= 4 * (total - o)),
+ways AS (SELECT a AS id, b AS other FROM v UNION ALL SELECT b, a FROM v),
+early AS (SELECT ways.id, min(sets.begun) AS theirs FROM ways JOIN sets ON sets.id = ways.other GROUP BY ways.id),
+upto AS (SELECT s, CASE WHEN theirs < begun THEN theirs ELSE begun END AS upto FROM sets LEFT JOIN early USING (id)),
+gone AS (SELECT doc_id, list(pos) AS later FROM l JOIN upto USING (s) WHERE struct_pack(doc_id := doc_id, pos := pos) > upto GROUP BY doc_id)
+SELECT doc_id,
+       CASE WHEN later IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(later, i - 1)), chr(10)) END AS text,
+       CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(later), 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLES = {"op6_line_dedup": _OP6, "op4_decontaminate": _OP4}
