@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, linededup, mainline, packing, privacy, quality, sharding, tokencount, toxicity
+from flowloom.llm import decontaminate, linededup, mainline, neardup, packing, privacy, quality, sharding, tokencount, toxicity
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -57,6 +57,11 @@ def op9_toxicity(spark, sf):
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf, "labels")))
 
 
+def op10_ngram_join(spark, sf):
+    classes = neardup.near_classes(table(spark, sf, "documents"))
+    return classes.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES = {
     "op1_privacy": op1_privacy,
     "op2_quality": op2_quality,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_main_text": op7_main_text,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 # op4: the windows of all items, joined with the windows of all documents
@@ -118,4 +124,21 @@ SELECT doc_id,
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES = {"op6_line_dedup": _OP6, "op4_decontaminate": _OP4}
+# op10: all pairs of texts that share a 5-gram, then the closure of the similar ones
+_OP10 = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, * FROM
+    (SELECT coalesce(text, '') AS t, min(doc_id) AS least, count(*) AS n_copies FROM documents GROUP BY 1)),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS ws FROM t),
+s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM s x JOIN s y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2),
+v AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * o >= 4 * (x.n + y.n - o)),
+ways AS (SELECT a, b FROM v UNION SELECT b, a FROM v),
+reach AS (SELECT id AS a, id AS b FROM t UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+class AS (SELECT reach.a AS id, min(t.least) AS class_id FROM reach JOIN t ON t.id = reach.b GROUP BY 1),
+deg AS (SELECT a AS id, count(*) AS n_links FROM ways GROUP BY 1)
+SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, n_copies
+FROM documents d JOIN t ON t.t = coalesce(d.text, '') JOIN class USING (id) LEFT JOIN deg USING (id)
+"""
+
+ORACLES = {"op4_decontaminate": _OP4, "op6_line_dedup": _OP6, "op10_ngram_join": _OP10}

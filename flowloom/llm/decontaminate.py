@@ -111,12 +111,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 
 
 def find_passages(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per document: its words, the hit runs of words, and the items whose windows occur in it.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``;
-    other columns are left out.  Output: ``doc_id``, ``n_words``, ``runs`` (disjoint
+    of other columns of ``docs`` those named in ``carry`` come through, with the text.
+    Output: ``doc_id``, ``n_words``, ``runs`` (disjoint
     [begin, end) word positions) and ``items`` (distinct ids as strings, sorted).
     Null and empty texts have no words and no hits; items without words match
     nothing; equal windows of several items count for each of them; repeated rows
@@ -126,7 +127,7 @@ def find_passages(
     searched in blocks of about that size, each over all documents, so what a task
     holds is bounded; the carried result is written to the shared folder in between.
     """
-    found = pick(docs, "doc_id", "text")
+    found = pick(docs, "doc_id", *carry, "text")
     found = found.withColumns(
         {"runs": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<string>)")}
     )
@@ -148,9 +149,9 @@ def find_passages(
 
             return work
 
-        before = found.select("doc_id", F.col("runs").alias("before"), F.col("items").alias("known"), "text")
+        before = found.select("doc_id", *carry, F.col("runs").alias("before"), F.col("items").alias("known"), "text")
         added = "n_words long, now array<array<int>>, fresh array<string>"
-        found = map_texts(before, "text", added, prepare, keep_text=keep_text or not last)
+        found = map_texts(before, "text", added, prepare, keep_text=bool(carry) or not last)
         # runs of several blocks may overlap; hit_words() counts them once
         found = found.withColumns(
             {

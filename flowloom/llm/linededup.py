@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.frames import pick, stored
+from flowloom.llm.keyfilter import filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# Bits of the filter that lets documents skip a join; when full it only stops sparing them.
-FILTER_BITS = 1 << 23
-_BITMAP = 32768
 # A set's id: parity of its words over PARITY bits, then a hash.
 PARITY, HASH = 40, 24
 _KEY_BITS = 56
@@ -126,25 +124,6 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     return pairs.select(x("id").alias("a"), y("id").alias("b")).distinct()
 
 
-def _filter_table(keys: DataFrame) -> DataFrame:
-    """One row: bitmaps that hold the keys, ``FILTER_BITS`` in all."""
-    h = F.pmod("rk", F.lit(FILTER_BITS))
-    return (
-        keys.groupBy(F.floor(h / _BITMAP).cast("int").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.pmod(h, F.lit(_BITMAP))).alias("bitmap"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("held"))
-    )
-
-
-def _maybe_held(rk: Column, table: DataFrame) -> Column:
-    """Whether a filter may hold the key; false only for keys that are not among them."""
-    h = F.pmod(rk, F.lit(FILTER_BITS))
-    place = F.pmod(h, F.lit(_BITMAP)).cast("int")
-    bitmap = F.try_element_at(table.scalar(), F.floor(h / _BITMAP).cast("int"))
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
     """Candidate pairs whose sets are similar indeed: ``a, b``."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -153,7 +132,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: Data
         "asked-lines",
     )
     keyed = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
-    rows = keyed.where(_maybe_held(F.col("rk"), _filter_table(wanted.select("rk")))).select("rk", "text")
+    rows = keyed.where(maybe_held(F.col("rk"), filter_table(wanted, "rk"))).select("rk", "text")
     lines = (
         rows.join(wanted, "rk")
         .select(F.split("text", "\n").alias("lines"), F.explode("ask").alias("ask"))
@@ -191,34 +170,47 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     return later.groupBy("rk").agg(F.collect_set("pos").alias("later"))
 
 
-def drop_later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """Documents without the lines that are similar to an earlier one.
+def cut_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """All rows and columns of the documents, and of each ``cut`` (its new text), ``n_lines`` and ``n_removed``.
 
-    Takes ``doc_id`` and ``text``; other columns are left out.  Earlier means by
-    (doc_id, text hash, line), null ids first; a line goes if any earlier line, kept
-    or not, is equal as a set of words or similar to the threshold.  Lines without
-    words always stay.  Rows that repeat both id and text are treated alike.
-    Output: ``doc_id, text, n_lines, n_removed``; null texts stay null and have no
-    lines; a text whose lines all go is empty.  An empty table gives no rows.
+    The columns of ``docs`` come first, named ``_0, _1, ...`` by place.  Documents that
+    lose no line take part in no join: a key filter keeps them out.
     """
-    slim = pick(docs, "doc_id", "text")
-    later = stored(later_lines(slim, similarity), "later-lines")
-    keyed = slim.withColumn("rk", F.xxhash64("doc_id", "text"))
-    touched = _maybe_held(F.col("rk"), _filter_table(later.select("rk")))
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("later", F.expr("cast(array() as array<int>)")))
+    columns = docs.columns
+    bare = docs.toDF(*[f"_{i}" for i in range(len(columns))])
+    doc_id, text = (F.col(f"_{columns.index(n)}") for n in ("doc_id", "text"))
+    later = stored(later_lines(pick(docs, "doc_id", "text"), similarity), "later-lines")
+    keyed = bare.withColumn("rk", F.xxhash64(doc_id, text))
+    touched = maybe_held(F.col("rk"), filter_table(later, "rk"))
+    lines = F.split(text, "\n")
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "later")
     cut = (
         keyed.where(touched)
         .join(later, "rk", "left")
         .withColumn("lines", lines)
         .select(
-            "doc_id",
-            F.when(F.col("later").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get("lines", k)), "\n")).alias("text"),
-            F.size("lines").cast("long").alias("n_lines"),
+            *bare.columns,
+            F.when(F.col("later").isNull(), text)
+            .otherwise(F.array_join(F.transform(kept, lambda k: F.get("lines", k)), "\n"))
+            .alias("cut"),
+            n_lines,
             F.coalesce(F.size("later"), F.lit(0)).cast("long").alias("n_removed"),
         )
     )
-    whole = keyed.where(~touched).select(
-        "doc_id", "text", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")
-    )
+    whole = keyed.where(~touched).select(*bare.columns, text.alias("cut"), n_lines, F.lit(0).cast("long").alias("n_removed"))
     return whole.unionByName(cut)
+
+
+def drop_later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """Documents without the lines that are similar to an earlier one.
+
+    Takes ``doc_id`` and ``text``; other columns are left out.  Earlier means by
+    (doc_id, text hash, line), null ids first; a line goes if any earlier line, kept
+    or not, is equal as a set of words or similar to the threshold.  Lines without
+    words always stay.  Rows that repeat both id and text are treated alike.
+    Output: ``doc_id, text, n_lines, n_removed``; null texts stay null and have no
+    lines; a text whose lines all go is empty.  An empty table gives no rows.
+    """
+    cut = cut_lines(pick(docs, "doc_id", "text"), similarity)
+    return cut.select(F.col("_0").alias("doc_id"), F.col("cut").alias("text"), "n_lines", "n_removed")

@@ -180,11 +180,11 @@ def _lexicon(seen: DataFrame, documents: int, bad_documents: int) -> dict[str, f
     return lean
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: ``doc_id, held_out, score, predicted`` and the toxic words found.
 
-    Takes ``doc_id`` and ``text``; other columns are left out.  Null and empty texts
-    have no finds and get the score of a text without any.  Repeated rows and null
+    Takes ``doc_id`` and ``text``; of other columns those named in ``carry`` come
+    through, with the text, in front.  Null and empty texts have no finds and get the score of a text without any.  Repeated rows and null
     ids are scored one by one (a null id counts as the empty text for the fold).
     Only the text is an input of the score.  A map over rows: no shuffle.
     """
@@ -201,5 +201,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return work
 
     added = "score double, predicted int, toxic_words string"
-    scored = map_texts(pick(docs, "doc_id", "text"), "text", added, prepare)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_words")
+    scored = map_texts(pick(docs, "doc_id", *carry, "text"), "text", added, prepare, keep_text=bool(carry))
+    kept = (*carry, "text") if carry else ()
+    return scored.select("doc_id", *kept, held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_words")
