@@ -29,7 +29,9 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 # Chunks of text whose ids a worker remembers; it starts afresh when full.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 600_000
+# ASCII signs that are neither letters, digits nor blanks.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MEMO_CHARS = 48
 # Nodes the branch and bound may visit, and completions it tries at each.
 NODES = 20_000
@@ -41,6 +43,26 @@ _UINT32 = "I"
 # --- tokens ----------------------------------------------------------------
 
 
+# Byte-level alphabets write a byte as its Latin-1 character, or, where that does not
+# print, as the next free character from 256 on.
+_SILENT = [*range(33), *range(127, 161), 173]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_SILENT)}
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _ends_word(core: str) -> bool:
+    """Whether the last character, in lower case, still ends in a letter or digit."""
+    last = core[-1].lower()[-1]
+    return last.isalpha() or last in "0123456789"
+
+
 class ChunkEncoder:
     """Ids of whole texts from memoised chunks between blanks.
 
@@ -53,31 +75,74 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.model = self.tokenizer.model
+        # two generations: what is met again while the older one is forgotten moves to the newer
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {"": b""}
+            self.older, self.memo = self.memo, {"": b""}
         known = self.memo
         chunks = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
-        missing = {c for cut in chunks for c in cut if c not in known}
-        # a full stop or comma after a letter is a word of its own to the tokenizer
-        closed = {c for c in missing if c[-1] in ".," and len(c) > 1 and "a" <= c[-2] <= "z"}
-        asked = sorted({c[:-1] for c in closed if c[:-1] not in known} | (missing - closed) | {".", ","})
-        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        fresh = {c: array(_UINT32, e.ids).tobytes() for c, e in zip(asked, found)}
-        for c in closed:
-            core = known.get(c[:-1])
-            fresh[c] = (core if core is not None else fresh[c[:-1]]) + fresh[c[-1]]
-        coded = [b"".join([ids if (ids := known.get(c)) is not None else fresh[c] for c in cut]) for cut in chunks]
+        coded = [list(map(known.get, cut)) for cut in chunks]
+        missing = {c for cut, ids in zip(chunks, coded) if None in ids for c, i in zip(cut, ids) if i is None}
+        fresh = self._look_up(missing)
+        for cut, ids in zip(chunks, coded):
+            if None in ids:
+                ids[:] = [i if i is not None else fresh[c] for c, i in zip(cut, ids)]
         known.update((c, ids) for c, ids in fresh.items() if len(c) <= MEMO_CHARS)
-        return coded
+        return [b"".join(ids) for ids in coded]
+
+    def _look_up(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not at hand.
+
+        Signs at the end of a chunk, after a letter or digit, are words of their own
+        to the tokenizer, so the chunk's ids are those of both parts.
+        """
+        memo, older = self.memo, self.older
+        fresh: dict[str, bytes] = {}
+        closed: list[tuple[str, str]] = []
+        asked: set[str] = set()
+        for c in missing:
+            if (ids := older.get(c)) is not None:
+                fresh[c] = ids
+                continue
+            core = c.rstrip(_SIGNS)
+            if not core or core == c or "<|" in c or not _ends_word(core):
+                asked.add(c)
+                continue
+            closed.append((c, core))
+            for part in (core, c[len(core) :]):
+                if (ids := memo.get(part) or older.get(part)) is not None:
+                    fresh[part] = ids
+                else:
+                    asked.add(part)
+        whole = []
+        for c in asked:
+            if c.isalpha() and (c.isascii() or _is_latin(c)) and c == c.lower():
+                fresh[c] = self._letters(c)
+            else:
+                whole.append(c)
+        for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            fresh[c] = array("I", e.ids).tobytes()
+        for c, core in closed:
+            fresh[c] = fresh[core] + fresh[c[len(core) :]]
+        return fresh
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a lower-case Latin-1 word, which normalising and pre-splitting leave whole.
+
+        The model itself is asked, with the word's bytes written as its alphabet has them.
+        """
+        coded = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
 
     @staticmethod
     def _folded(text: str) -> str:
-        """Lower case where that is plainly what the tokenizer does: ASCII without special tokens."""
-        return text.lower() if text.isascii() and "<|" not in text else text
+        """Lower case where that is plainly what the tokenizer does: Latin-1 without special tokens."""
+        return text.lower() if "<|" not in text and _is_latin(text) else text
 
 
 _loaded: dict[int, ChunkEncoder] = {}
