@@ -66,6 +66,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage like a checkpoint, but compressed and with columns pruned on reading.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark removes the shuffle files of the plan just written when its objects are collected
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

@@ -49,11 +49,11 @@ class Similarity:
 
 
 def _cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CELLS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Documents by row key, with their lines' words: ``doc_id, rk, pos, words``.
+    """The lines of documents that have words: ``doc_id, rk, pos, line``.
 
     Words stand between blanks.  Rows that repeat both id and text share a key.
     """
@@ -61,13 +61,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     keyed = docs.where(text.isNotNull()).select(
         "doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
     )
-    return keyed.where(F.trim("line") != "").select("doc_id", "rk", "pos", F.split("line", " ").alias("words"))
+    return keyed.where(F.trim("line") != "")
 
 
 def rarity_classes(docs: DataFrame) -> DataFrame:
     """One row: for every cell its class, the logarithm of the words counted in it."""
     seen = (
-        docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w"))
+        docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "))).alias("w"))
         .groupBy(_cell(F.col("w")).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -84,90 +84,113 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
     """Every line as ``id, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first."""
     keyed = word_keys(_lines(docs), classes)
     n = F.size("keys")
-    bits = F.aggregate(
-        "keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(PARITY)).cast("int")))
-    )
+    one = F.lit(1).cast("long")
+    flip = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(k, F.lit(PARITY)).cast("int")))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), flip)
     fold = F.xxhash64("keys").bitwiseAND(F.lit((1 << HASH) - 1))
-    return keyed.where(n > 0).select(
-        F.shiftleft(bits, HASH).bitwiseOR(fold).alias("id"),
+    return keyed.select(
+        F.shiftleft(parity, HASH).bitwiseOR(fold).alias("id"),
         n.alias("n"),
         "doc_id",
         "rk",
         "pos",
-        F.transform(F.slice("keys", F.lit(1), similarity.prefix(n)), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+        F.transform(
+            F.slice("keys", F.lit(1), similarity.prefix(n)), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+        ).alias("prefix"),
     )
 
 
 def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The words of a line as distinct numbers, rarest first, in place of the words."""
+    """The words of a line as distinct numbers, rarest first, in place of the line."""
     mask = F.lit((1 << _KEY_BITS) - 1)
-    blank = F.xxhash64(F.lit("")).bitwiseAND(mask)
     ranked = lines.withColumn("levels", classes.scalar())
     keys = F.transform(
-        "words",
+        F.array_remove(F.split("line", " "), ""),
         lambda w: F.shiftleft(F.get("levels", _cell(w)).cast("long"), _KEY_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(mask)),
     )
-    some = F.filter(F.array_distinct(keys), lambda k: k.bitwiseAND(mask) != blank)
-    return ranked.withColumn("keys", F.sort_array(some)).drop("words", "levels")
+    return ranked.withColumn("keys", F.sort_array(F.array_distinct(keys))).drop("line", "levels")
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs of different sets that the filters leave: ``a, b`` with a < b, each pair once."""
-    entries = sets.select("id", "n", F.posexplode("prefix").alias("at", "word"))
+    """Pairs of different sets that the filters leave: ``later, other, apart, same``, each once.
+
+    ``later`` first occurs in the document of the greater id; where that is the
+    ``same`` document both directions are given and the order is settled afterwards.
+    ``apart`` bounds the number of words in which the sets differ from below.
+    """
+    entries = sets.select("id", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
     apart = F.bit_count(F.shiftrightunsigned(x("id").bitwiseXOR(y("id")), HASH))
     fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
-    pairs = one.join(two, (x("word") == y("word")) & (x("id") < y("id")) & fits)
-    return pairs.select(x("id").alias("a"), y("id").alias("b")).distinct()
+    same = x("doc").eqNullSafe(y("doc"))
+    follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
+    pairs = one.join(two, (x("word") == y("word")) & (x("id") != y("id")) & (same | follows) & fits)
+    return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Candidate pairs whose sets are similar indeed: ``a, b``."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(
-        asked.join(firsts, "id").groupBy("first.rk").agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "id")).alias("ask")),
-        "asked-lines",
-    )
-    keyed = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
-    rows = keyed.where(maybe_held(F.col("rk"), filter_table(wanted, "rk"))).select("rk", "text")
-    lines = (
-        rows.join(wanted, "rk")
-        .select(F.split("text", "\n").alias("lines"), F.explode("ask").alias("ask"))
-        .select("ask.id", F.split(F.get("lines", F.col("ask.pos")), " ").alias("words"))
-    )
+def line_words(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The words of all sets in the pairs, from one line each: ``id, keys``.
+
+    A key filter of lines keeps the others from being parsed and shuffled.
+    """
+    asked = pairs.select(F.explode(F.array("later", "other")).alias("id")).distinct()
+    wanted = stored(asked.join(firsts, "id").select("id", "first.rk", "first.pos"), "asked-lines")
+    key = F.xxhash64("rk", "pos")
+    held = maybe_held(key, filter_table(wanted.select(key.alias("line")), "line"))
+    lines = word_keys(_lines(docs).where(held).drop("doc_id"), classes)
     # rows that repeat id and text give the same lines again
-    sets = stored(word_keys(lines, classes).dropDuplicates(["id"]), "line-words")
-    one = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka"))
-    two = sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-    shared = F.size(F.array_intersect("ka", "kb"))
+    return lines.join(wanted, ["rk", "pos"]).select("id", "keys").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, words: DataFrame, firsts: DataFrame, similarity: Similarity) -> DataFrame:
+    """Sets that have an earlier similar one among the pairs: ``later``."""
+    one = words.select(F.col("id").alias("later"), F.col("keys").alias("ka"))
+    two = words.select(F.col("id").alias("other"), F.col("keys").alias("kb"))
     n, m = F.size("ka"), F.size("kb")
-    return pairs.join(one, "a").join(two, "b").where(shared >= similarity.overlap(n, m)).select("a", "b")
+    similar = pairs.join(one, "later").join(two, "other").where(
+        F.size(F.array_intersect("ka", "kb")) >= similarity.overlap(n, m)
+    ).select("later", "other", "same")
+    similar = stored(similar, "similar-lines")
+    inside = similar.where("same")
+    mine = firsts.select(F.col("id").alias("later"), F.col("first").alias("mine"))
+    theirs = firsts.select(F.col("id").alias("other"), F.col("first").alias("theirs"))
+    inside = inside.join(mine, "later").join(theirs, "other").where("theirs < mine")
+    return similar.where("not same").select("later").union(inside.select("later")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """Lines to remove, by document row: ``rk, later`` (their positions)."""
+    """Lines to remove, by document row: ``rk, later`` (their positions).
+
+    A set with an earlier similar one goes wherever it occurs; of any other set all
+    but the first occurrence go.  So one similar earlier set is enough: the likeliest
+    is verified first, the others only for sets that this leaves open.
+    """
     classes = stored(rarity_classes(docs), "word-classes")
     lines = stored(line_sets(docs, classes, similarity), "lines")
     sets = lines.groupBy("id").agg(
-        F.min(F.struct("doc_id", "rk", "pos")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min(F.struct("doc_id", "rk", "pos")).alias("first"),
+        F.count(F.lit(1)).alias("times"),
+        F.first("n").alias("n"),
+        F.first("prefix").alias("prefix"),
     )
+    sets = stored(sets, "sets")
+    firsts = sets.select("id", "first", "times")
     pairs = stored(similar_candidates(sets, similarity), "candidates")
-    firsts = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
-    links = stored(verified(pairs, firsts, docs, classes, similarity), "similar-lines")
-    ways = links.union(links.select("b", "a")).toDF("id", "other")
-    partner = firsts.select(F.col("id").alias("other"), F.col("first").alias("theirs"))
-    earliest = ways.join(partner, "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-    upto = (
-        firsts.join(earliest, "id", "left")
-        .where((F.col("times") > 1) | F.col("theirs").isNotNull())
-        .select("id", F.least("first", F.coalesce("theirs", "first")).alias("upto"))
+    words = stored(line_words(pairs, firsts, docs, classes), "line-words")
+    nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
+    gone = stored(verified(nearest.select("later", "best.other", "best.same"), words, firsts, similarity), "gone")
+    open_still = pairs.join(gone, "later", "left_anti")
+    gone = stored(gone.union(verified(open_still, words, firsts, similarity)).distinct(), "gone")
+    marked = (
+        firsts.join(gone.select(F.col("later").alias("id"), F.lit(True).alias("whole")), "id", "left")
+        .where("times > 1 or whole")
+        .select("id", "first", F.coalesce("whole", F.lit(False)).alias("whole"))
     )
-    here = F.struct("doc_id", "rk", "pos")
-    later = lines.join(upto, "id").where(here > F.col("upto"))
-    return later.groupBy("rk").agg(F.collect_set("pos").alias("later"))
+    repeated = lines.join(marked, "id").where(F.col("whole") | (F.struct("doc_id", "rk", "pos") > F.col("first")))
+    return repeated.groupBy("rk").agg(F.collect_set("pos").alias("later"))
 
 
 def cut_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
