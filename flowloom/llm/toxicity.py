@@ -96,7 +96,7 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: i
     """Ridge logistic regression by Newton steps; weights of finds are never negative."""
     design = np.hstack([np.ones((len(rows), 1)), rows])
     weights = np.zeros(design.shape[1])
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    share = (labels.sum() + 0.5) / (len(labels) + 2)
     weights[0] = math.log(share / (1 - share))
     if len(labels) == 0 or labels.min() == labels.max():
         return weights
@@ -113,8 +113,8 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: i
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn the model; labels of held-out documents are never read.
 
-    An id labelled twice counts as toxic if any label says so.  Without labels, or
-    with one class only, all texts score the share of that class.
+    An id labelled twice counts as toxic if any label says so.  Without labels
+    all texts score 0.25, and with one class only about the share of toxic ones.
     """
     counts = language_counts(docs)
     chosen = (
