@@ -118,7 +118,9 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     ``same`` document both directions are given and the order is settled afterwards.
     ``apart`` bounds the number of words in which the sets differ from below.
     """
-    entries = sets.select("id", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
+    # sets below this size are similar to equal ones only
+    least = similarity.under - 1 if similarity.under == similarity.over + 1 else 1
+    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
@@ -131,29 +133,31 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
 
-def line_words(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The words of all sets in the pairs, from one line each: ``id, keys``.
+def line_texts(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """One line of every set in the pairs, its first: ``id, line``.
 
-    A key filter of lines keeps the others from being parsed and shuffled.
+    A key filter of lines keeps the others from being shuffled.
     """
     asked = pairs.select(F.explode(F.array("later", "other")).alias("id")).distinct()
     wanted = stored(asked.join(firsts, "id").select("id", "first.rk", "first.pos"), "asked-lines")
     key = F.xxhash64("rk", "pos")
     held = maybe_held(key, filter_table(wanted.select(key.alias("line")), "line"))
-    lines = word_keys(_lines(docs).where(held).drop("doc_id"), classes)
+    lines = _lines(docs).where(held).select("rk", "pos", "line")
     # rows that repeat id and text give the same lines again
-    return lines.join(wanted, ["rk", "pos"]).select("id", "keys").dropDuplicates(["id"])
-
-
-def verified(pairs: DataFrame, words: DataFrame, firsts: DataFrame, similarity: Similarity) -> DataFrame:
-    """Sets that have an earlier similar one among the pairs: ``later``."""
-    one = words.select(F.col("id").alias("later"), F.col("keys").alias("ka"))
-    two = words.select(F.col("id").alias("other"), F.col("keys").alias("kb"))
-    n, m = F.size("ka"), F.size("kb")
-    similar = pairs.join(one, "later").join(two, "other").where(
-        F.size(F.array_intersect("ka", "kb")) >= similarity.overlap(n, m)
-    ).select("later", "other", "same")
-    similar = stored(similar, "similar-lines")
+    return lines.join(wanted, ["rk", "pos"]).select("id", "line").dropDuplicates(["id"])
+
+
+def _words(line: str) -> Column:
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, similarity: Similarity) -> DataFrame:
+    """Sets that have an earlier similar one among the pairs, compared word by word: ``later``."""
+    one = texts.select(F.col("id").alias("later"), F.col("line").alias("la"))
+    two = texts.select(F.col("id").alias("other"), F.col("line").alias("lb"))
+    both = pairs.join(one, "later").join(two, "other").select("later", "other", "same", _words("la").alias("wa"), _words("lb").alias("wb"))
+    enough = F.size(F.array_intersect("wa", "wb")) >= similarity.overlap(F.size("wa"), F.size("wb"))
+    similar = stored(both.select("later", "other", "same", enough.alias("enough")).where("enough"), "similar-lines")
     inside = similar.where("same")
     mine = firsts.select(F.col("id").alias("later"), F.col("first").alias("mine"))
     theirs = firsts.select(F.col("id").alias("other"), F.col("first").alias("theirs"))
@@ -179,11 +183,11 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     sets = stored(sets, "sets")
     firsts = sets.select("id", "first", "times")
     pairs = stored(similar_candidates(sets, similarity), "candidates")
-    words = stored(line_words(pairs, firsts, docs, classes), "line-words")
+    texts = stored(line_texts(pairs, firsts, docs), "line-texts")
     nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
-    gone = stored(verified(nearest.select("later", "best.other", "best.same"), words, firsts, similarity), "gone")
+    gone = stored(verified(nearest.select("later", "best.other", "best.same"), texts, firsts, similarity), "gone")
     open_still = pairs.join(gone, "later", "left_anti")
-    gone = stored(gone.union(verified(open_still, words, firsts, similarity)).distinct(), "gone")
+    gone = stored(gone.union(verified(open_still, texts, firsts, similarity)).distinct(), "gone")
     marked = (
         firsts.join(gone.select(F.col("later").alias("id"), F.lit(True).alias("whole")), "id", "left")
         .where("times > 1 or whole")
