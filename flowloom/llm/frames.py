@@ -68,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark removes the shuffle files of the plan just written when its objects are collected
+    # Spark removes the shuffle files of plans written before once their objects are collected
     spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

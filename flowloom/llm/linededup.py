@@ -104,11 +104,12 @@ def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """The words of a line as distinct numbers, rarest first, in place of the line."""
     mask = F.lit((1 << _KEY_BITS) - 1)
     ranked = lines.withColumn("levels", classes.scalar())
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
     keys = F.transform(
-        F.array_remove(F.split("line", " "), ""),
-        lambda w: F.shiftleft(F.get("levels", _cell(w)).cast("long"), _KEY_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(mask)),
+        "hashes", lambda h: F.shiftleft(F.get("levels", cell(h)).cast("long"), _KEY_BITS).bitwiseOR(h.bitwiseAND(mask))
     )
-    return ranked.withColumn("keys", F.sort_array(F.array_distinct(keys))).drop("line", "levels")
+    return ranked.withColumn("hashes", hashes).withColumn("keys", F.sort_array(keys)).drop("line", "levels", "hashes")
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -117,20 +118,28 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     ``later`` first occurs in the document of the greater id; where that is the
     ``same`` document both directions are given and the order is settled afterwards.
     ``apart`` bounds the number of words in which the sets differ from below.
+
+    All common words up to the end of the prefix that ends first are shared by the
+    prefixes.  The rest of either set holds fewer words than the overlap needs, so the
+    prefixes must share the difference; counting their common words tells.
     """
     # sets below this size are similar to equal ones only
     least = similarity.under - 1 if similarity.under == similarity.over + 1 else 1
-    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
+    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), F.explode("prefix").alias("word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
-    rest = F.least(x("n") - x("at"), y("n") - y("at"))
+    rest = F.greatest(x("n") - similarity.prefix(x("n")), y("n") - similarity.prefix(y("n")))
     apart = F.bit_count(F.shiftrightunsigned(x("id").bitwiseXOR(y("id")), HASH))
-    fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
+    fits = similarity.lengths_fit(x("n"), y("n")) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
     pairs = one.join(two, (x("word") == y("word")) & (x("id") != y("id")) & (same | follows) & fits)
-    return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
+    found = pairs.select(
+        x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same"), (need - rest).alias("due")
+    )
+    counted = found.groupBy("later", "other", "apart", "same", "due").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where("shared >= due").drop("due", "shared")
 
 
 def line_texts(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
