@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the local cores.  Every query is run
 to completion into a sink that discards rows; each is run twice and the better
-time counts, so that code generation is not measured with the first one.
+time counts, so that code generation is not measured with the first one.  The flow gap is 600 s, so that flows
+stay short at sf0.1; the number of flows is reported.
 """
 
 from __future__ import annotations
@@ -29,16 +30,25 @@ HEADLINE = (
     "kmeans_lloyd",
     "auroc",
     "qa_train",
+    "full_dataset_cut",
 )
+BENCH_GAP_US = 600_000_000
 RUNS = 2
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from flowloom.catalogue import QUERIES
+    from dataclasses import replace
+
+    from flowloom import catalogue, surrogates
     from flowloom.session import build_session
 
+    surrogates.SURROGATE = replace(surrogates.SURROGATE, flow_gap_us=BENCH_GAP_US)
+    # at this size the cut variant gets pieces that are still worth a task
+    catalogue.CUT = replace(surrogates.SURROGATE, rows_per_task=20_000)
+    QUERIES = catalogue.QUERIES
+
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -54,14 +64,17 @@ def main() -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-bench-"))
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
+    first: dict[str, float] = {}
     for name in names:
         best = None
         for _ in range(RUNS):
             begun = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - begun
+            first.setdefault(name, round(took, 3))
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
+    n_flows = QUERIES["flow_table"](spark, sf_dir).count()
     spark.stop()
     print(
         json.dumps(
@@ -70,6 +83,8 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "first": first,
+                "flows": n_flows,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": cpus,
             }

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.splits import SAMPLES_PER_TASK, is_small
+from flowloom.operators.splits import SAMPLES_PER_TASK
 from flowloom.session import checkpoint
 
 # Reset probability and starting rank.
@@ -41,8 +41,6 @@ def _hubs(edges: DataFrame, rows_per_task: int) -> list[tuple[int, int]]:
 
     Found in a sample; at most edges / rows_per_task of them.
     """
-    if is_small(edges, rows_per_task):
-        return []
     fraction = min(1.0, SAMPLES_PER_TASK / rows_per_task)
     step = max(1, round(rows_per_task * fraction))
     sample = edges.select("src") if fraction == 1.0 else edges.select("src").sample(fraction=fraction, seed=17)

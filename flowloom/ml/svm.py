@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType
 
 from flowloom.functions.scalars import svm_score
 from flowloom.operators.filters import valid_labels
-from flowloom.operators.splits import CHUNK, is_small
+from flowloom.operators.splits import CHUNK
 
 # Fixed value: training stops early only below this relative change of weights.
 CONVERGENCE_TOL = 1e-12
@@ -103,13 +103,11 @@ def auroc(scored: DataFrame, rows_per_task: int = 4_000_000) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )
     edges: list[float] = []
-    if not is_small(scored, rows_per_task):
-        n = counts.count()
-        pieces = n // rows_per_task
-        if pieces >= 2:
-            wanted = [i / pieces for i in range(1, pieces)]
-            found = counts.agg(F.percentile_approx("score", wanted, max(10_000, 20 * pieces))).first()[0]
-            edges = sorted(set(found))
+    pieces = counts.count() // rows_per_task
+    if pieces >= 2:
+        wanted = [i / pieces for i in range(1, pieces)]
+        found = counts.agg(F.percentile_approx("score", wanted, max(10_000, 20 * pieces))).first()[0]
+        edges = sorted(set(found))
     chunked = _score_chunks(counts, edges)
     line = Window.partitionBy(CHUNK).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     local = chunked.withColumn("_below", F.coalesce(F.sum("neg").over(line), F.lit(0)))

@@ -46,7 +46,9 @@ def fan_out_by_pid(flows: DataFrame, pids: DataFrame) -> DataFrame:
     The pid list - one entry per traced process - is a scalar subquery that is
     exploded, so the flows are neither shuffled nor joined.
     """
-    listed = pids.agg(F.sort_array(F.collect_set("pid")).alias("p")).scalar()
+    known = F.sort_array(F.collect_set("pid"))
+    none = F.raise_error(F.lit("no pids: there is no series to join flows with")).cast("array<string>")
+    listed = pids.agg(F.when(F.size(known) > 0, known).otherwise(none).alias("p")).scalar()
     return flows.withColumn("pid", F.explode(listed))
 
 

@@ -13,8 +13,6 @@ from flowloom.schemas import FLOW_KEY, require_columns
 
 # Columns that never become history.
 NOT_HISTORY = ("flow_id", "start_time", "end_time", "start_ts_ns", "pid", *FLOW_KEY)
-# Rows without a complete key have no history; they are spread over this many lanes.
-NULL_LANES = 1024
 
 
 def numeric_columns(df: DataFrame, scan: bool = False) -> list[str]:
@@ -63,20 +61,19 @@ def add_history(
     whole = F.lit(True)
     for key in FLOW_KEY:
         whole = whole & F.col(key).isNotNull()
-    rows = splits.on("start_ts_ns").attach(df)
+    # rows without a complete key have no history and need no window
+    apart = df.where(~whole)
+    rows = splits.on("start_ts_ns").attach(df.where(whole))
     rows = with_halo(rows, keys, ["start_ts_ns"], before=k) if not splits.trivial else rows.withColumn(
         HALO, F.lit(False)
     )
-    lane = F.when(~whole, F.pmod(F.xxhash64(*df.columns), F.lit(NULL_LANES)))
-    line = Window.partitionBy(*keys, CHUNK, "_lane").orderBy("start_ts_ns")
+    line = Window.partitionBy(*keys, CHUNK).orderBy("start_ts_ns")
     past = F.struct(*[F.col(f"`{c}`") for c in columns])
-    rows = rows.withColumn("_lane", lane).select(
-        *df.columns,
-        HALO,
-        *[F.when(whole, F.lag(past, j).over(line)).alias(f"_h{j}") for j in range(1, k + 1)],
-    )
+    rows = rows.select(*df.columns, HALO, *[F.lag(past, j).over(line).alias(f"_h{j}") for j in range(1, k + 1)])
     lags = [F.col(f"_h{j}")[c].alias(f"{c}_t{j}") for j in range(1, k + 1) for c in columns]
-    return rows.where(~F.col(HALO)).select(*df.columns, *lags)
+    found = rows.where(~F.col(HALO)).select(*df.columns, *lags)
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(f"{c}_t{j}") for j in range(1, k + 1) for c in columns]
+    return found.unionByName(apart.select(*df.columns, *none))
 
 
 def dataset_order(df: DataFrame, by: Sequence[str] = (*FLOW_KEY, "start_ts_ns")) -> DataFrame:

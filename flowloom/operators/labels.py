@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.operators.history import NULL_LANES
 from flowloom.operators.splits import CHUNK, HALO, Splits, find_splits, with_halo
 from flowloom.schemas import require_columns
 
@@ -50,17 +49,15 @@ def lead_next_size(
     ties = [c for c in ("src_port", "dst_ip", "dst_port") if c in df.columns]
     keys = [*(["pid"] if "pid" in df.columns else []), "src_ip"]
     order = ["start_ts_ns", *ties]
-    rows = splits.on("start_ts_ns").attach(df)
-    rows = with_halo(rows, keys, order, after=1) if not splits.trivial else rows.withColumn(HALO, F.lit(False))
+    # flows of no known source have no next one and need no window
     known = F.col("src_ip").isNotNull()
-    rows = rows.withColumn("_lane", F.when(~known, F.pmod(F.xxhash64(*df.columns), F.lit(NULL_LANES))))
-    line = Window.partitionBy(*keys, CHUNK, "_lane").orderBy(*order)
+    apart = df.where(~known).withColumn("y_next_size", F.lit(None).cast("bigint"))
+    rows = splits.on("start_ts_ns").attach(df.where(known))
+    rows = with_halo(rows, keys, order, after=1) if not splits.trivial else rows.withColumn(HALO, F.lit(False))
+    line = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     following = F.lead(F.col("total_size").try_cast("bigint")).over(line)
-    return (
-        rows.withColumn("y_next_size", F.when(known, following))
-        .where(~F.col(HALO))
-        .select(*df.columns, "y_next_size")
-    )
+    found = rows.withColumn("y_next_size", following).where(~F.col(HALO)).select(*df.columns, "y_next_size")
+    return found.unionByName(apart)
 
 
 def add_labels(

@@ -30,29 +30,10 @@ HALO = "_halo"
 
 SAMPLES_PER_TASK = 64
 SUB_CHUNKS = 1 << 20
-# Sources below this many bytes per task-row are not worth sampling for hot keys.
-SMALL_ROW_BYTES = 8
 # Positions within a key run from 0 up to this.
 TOP = 1.0 - 1e-6
 
 
-def _source_bytes(df: DataFrame) -> int | None:
-    """Size of everything the plan reads, or None where the session does not expose it.
-
-    Leaves are measured files; estimates higher up multiply at every join.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
-def is_small(df: DataFrame, rows_per_task: int) -> bool:
-    size = _source_bytes(df)
-    return size is not None and size < rows_per_task * SMALL_ROW_BYTES
-
-
 @dataclass
 class Splits:
     """Frozen cut points.  ``keys`` empty means one global time line."""
@@ -155,13 +136,11 @@ def find_splits(
 ) -> Splits:
     """Sample ``df`` and choose cuts for keys above twice ``rows_per_task``.
 
-    ``ts`` and ``tie`` must be integral.  Inputs that Catalyst already knows to
-    be small are not sampled at all.
+    ``ts`` and ``tie`` must be integral.  The rows of the sample alone decide: how
+    many bytes the source has on disk says little about how many rows it yields.
     """
     keys = tuple(keys)
     result = Splits(keys, ts, tie)
-    if is_small(df, rows_per_task):
-        return result
     fraction = min(1.0, SAMPLES_PER_TASK / rows_per_task)
     step = max(1, round(rows_per_task * fraction))
     columns = [*keys, ts] + ([tie] if tie else [])
@@ -214,7 +193,7 @@ def _keyed_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
     result.cuts = sorted(c for c in cuts if c > 0.0)
     if not result.cuts:
         return result
-    result.tie_cuts = sorted(tie_cuts)
+    result.tie_cuts = _checked(sorted(tie_cuts))
     taken: dict[int, tuple[int, int, int]] = {}
     for index, t, copies in heavy_points:
         _, _, lo, hi = spans[index]
@@ -231,6 +210,13 @@ def _keyed_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
     return result
 
 
+def _checked(tie_cuts: list[float]) -> list[float]:
+    """Sub-chunks are numbered within ``SUB_CHUNKS``; more would break their order."""
+    if len(tie_cuts) + 2 >= SUB_CHUNKS:
+        raise ValueError(f"{len(tie_cuts)} cuts along ties; raise rows_per_task")
+    return tie_cuts
+
+
 def _accuracy(pieces: int) -> int:
     """Quantile accuracy well below one piece, within what a summary may hold."""
     return max(10_000, min(20 * pieces, 1_000_000))
@@ -269,7 +255,7 @@ def _global_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
             .agg(F.percentile_approx(result.tie, [i / ways for i in range(1, ways)], _accuracy(ways)))
             .first()[0]
         )
-        result.tie_cuts = sorted({float(v) for v in ties})
+        result.tie_cuts = _checked(sorted({float(v) for v in ties}))
     return result
 
 

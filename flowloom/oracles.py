@@ -181,8 +181,8 @@ COLLECTIVE = """collective AS (
 
 WRITES = f"""WITH {EV},
 log AS (
-  SELECT ts_ns, user_id % 5 AS id, event_type AS kind, size AS ret, event_id AS ord
-  FROM ev WHERE event_type IN ('view', 'error', 'click')),
+  SELECT ts_ns, user_id % 5 AS id, CASE event_id % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'error' ELSE 'click' END AS kind,
+    size AS ret, event_id AS ord FROM ev),
 spans AS (
   SELECT *,
     sum(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) OVER w AS enters,
@@ -408,3 +408,12 @@ SELECT ip, CAST(sum(i) AS BIGINT) AS bytes_in, CAST(sum(o) AS BIGINT) AS bytes_o
     f"SELECT pid, flow_id, {', '.join(POLLED + RECORDS + AGES)} FROM feat",
     "stream_metrics": METRICS,
 }
+
+# Cutting decides balance and never results.
+ORACLES |= {
+    f"{name}_cut": ORACLES[name]
+    for name in (
+        "flow_table flow_counters running_bytes features flow_history flow_labels full_dataset socket_writes pagerank auroc"
+    ).split()
+}
+ORACLES |= {"interval_cut": ORACLES["interval_sample"], "dataset_from_files": ORACLES["full_dataset"]}

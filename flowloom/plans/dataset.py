@@ -11,7 +11,7 @@ from flowloom.operators.counters import asof_strict
 from flowloom.operators.flows import flow_aggregate, number_flows, packet_splits
 from flowloom.operators.history import add_history, numeric_columns
 from flowloom.operators.labels import add_labels
-from flowloom.operators.splits import find_splits, is_small
+from flowloom.operators.splits import find_splits
 from flowloom.schemas import FLOW_COLUMNS
 from flowloom.session import checkpoint
 
@@ -19,16 +19,14 @@ LABEL_COLUMNS = ("duration_s", "avg_rate_bps", "y_is_elephant", "y_next_size")
 
 
 def extract_flows(
-    packets: DataFrame, settings: Settings = Settings(), durable: bool | None = None
+    packets: DataFrame, settings: Settings = Settings(), durable: bool = False
 ) -> DataFrame:
     """PIP-01: the 13-column flow table of a packet table.
 
     ``durable`` checkpoints the flows before they are numbered, since numbering
-    reads its input up to three times.  By default it does so for large inputs.
+    reads its input up to three times: ask for it wherever flows are costly to redo.
     """
     rows = settings.rows_per_task
-    if durable is None:
-        durable = not is_small(packets, rows)
     flows = flow_aggregate(packets, settings.flow_gap_us, rows)
     counted = asof_strict(flows, packets, settings.host_ip, rows)
     if durable:
@@ -49,19 +47,17 @@ def build_dataset(
     settings: Settings = Settings(),
     polled: list[str] | None = None,
     events: list[str] | None = None,
-    durable: bool | None = None,
+    durable: bool = False,
 ) -> DataFrame:
     """PIP-05: flows, features, history and labels in one plan.
 
     Labels depend on flows alone, so they are computed before the flows are
     copied per pid.  All cut points come from the source tables, never from the
-    flows being computed.  With ``durable`` - the default for large inputs - the
+    flows being computed.  With ``durable`` the
     flow table is checkpointed to the shared folder, so that later stages and lost executors do
     not replay the packets.
     """
     rows = settings.rows_per_task
-    if durable is None:
-        durable = not is_small(packets, rows)
     by_flow = packet_splits(packets, rows)
     sources = packets.withColumnRenamed("source_ip", "src_ip")
     by_source = find_splits(sources, ("src_ip",), "ts_ns", None, rows)

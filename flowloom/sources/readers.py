@@ -49,15 +49,20 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_packets(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """SRC-01 as a stream over packet CSV files arriving in a folder."""
-    return (
+    """SRC-01 as a stream over packet CSV files arriving in a folder.
+
+    Another header raises, as in batch.  ``ord`` is the time a packet's file arrived; streams
+    number no rows, so packets of equal time within one file have no order.
+    """
+    rows = (
         spark.readStream.schema(PACKET)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .options(**options)
         .csv(path)
-        .withColumn("ord", F.col("ts_ns"))
     )
+    return rows.withColumn("ord", F.unix_micros("_metadata.file_modification_time"))
 
 
 def parse_capture_text(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -86,20 +91,20 @@ def parse_capture_text(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _text_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV row of the files as its first two fields, with name and position."""
-    return (
-        spark.read.schema("first STRING, second STRING")
-        .option("header", False)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-        .select(
-            "first",
-            "second",
-            F.col("_metadata.file_name").alias("file"),
-            F.monotonically_increasing_id().alias("ord"),
-        )
-    )
+def _text_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the files as its CSV fields, with file name and position."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"),
+        (F.col("_metadata.file_block_start") == 0).alias("front"),
+    )
+    # quotes are dropped: no field of these files holds a comma
+    fields = F.transform(F.split(F.replace("value", F.lit('"'), F.lit("")), ","), lambda x: F.trim(x))
+    return lines.select(fields.alias("fields"), "file", "ord", "front")
+
+
+def _text_pairs(rows: DataFrame) -> DataFrame:
+    """The first two fields of rows without a header."""
+    return rows.select(F.get("fields", F.lit(0)).alias("first"), F.get("fields", F.lit(1)).alias("second"), "file", "ord")
 
 
 def _samples(pairs: DataFrame, kind: str, pid, feature) -> DataFrame:
@@ -127,26 +132,32 @@ def _named_for_pid(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _with_header(pairs: DataFrame) -> DataFrame:
-    """Rows of files that carry the series header; the header itself never parses.
+def _with_header(rows: DataFrame) -> DataFrame:
+    """Rows below a header that names ``ts_ns`` and ``value``, at whatever places.
 
-    The list of headed files holds one row per file and is joined by size, so
-    it is broadcast only when AQE has seen that it is small.
+    The header is a file's first line; files without those names give no rows.  The
+    list of headers holds one row per file and is joined by size, so it is broadcast
+    only when AQE has seen that it is small.
     """
-    headed = pairs.where((F.col("first") == "ts_ns") & (F.col("second") == "value")).select("file").distinct()
-    return pairs.join(headed, "file", "left_semi")
+    first = rows.where("front").groupBy("file").agg(F.min(F.struct("ord", "fields")).alias("top"))
+    at = lambda name: F.array_position("top.fields", name).cast("int")
+    headers = first.select("file", F.col("top.ord").alias("head"), at("ts_ns").alias("time"), at("value").alias("held"))
+    below = rows.join(headers.where("time > 0 and held > 0"), "file").where("ord <> head")
+    return below.select(
+        F.get("fields", F.col("time") - 1).alias("first"), F.get("fields", F.col("held") - 1).alias("second"), "file", "ord"
+    )
 
 
 def read_polled(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-03: every ``<feature>_pid<PID>.csv`` below a folder as long series."""
-    pairs = _with_header(_named_for_pid(_text_pairs(spark, f"{folder}/*_pid*.csv")))
+    pairs = _named_for_pid(_with_header(_text_rows(spark, f"{folder}/*_pid*.csv")))
     return _samples(pairs, "polled", F.col("_pid"), F.col("_feature"))
 
 
 def read_global_series(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-04: the system-wide series, pid null; no rows if the file is absent."""
     try:
-        pairs = _with_header(_text_pairs(spark, f"{folder}/{GLOBAL_SERIES}.csv"))
+        pairs = _with_header(_text_rows(spark, f"{folder}/{GLOBAL_SERIES}.csv"))
         return _samples(pairs, "polled", F.lit(None).cast("string"), F.lit(GLOBAL_SERIES))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
@@ -157,7 +168,7 @@ def read_global_series(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-05, AGG-10: headerless event files; the files of one (pid, record) merge."""
-    pairs = _named_for_pid(_text_pairs(spark, f"{folder}/*_pid*.csv"))
+    pairs = _named_for_pid(_text_pairs(_text_rows(spark, f"{folder}/*_pid*.csv")))
     return _samples(pairs, "event", F.col("_pid"), F.col("_feature"))
 
 

@@ -123,12 +123,9 @@ def alloc_events_of(ev: DataFrame) -> DataFrame:
 
 
 def probe_log_of(ev: DataFrame) -> DataFrame:
-    kind = (
-        F.when(F.col("event_type") == "view", "enter")
-        .when(F.col("event_type") == "error", "sock_sendmsg")
-        .when(F.col("event_type") == "click", "exit")
-    )
-    return ev.where(F.col("event_type").isin("view", "error", "click")).select(
+    step = F.col("event_id") % 3
+    kind = F.when(step == 0, "enter").when(step == 1, "sock_sendmsg").otherwise("exit")
+    return ev.select(
         "ts_ns",
         (F.col("user_id") % 5).alias("id"),
         kind.alias("kind"),
@@ -176,3 +173,37 @@ def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(
         F.struct(F.col("conv_id").cast("string").alias("title"), F.array(paragraph).alias("paragraphs")).alias("data")
     )
+
+
+def write_series_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The series as CSV files of the names readers look for, with rows and files that must be skipped.
+
+    Polled files carry a header, those of odd pids with the columns the other way round
+    and a third one between; event files carry none, and come in two parts each.
+    """
+    feature, pid, time, value = F.col("feature"), F.col("pid"), F.col("ts_ns").cast("string"), F.col("value").cast("string")
+    plain, turned = F.concat_ws(",", time, value), F.concat_ws(",", value, F.lit("x"), time)
+    odd = F.coalesce(pid.cast("int") % 2 == 1, F.lit(False))
+    polled = polled_series(spark, sf_dir).select(
+        F.concat(feature, F.coalesce(F.concat(F.lit("_pid"), pid), F.lit("")), F.lit(".csv")).alias("name"),
+        "ord",
+        F.when(odd, turned).otherwise(plain).alias("line"),
+        F.when(odd, "value,note,ts_ns").otherwise("ts_ns,value").alias("top"),
+    )
+    header = polled.groupBy("name").agg(F.lit(-1).cast("long").alias("ord"), F.first("top").alias("line"))
+    part = F.when(F.col("ord") % 2 == 0, "more").otherwise("events")
+    evented = event_series(spark, sf_dir).select(
+        F.concat(part, F.lit("~"), feature, F.lit("_pid"), pid, F.lit(".csv")).alias("name"), "ord", plain.alias("line")
+    )
+    unnamed = header.select(F.lit("free_pid1.csv").alias("name"), "ord", F.lit("time,reading").alias("line")).distinct()
+    rows = polled.drop("top").unionByName(header).unionByName(evented).unionByName(unnamed)
+    bad = F.when(F.col("ord") >= 0, F.array("line", F.lit("not,a,sample"))).otherwise(F.array("line"))
+    written = rows.select("name", "ord", F.explode(bad).alias("line")).repartition("name").sortWithinPartitions("name", "ord")
+    written.select("name", F.col("line").alias("value")).write.partitionBy("name").text(f"{folder}-parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for sub in ("", "/events", "/more"):
+        store.mkdirs(path(folder + sub))
+    for found in store.globStatus(path(f"{folder}-parts/name=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("name=").replace("~", "/")
+        store.rename(found.getPath(), path(f"{folder}/{name}"))

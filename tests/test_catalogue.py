@@ -7,14 +7,17 @@ from tests.oracle_check import compare, connect
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 # One query per family; tests/oracle_check.py runs all of them.
-NAMES = ("parse_capture", "full_dataset", "event_routing", "socket_writes", "pagerank", "auroc", "qa_train", "stream_writes")
+NAMES = ("parse_capture", "full_dataset", "event_routing", "socket_writes", "pagerank", "auroc", "qa_train", "stream_writes", "features_cut", "flow_labels_cut", "interval_cut", "socket_writes_cut", "auroc_cut")
 
 
 def test_every_query_has_a_name_and_most_have_sql():
     from __spark_entry__ import oracle_sql, queries
+    from flowloom.catalogue import QUERIES
+    from flowloom.oracles import ORACLES
 
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"kmeans_copies", "svm_train"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_copies", "svm_train"}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -22,3 +25,33 @@ def test_query_equals_its_sql(spark, name):
     from __spark_entry__ import oracle_sql, queries
 
     assert compare(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) is None
+
+
+def test_cut_queries_do_cut(spark):
+    """At their rows per task the small tables have hot keys, sources and time lines to cut."""
+    from flowloom import surrogates as S
+    from flowloom.catalogue import CUT_ROWS
+    from flowloom.graph.pagerank import _hubs
+    from flowloom.operators.asof import time_splits
+    from flowloom.operators.flows import packet_splits
+    from flowloom.operators.splits import find_splits
+
+    packets = S.packets(spark, SF)
+    assert not packet_splits(packets, CUT_ROWS // 4).trivial
+    assert not find_splits(packets, ("source_ip",), "ts_ns", None, CUT_ROWS).trivial
+    assert not time_splits((packets, "ts_ns"), rows_per_task=CUT_ROWS).trivial
+    assert not find_splits(S.probe_log_of(S.events(spark, SF)), ("id",), "ts_ns", "ord", CUT_ROWS // 4).trivial
+    assert _hubs(S.edges(spark, SF), 10)
+
+
+def test_cutting_goes_by_rows_not_by_bytes(spark, tmp_path):
+    """One key, rows that compress to next to nothing: still cut into pieces of bounded size."""
+    from pyspark.sql import functions as F
+
+    from flowloom.operators.splits import CHUNK, find_splits
+
+    spark.range(40_000).select(F.lit(1).alias("k"), F.col("id").alias("t")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    splits = find_splits(rows, ("k",), "t", None, 2_000)
+    assert not splits.trivial
+    assert max(r["count"] for r in splits.attach(rows).groupBy(CHUNK).count().collect()) <= 2 * 2_000

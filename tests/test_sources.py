@@ -126,3 +126,30 @@ def test_tables_come_back_as_written(spark, tmp_path):
     assert readers.discover_partitions(spark, str(tmp_path / "flows"), "csv").first().pid is None
     sinks.write_by_pid(flow.withColumn("pid", F.lit("7")), str(tmp_path / "by_pid"), "csv")
     assert readers.discover_partitions(spark, str(tmp_path / "by_pid"), "csv").first().pid == "7"
+
+
+def test_polled_columns_are_found_by_name(spark, tmp_path):
+    write(tmp_path / "rss_pid1.csv", "value,ts_ns\n5,1\nts_ns,value\n6,2\n")
+    write(tmp_path / "cpu_pid1.csv", "note,ts_ns,more,value\nx,100,y,7\n")
+    write(tmp_path / "gpu_pid1.csv", "time,reading\nts_ns,value\n1,5\n")
+    found = sorted((r.feature, r.ts_ns, r.value) for r in readers.read_polled(spark, str(tmp_path)).collect())
+    assert found == [("cpu", 100, 7.0), ("rss", 1, 5.0), ("rss", 2, 6.0)]
+
+
+def test_packet_streams_refuse_other_headers(spark, tmp_path):
+    good = write(tmp_path / "in" / "a.csv", HEADER + "5,0.1,a,1,b,2,10\n5,0.2,a,1,b,2,20\n")
+    query = readers.stream_packets(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen_packets")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert [r.packet_size for r in spark.table("seen_packets").orderBy("packet_size").collect()] == [10, 20], good
+    turned = HEADER.replace("source_ip,source_port,destination_ip,destination_port", "destination_ip,destination_port,source_ip,source_port")
+    write(tmp_path / "other" / "a.csv", turned + "5,0.1,a,1,b,2,10\n")
+    with pytest.raises(Exception):
+        stream = readers.stream_packets(spark, str(tmp_path / "other")).writeStream.format("memory").queryName("bad_packets")
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_no_pids_is_an_error(spark):
+    from flowloom.operators.asof import fan_out_by_pid
+
+    with pytest.raises(Exception, match="no pids"):
+        fan_out_by_pid(spark.range(1), spark.createDataFrame([], "pid string")).collect()
