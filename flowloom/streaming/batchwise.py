@@ -24,7 +24,8 @@ Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 def run_batches(stream: DataFrame, step: Step, state_schema: StructType, folder: str) -> StreamingQuery:
     """Apply ``step(rows, state) -> (result, new state)`` to every micro-batch.
 
-    Results gather below ``<folder>/rows``, in one sub-folder per batch.
+    Results gather below ``<folder>/rows``, in one sub-folder per batch.  The batch is
+    kept while it is handled, so a source is read once per trigger.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -33,9 +34,13 @@ def run_batches(stream: DataFrame, step: Step, state_schema: StructType, folder:
             state = spark.createDataFrame([], state_schema)
         else:
             state = spark.read.schema(state_schema).parquet(f"{folder}/state/v={number - 1}")
-        result, after = step(batch, state)
-        result.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        after.write.mode("overwrite").parquet(f"{folder}/state/v={number}")
+        batch = batch.persist()
+        try:
+            result, after = step(batch, state)
+            result.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            after.write.mode("overwrite").parquet(f"{folder}/state/v={number}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(handle)

@@ -22,13 +22,21 @@ STATE_SCHEMA = StructType(
 )
 
 
-def newest_samples(series: DataFrame) -> DataFrame:
-    """The last sample of every series: one row per (pid, kind, feature)."""
-    return (
-        series.groupBy("pid", "kind", "feature")
+def samples_to_keep(series: DataFrame, delay_ns: int) -> DataFrame:
+    """What flows up to ``delay_ns`` late may still ask for.
+
+    Of every (pid, kind, feature) the samples of the last ``delay_ns`` before the newest
+    time seen in any series, and the last one ahead of them.
+    """
+    newest = series.agg(F.max("ts_ns")).scalar()
+    marked = series.withColumn("_recent", F.coalesce(F.col("ts_ns") > newest - F.lit(delay_ns), F.lit(False)))
+    ahead = (
+        marked.where(~F.col("_recent"))
+        .groupBy("pid", "kind", "feature")
         .agg(F.max(F.struct("ts_ns", "ord", "value")).alias("s"))
         .select("pid", "kind", "feature", "s.ts_ns", "s.value", "s.ord")
     )
+    return marked.where("_recent").select(*ahead.columns).unionByName(ahead)
 
 
 def asof_stream(
@@ -39,19 +47,27 @@ def asof_stream(
     events: Sequence[str],
     pids: DataFrame,
     rows_per_task: int = 4_000_000,
+    delay_ns: int = 3_600_000_000_000,
 ) -> StreamingQuery:
     """STR-03: last-value enrichment of a stream.
 
     ``split`` turns a micro-batch into (flows, samples).  Each batch is enriched
-    by the batch as-of operator over its own samples and the newest ones of all
-    earlier batches, so hot pids and bursts are handled as in batch.
+    by the batch as-of operator over its own samples and those kept of all earlier
+    batches, so hot pids and bursts are handled as in batch.  Flows may come up to
+    ``delay_ns`` after the newest sample of earlier batches; the samples may have been dropped that
+    later ones would need, so these go to ``<folder>/late`` as they came and get no row.
     """
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         flows, samples = split(batch)
+        horizon = state.agg(F.max("ts_ns")).head()[0]
+        if horizon is not None:
+            late = flows.where(F.col("start_ts_ns") <= horizon - delay_ns)
+            late.write.mode("append").parquet(f"{folder}/late")
+            flows = flows.where(~F.coalesce(F.col("start_ts_ns") <= horizon - delay_ns, F.lit(False)))
         held = samples.select("pid", "kind", "feature", "ts_ns", "value", "ord").unionByName(state)
         found = extract_features(flows, held, polled, events, pids, rows_per_task)
-        return found, newest_samples(held)
+        return found, samples_to_keep(held, delay_ns)
 
     return run_batches(rows, step, STATE_SCHEMA, folder)
 

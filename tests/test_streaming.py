@@ -89,3 +89,22 @@ def test_append_mode_writes_a_flow_once_the_watermark_has_passed(spark, tmp_path
     stream, _ = in_files(spark, tmp_path, packets, model.PACKET_DDL, 4, lambda r: r[0])
     found = enrich.run_to_table(stream_ops.flow_stream(stream, 5, "1 second"), str(tmp_path / "out")).collect()
     assert sorted((r.start_ts_ns, r.packet_count) for r in found) == [(1000, 2), (far, 1)]
+
+
+def test_flows_behind_the_samples_of_earlier_batches(spark, tmp_path):
+    """Samples at 10 and 30, then flows at 20 and, beyond the delay, at 5."""
+    rows = [("s", 10, 1.0, 0), ("s", 30, 3.0, 1)], [("f", 20, None, 2), ("f", 5, None, 3), ("s", 31, 4.0, 4)]
+    for part in rows:
+        spark.createDataFrame(part, "kind string, ts long, value double, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def split(batch):
+        flows = batch.where("kind = 'f'").selectExpr("id as flow_id", "ts as start_ts_ns")
+        return flows, batch.where("kind = 's'").selectExpr("'7' as pid", "'polled' as kind", "'rss' as feature", "ts as ts_ns", "value", "id as ord")
+
+    pids = spark.createDataFrame([("7",)], "pid string")
+    enrich.asof_stream(stream, split, str(tmp_path / "out"), ["rss"], [], pids, delay_ns=15).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out" / "rows")).collect()
+    assert [(r.flow_id, r.rss) for r in found] == [(2, 1.0)]
+    assert [r.flow_id for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()] == [3]
