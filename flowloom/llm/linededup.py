@@ -21,8 +21,10 @@ from flowloom.llm.keyfilter import filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# A set's id: parity of its words over PARITY bits, then a hash.
-PARITY, HASH = 40, 24
+# Words of a set flip one of PARITY bits each: WIDE of them in a number of their own, the
+# others in the set's id, in front of a hash of HASH bits.
+WIDE, NARROW, HASH = 64, 40, 24
+PARITY = WIDE + NARROW
 _KEY_BITS = 56
 
 
@@ -81,15 +83,21 @@ def rarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Every line as ``id, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first."""
+    """Every line as ``id, parity, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first."""
     keyed = word_keys(_lines(docs), classes)
     n = F.size("keys")
-    one = F.lit(1).cast("long")
-    flip = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(k, F.lit(PARITY)).cast("int")))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), flip)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def parity(first: int, bits: int) -> Column:
+        """Parities of the words that fall on bits [first, first + bits)."""
+        place = lambda k: F.pmod(k, F.lit(PARITY)).cast("int") - first
+        flipped = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
+        return F.aggregate("keys", zero, lambda s, k: F.when(place(k).between(0, bits - 1), flipped(s, k)).otherwise(s))
+
     fold = F.xxhash64("keys").bitwiseAND(F.lit((1 << HASH) - 1))
     return keyed.select(
-        F.shiftleft(parity, HASH).bitwiseOR(fold).alias("id"),
+        F.shiftleft(parity(WIDE, NARROW), HASH).bitwiseOR(fold).alias("id"),
+        parity(0, WIDE).alias("parity"),
         n.alias("n"),
         "doc_id",
         "rk",
@@ -119,27 +127,23 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     ``same`` document both directions are given and the order is settled afterwards.
     ``apart`` bounds the number of words in which the sets differ from below.
 
-    All common words up to the end of the prefix that ends first are shared by the
-    prefixes.  The rest of either set holds fewer words than the overlap needs, so the
-    prefixes must share the difference; counting their common words tells.
+    The first common word of similar sets leaves both enough words for the overlap that
+    they need; partners met at later words only are no candidates.
     """
     # sets below this size are similar to equal ones only
     least = similarity.under - 1 if similarity.under == similarity.over + 1 else 1
-    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), F.explode("prefix").alias("word"))
+    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
-    rest = F.greatest(x("n") - similarity.prefix(x("n")), y("n") - similarity.prefix(y("n")))
-    apart = F.bit_count(F.shiftrightunsigned(x("id").bitwiseXOR(y("id")), HASH))
-    fits = similarity.lengths_fit(x("n"), y("n")) & (apart <= x("n") + y("n") - need * 2)
+    rest = F.least(x("n") - x("at"), y("n") - y("at"))
+    narrow = F.bit_count(F.shiftrightunsigned(x("id").bitwiseXOR(y("id")), HASH))
+    apart = F.bit_count(x("parity").bitwiseXOR(y("parity"))) + narrow
+    fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
     pairs = one.join(two, (x("word") == y("word")) & (x("id") != y("id")) & (same | follows) & fits)
-    found = pairs.select(
-        x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same"), (need - rest).alias("due")
-    )
-    counted = found.groupBy("later", "other", "apart", "same", "due").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where("shared >= due").drop("due", "shared")
+    return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
 
 def line_texts(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,6 +191,7 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
         F.min(F.struct("doc_id", "rk", "pos")).alias("first"),
         F.count(F.lit(1)).alias("times"),
         F.first("n").alias("n"),
+        F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix"),
     )
     sets = stored(sets, "sets")
