@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowloom import surrogates as S
-from flowloom.catalogue import CLUSTERS, INTERVAL_NS, LLOYD_STEPS, PAGERANK_ROUNDS, POLLED, RECORDS, SCORE_WEIGHTS
+from flowloom.catalogue import CLUSTERS, INTERVAL_NS, LLOYD_STEPS, METRICS_ALLOWED, PAGERANK_ROUNDS, POLLED, RECORDS, SCORE_WEIGHTS
 from flowloom.config import POLLED_FEATURES
 from flowloom.operators.events import DIRECT_RECORDS, PROBE_RECORD, SAMPLED_RECORDS
 
@@ -231,10 +231,13 @@ SNAPSHOT = {
     "disk_write_bytes": "0",
 }
 # Snapshots of one (time, pid) are one row; event times are distinct.
-METRICS = f"WITH {EV} " + " UNION ALL ".join(
-    f"SELECT ts_ns, CAST(1000 + user_id % 3 AS INTEGER) AS pid, '{f}' AS feature, CAST({SNAPSHOT[f]} AS DOUBLE) AS value FROM ev"
-    for f in POLLED_FEATURES
-)
+
+
+def _metrics(features) -> str:
+    return f"WITH {EV} " + " UNION ALL ".join(
+        f"SELECT ts_ns, CAST(1000 + user_id % 3 AS INTEGER) AS pid, '{f}' AS feature, CAST({SNAPSHOT[f]} AS DOUBLE) AS value FROM ev"
+        for f in features
+    )
 
 
 def _pagerank() -> str:
@@ -285,10 +288,18 @@ LAST = f"a{LLOYD_STEPS}"
 MARGIN = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {w}" for i, w in enumerate(SCORE_WEIGHTS))
 
 QUESTIONS = """
+said AS (
+  SELECT conv_id, turn, role, CASE
+    WHEN role = 'user' AND conv_id % 3 = 0 THEN '  ' || text || ' ' || chr(10)
+    WHEN role = 'assistant' AND conv_id % 5 = 0 THEN ''
+    WHEN role = 'assistant' AND conv_id % 5 = 1 THEN ' ' || text || '  '
+    WHEN role = 'system' AND conv_id % 4 = 0
+      THEN 'Cutting Knowledge Date: May' || chr(10) || 'Today Date: June' || chr(10) || chr(10) || text
+    ELSE text END AS text FROM conversations),
 turns AS (
   SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-heads AS (SELECT conv_id, coalesce(max(text) FILTER (WHERE role = 'system'), '') AS context FROM conversations GROUP BY conv_id),
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+heads AS (SELECT conv_id, coalesce(max(text) FILTER (WHERE role = 'system'), '') AS context FROM said GROUP BY conv_id),
 asked AS (
   SELECT regexp_replace(CAST(t.conv_id AS VARCHAR), '^\\s+|\\s+$', '', 'g') AS title,
     regexp_replace(h.context, '^\\s+|\\s+$', '', 'g') AS context,
@@ -367,7 +378,7 @@ WHERE record IS NOT NULL AND record NOT IN ('cuda_allocations', 'cuda_collective
     "cache_allocations": f"WITH {EV} SELECT '1001' AS pid, ts_ns, size FROM ev WHERE 1000 + user_id % 4 = 1001",
     "sent_sizes": f"""WITH {EV} SELECT ts_ns, (1000 + user_id % 4) * 4294967296 + user_id AS id, size - 600 AS size
 FROM ev WHERE 1000 + user_id % 4 = 1002 AND size - 600 > 32""",
-    "metrics_unpivot": METRICS,
+    "metrics_unpivot": _metrics(METRICS_ALLOWED),
     "system_memory": f"WITH {EV} SELECT ts_ns, CAST(size * 1024 AS DOUBLE) AS value FROM ev",
     "series_pivot": f"""WITH {EV},{POLLED_SQL}
 SELECT pid, ts_ns, max(value) FILTER (WHERE feature = 'utime_ticks') AS utime_ticks,
@@ -406,7 +417,7 @@ SELECT ip, CAST(sum(i) AS BIGINT) AS bytes_in, CAST(sum(o) AS BIGINT) AS bytes_o
     "stream_writes_keyed": WRITES,
     "stream_asof": f"WITH {EV}, {STREAM_PROBES},{SERIES},{_enriched('probes', POLLED, RECORDS)} "
     f"SELECT pid, flow_id, {', '.join(POLLED + RECORDS + AGES)} FROM feat",
-    "stream_metrics": METRICS,
+    "stream_metrics": _metrics(POLLED_FEATURES),
 }
 
 # Cutting decides balance and never results.

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Which field of which file gives each feature.
 STATUS_FIELDS = {"vmsize_bytes": "VmSize", "vmrss_bytes": "VmRSS", "vmdata_bytes": "VmData"}
 IO_FIELDS = {"disk_read_bytes": "read_bytes", "disk_write_bytes": "write_bytes"}
-# Positions counted from 1 after the closing bracket of the command name.
-STAT_FIELDS = {"utime_ticks": 12, "stime_ticks": 13}
+# Positions counted from 0 after the closing bracket of the command name.
+STAT_FIELDS = {"utime_ticks": 11, "stime_ticks": 12}
 SNAPSHOT_FEATURES = (*STAT_FIELDS, *STATUS_FIELDS, *IO_FIELDS)
 
 
@@ -33,25 +33,43 @@ def _bytes(content: Column, field: str) -> Column:
     return F.coalesce(_line_number(content, field), F.lit(0)) * 1024
 
 
+def _features(content: Column) -> dict[str, dict[str, Column]]:
+    """By file, the features read from its content."""
+    words = F.split(F.trim(F.substring_index(content, ")", -1)), r"\s+")
+    return {
+        "stat": {name: F.get(words, F.lit(at)).try_cast("bigint") for name, at in STAT_FIELDS.items()},
+        "status": {name: _bytes(content, field) for name, field in STATUS_FIELDS.items()},
+        "io": {name: _line_number(content, field) for name, field in IO_FIELDS.items()},
+    }
+
+
+def file_features(log: DataFrame) -> DataFrame:
+    """SRC-13 file by file: ``ts_ns, pid, feature, value`` of each logged file by itself.
+
+    Fields that a file lacks are 0; a file that is not there gives no rows, so the
+    files of a snapshot may come apart.  No grouping, hence no shuffle.
+    """
+    listed = None
+    for file, fields in _features(F.col("content")).items():
+        values = [
+            F.struct(F.lit(name).alias("feature"), F.coalesce(value, F.lit(0)).cast("double").alias("value"))
+            for name, value in fields.items()
+        ]
+        held = F.col("file") == file
+        listed = F.when(held, F.array(*values)) if listed is None else listed.when(held, F.array(*values))
+    return log.select("ts_ns", "pid", F.inline(listed))
+
+
 def parse_proc_snapshots(log: DataFrame) -> DataFrame:
     """SRC-13: logged (ts_ns, pid, file, content) to one wide row per (time, pid).
 
     A process without a readable stat file has ticks 0; absent memory or I/O
     fields are 0 as well.
     """
-    content = F.col("content")
-    words = F.split(F.trim(F.substring_index(content, ")", -1)), r"\s+")
     columns = [
-        F.coalesce(_of("stat", F.get(words, F.lit(at - 1)).try_cast("bigint")), F.lit(0)).alias(name)
-        for name, at in STAT_FIELDS.items()
-    ]
-    columns += [
-        F.coalesce(_of("status", _bytes(content, field)), F.lit(0)).alias(name)
-        for name, field in STATUS_FIELDS.items()
-    ]
-    columns += [
-        F.coalesce(_of("io", _line_number(content, field)), F.lit(0)).alias(name)
-        for name, field in IO_FIELDS.items()
+        F.coalesce(_of(file, value), F.lit(0)).alias(name)
+        for file, fields in _features(F.col("content")).items()
+        for name, value in fields.items()
     ]
     processes = log.where(F.col("file").isin("stat", "status", "io"))
     return processes.groupBy("ts_ns", "pid").agg(*columns)

@@ -11,9 +11,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from flowloom.operators.asof import extract_features
 from flowloom.operators.filters import feature_allowlist
-from flowloom.operators.reshape import metrics_unpivot
-from flowloom.sources.proc import SNAPSHOT_FEATURES, parse_proc_snapshots
-from flowloom.sources.sinks import write_series
+from flowloom.sources.proc import SNAPSHOT_FEATURES, file_features
 from flowloom.streaming.batchwise import run_batches
 
 STATE_SCHEMA = StructType(
@@ -75,16 +73,16 @@ def asof_stream(
 def metric_stream(
     snapshots: DataFrame, path: str, checkpoint: str, features: Sequence[str] = SNAPSHOT_FEATURES
 ) -> StreamingQuery:
-    """STR-07: logged proc snapshots to one series per (feature, pid), batch by batch.
+    """STR-07: logged proc snapshots to one folder per batch and feature, pids as a column.
 
-    The files of one snapshot must arrive in one batch.
+    Every file speaks for itself, so the files of one snapshot may arrive in several
+    batches; a file that never comes gives no rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        wide = parse_proc_snapshots(batch)
-        series = feature_allowlist(metrics_unpivot(wide, SNAPSHOT_FEATURES), features)
-        rows = series.withColumn("pid", F.col("pid").cast("string"))
-        write_series(rows, f"{path}/batch={number}")
+        series = feature_allowlist(file_features(batch), features)
+        rows = series.withColumn("pid", F.col("pid").cast("string")).hint("rebalance", "feature")
+        rows.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/batch={number}")
 
     return (
         snapshots.writeStream.foreachBatch(write)

@@ -148,6 +148,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _awkward_text():
+    """Turns with what cleaning is for: outer blanks, empty answers, date preambles."""
+    role, conv, text = F.col("role"), F.col("conv_id"), F.col("text")
+    preamble = F.lit("Cutting Knowledge Date: May\nToday Date: June\n\n")
+    return (
+        F.when((role == "user") & (conv % 3 == 0), F.concat(F.lit("  "), text, F.lit(" \n")))
+        .when((role == "assistant") & (conv % 5 == 0), F.lit(""))
+        .when((role == "assistant") & (conv % 5 == 1), F.concat(F.lit(" "), text, F.lit("  ")))
+        .when((role == "system") & (conv % 4 == 0), F.concat(preamble, text))
+        .otherwise(text)
+    )
+
+
 def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per user turn: its question, with the conversation's system turn as context.
 
@@ -155,7 +168,7 @@ def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     is found by an equi-join on (conversation, turn), so a very long
     conversation is neither sorted in one task nor gathered into one row.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations").withColumn("text", _awkward_text())
     replies = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.array(F.struct(F.col("text"))).alias("reply")
     )
