@@ -25,6 +25,8 @@ CELLS = 1 << 17
 # others in the set's id, in front of a hash of HASH bits.
 WIDE, NARROW, HASH = 64, 40, 24
 PARITY = WIDE + NARROW
+# Of a set's rarest words, so many are asked for their heads.
+HEAD_WORDS = 4
 _KEY_BITS = 56
 
 
@@ -120,9 +122,40 @@ def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return ranked.withColumn("hashes", hashes).withColumn("keys", F.sort_array(keys)).drop("line", "levels", "hashes")
 
 
+def _least_size(similarity: Similarity) -> int:
+    """Sets below this size are similar to equal ones only."""
+    return similarity.under - 1 if similarity.under == similarity.over + 1 else 1
+
+
+def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """At most one pair for each set, with an earlier one of which it shares a rare word: ``later, other, same``.
+
+    Each of a set's rarest words has one head, the earliest set that holds it there.
+    Groups of near copies, however large, thus meet in as many pairs as members.
+    """
+    near = sets.where(F.col("n") >= _least_size(similarity)).select(
+        "id", "n", "parity", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
+    )
+    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity")).alias("head"))
+    n, m = F.col("n"), F.col("head.n")
+    apart = _apart(F.col("id"), F.col("parity"), F.col("head.id"), F.col("head.parity"))
+    fits = similarity.lengths_fit(n, m) & (apart <= n + m - similarity.overlap(n, m) * 2)
+    met = near.join(heads, "word").where((F.col("head.first") < F.col("first")) & fits)
+    best = met.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("head.id").alias("other"))).alias("best"))
+    return best.select(F.col("id").alias("later"), "best.other", F.lit(False).alias("same"))
+
+
+def _apart(a: Column, parity_a: Column, b: Column, parity_b: Column) -> Column:
+    """Words in which two sets differ at least, by their parities."""
+    narrow = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), HASH))
+    return F.bit_count(parity_a.bitwiseXOR(parity_b)) + narrow
+
+
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     """Pairs of different sets that the filters leave: ``later, other, apart, same``, each once.
 
+    Only ``open`` sets look for earlier ones.
+
     ``later`` first occurs in the document of the greater id; where that is the
     ``same`` document both directions are given and the order is settled afterwards.
     ``apart`` bounds the number of words in which the sets differ from below.
@@ -130,19 +163,16 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     The first common word of similar sets leaves both enough words for the overlap that
     they need; partners met at later words only are no candidates.
     """
-    # sets below this size are similar to equal ones only
-    least = similarity.under - 1 if similarity.under == similarity.over + 1 else 1
-    entries = sets.where(F.col("n") >= least).select("id", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
+    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
-    narrow = F.bit_count(F.shiftrightunsigned(x("id").bitwiseXOR(y("id")), HASH))
-    apart = F.bit_count(x("parity").bitwiseXOR(y("parity"))) + narrow
+    apart = _apart(x("id"), x("parity"), y("id"), y("parity"))
     fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
-    pairs = one.join(two, (x("word") == y("word")) & (x("id") != y("id")) & (same | follows) & fits)
+    pairs = one.join(two, (x("word") == y("word")) & x("open") & (x("id") != y("id")) & (same | follows) & fits)
     return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
 
@@ -182,8 +212,10 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     """Lines to remove, by document row: ``rk, later`` (their positions).
 
     A set with an earlier similar one goes wherever it occurs; of any other set all
-    but the first occurrence go.  So one similar earlier set is enough: the likeliest
-    is verified first, the others only for sets that this leaves open.
+    but the first occurrence go.  So one similar earlier set is enough.  The heads of rare
+    words are tried first, which settles the members of groups without pairing them
+    all; sets left open go through the full prefix join, where again the likeliest
+    partner is verified first and the others only if it fails.
     """
     classes = stored(rarity_classes(docs), "word-classes")
     lines = stored(line_sets(docs, classes, similarity), "lines")
@@ -196,10 +228,15 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     )
     sets = stored(sets, "sets")
     firsts = sets.select("id", "first", "times")
-    pairs = stored(similar_candidates(sets, similarity), "candidates")
+    tried = stored(head_candidates(sets, similarity), "head-candidates")
+    gone = stored(verified(tried, stored(line_texts(tried, firsts, docs), "line-texts"), firsts, similarity), "gone")
+    settled = gone.select(F.col("later").alias("id"), F.lit(False).alias("open"))
+    opened = stored(sets.join(settled, "id", "left").withColumn("open", F.coalesce("open", F.lit(True))), "open-sets")
+    pairs = stored(similar_candidates(opened, similarity), "candidates")
     texts = stored(line_texts(pairs, firsts, docs), "line-texts")
     nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
-    gone = stored(verified(nearest.select("later", "best.other", "best.same"), texts, firsts, similarity), "gone")
+    more = verified(nearest.select("later", "best.other", "best.same"), texts, firsts, similarity)
+    gone = stored(gone.union(more), "gone")
     open_still = pairs.join(gone, "later", "left_anti")
     gone = stored(gone.union(verified(open_still, texts, firsts, similarity)).distinct(), "gone")
     marked = (
