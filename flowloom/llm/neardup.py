@@ -11,7 +11,6 @@ all pairs of a component verified exactly, in blocks.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
