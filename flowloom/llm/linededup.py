@@ -172,8 +172,8 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
-    # written over both sides, so that it is not pushed below one of them: they share one shuffle
-    asks = x("open").cast("int") * y("n") > 0
+    # x is open; written alike over both sides, so that neither is filtered below and they share one shuffle
+    asks = x("open").cast("int") * 2 + y("open").cast("int") >= 2
     pairs = one.join(two, (x("word") == y("word")) & asks & (x("id") != y("id")) & (same | follows) & fits)
     return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
