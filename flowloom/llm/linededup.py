@@ -21,9 +21,9 @@ from flowloom.llm.keyfilter import filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# Words of a set flip one of PARITY bits each: WIDE of them in a number of their own, the
-# others in the set's id, in front of a hash of HASH bits.
-WIDE, NARROW, HASH = 64, 40, 24
+# Words of a set flip one of PARITY bits each, kept in two numbers.  They rule out
+# partners and never tell sets apart.
+WIDE, NARROW = 64, 40
 PARITY = WIDE + NARROW
 # Of a set's rarest words, so many are asked for their heads.
 HEAD_WORDS = 4
@@ -85,7 +85,11 @@ def rarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Every line as ``id, parity, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first."""
+    """Every line as ``set_hash, word_xor, parity, narrow, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first.
+
+    Equal sets agree in two hashes of 64 bits made in different ways: one of the sorted
+    keys, and the exclusive or of the whole word hashes.
+    """
     keyed = word_keys(_lines(docs), classes)
     n = F.size("keys")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -96,10 +100,11 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
         flipped = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
         return F.aggregate("keys", zero, lambda s, k: F.when(place(k).between(0, bits - 1), flipped(s, k)).otherwise(s))
 
-    fold = F.xxhash64("keys").bitwiseAND(F.lit((1 << HASH) - 1))
     return keyed.select(
-        F.shiftleft(parity(WIDE, NARROW), HASH).bitwiseOR(fold).alias("id"),
+        F.xxhash64("keys").alias("set_hash"),
+        "word_xor",
         parity(0, WIDE).alias("parity"),
+        parity(WIDE, NARROW).alias("narrow"),
         n.alias("n"),
         "doc_id",
         "rk",
@@ -111,7 +116,7 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
 
 
 def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The words of a line as distinct numbers, rarest first, in place of the line."""
+    """The words of a line as distinct numbers, rarest first, in place of the line, and ``word_xor`` of their whole hashes."""
     mask = F.lit((1 << _KEY_BITS) - 1)
     ranked = lines.withColumn("levels", classes.scalar())
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -119,7 +124,9 @@ def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
     keys = F.transform(
         "hashes", lambda h: F.shiftleft(F.get("levels", cell(h)).cast("long"), _KEY_BITS).bitwiseOR(h.bitwiseAND(mask))
     )
-    return ranked.withColumn("hashes", hashes).withColumn("keys", F.sort_array(keys)).drop("line", "levels", "hashes")
+    xor = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h))
+    keyed = ranked.withColumn("hashes", hashes).withColumn("keys", F.sort_array(keys)).withColumn("word_xor", xor)
+    return keyed.drop("line", "levels", "hashes")
 
 
 def _least_size(similarity: Similarity) -> int:
@@ -134,21 +141,21 @@ def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     Groups of near copies, however large, thus meet in as many pairs as members.
     """
     near = sets.where(F.col("n") >= _least_size(similarity)).select(
-        "id", "n", "parity", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
+        "id", "n", "parity", "narrow", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
     )
-    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity")).alias("head"))
+    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity", "narrow")).alias("head"))
     n, m = F.col("n"), F.col("head.n")
-    apart = _apart(F.col("id"), F.col("parity"), F.col("head.id"), F.col("head.parity"))
+    apart = _apart(F.col, lambda c: F.col(f"head.{c}"))
     fits = similarity.lengths_fit(n, m) & (apart <= n + m - similarity.overlap(n, m) * 2)
     met = near.join(heads, "word").where((F.col("head.first") < F.col("first")) & fits)
     best = met.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("head.id").alias("other"))).alias("best"))
     return best.select(F.col("id").alias("later"), "best.other", F.lit(False).alias("same"))
 
 
-def _apart(a: Column, parity_a: Column, b: Column, parity_b: Column) -> Column:
-    """Words in which two sets differ at least, by their parities."""
-    narrow = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), HASH))
-    return F.bit_count(parity_a.bitwiseXOR(parity_b)) + narrow
+def _apart(x, y) -> Column:
+    """Words in which two sets differ at least, by their parities; ``x`` and ``y`` give the columns of each."""
+    wide, narrow = (F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("parity", "narrow"))
+    return wide + narrow
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -163,12 +170,12 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     The first common word of similar sets leaves both enough words for the overlap that
     they need; partners met at later words only are no candidates.
     """
-    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
+    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", "narrow", F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
-    apart = _apart(x("id"), x("parity"), y("id"), y("parity"))
+    apart = _apart(x, y)
     fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
@@ -221,19 +228,21 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     """
     classes = stored(rarity_classes(docs), "word-classes")
     lines = stored(line_sets(docs, classes, similarity), "lines")
-    sets = lines.groupBy("id").agg(
+    sets = lines.groupBy("set_hash", "word_xor").agg(
         F.min(F.struct("doc_id", "rk", "pos")).alias("first"),
         F.count(F.lit(1)).alias("times"),
         F.first("n").alias("n"),
         F.first("parity").alias("parity"),
+        F.first("narrow").alias("narrow"),
         F.first("prefix").alias("prefix"),
     )
-    sets = stored(sets, "sets")
-    firsts = sets.select("id", "first", "times")
+    # numbered once, on writing: a short id for the joins of pairs, whatever the hashes
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    firsts = sets.select("id", "set_hash", "word_xor", "first", "times")
     tried = stored(head_candidates(sets, similarity), "head-candidates")
     gone = stored(verified(tried, stored(line_texts(tried, firsts, docs), "line-texts"), firsts, similarity), "gone")
     settled = gone.select(F.col("later").alias("id"), F.lit(False).alias("open"))
-    opened = stored(sets.join(settled, "id", "left").withColumn("open", F.coalesce("open", F.lit(True))), "open-sets")
+    opened = stored(sets.drop("set_hash", "word_xor").join(settled, "id", "left").withColumn("open", F.coalesce("open", F.lit(True))), "open-sets")
     pairs = stored(similar_candidates(opened, similarity), "candidates")
     texts = stored(line_texts(pairs, firsts, docs), "line-texts")
     nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
@@ -244,9 +253,9 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     marked = (
         firsts.join(gone.select(F.col("later").alias("id"), F.lit(True).alias("whole")), "id", "left")
         .where("times > 1 or whole")
-        .select("id", "first", F.coalesce("whole", F.lit(False)).alias("whole"))
+        .select("set_hash", "word_xor", "first", F.coalesce("whole", F.lit(False)).alias("whole"))
     )
-    repeated = lines.join(marked, "id").where(F.col("whole") | (F.struct("doc_id", "rk", "pos") > F.col("first")))
+    repeated = lines.join(marked, ["set_hash", "word_xor"]).where(F.col("whole") | (F.struct("doc_id", "rk", "pos") > F.col("first")))
     return repeated.groupBy("rk").agg(F.collect_set("pos").alias("later"))
 
 

@@ -63,3 +63,16 @@ def test_a_hot_line_and_its_near_copies(spark):
     texts += [" ".join([*base[:19], f"other{i}"]) for i in range(50)]
     rows = sorted(L.drop_later_lines(documents(spark, texts)).collect())
     assert [r.text for r in rows] == brute(texts)
+
+
+def test_short_lines_that_differ_all_stay(spark):
+    texts = ["\n".join(f"word{i}" for i in range(k, k + 500)) for k in range(0, 40_000, 500)]
+    rows = sorted(L.drop_later_lines(documents(spark, texts)).collect())
+    assert [r.n_removed for r in rows] == [0] * len(texts)
+    assert [r.text for r in rows] == texts
+
+
+def test_every_word_gives_a_whole_hash_of_its_own(spark):
+    lines = spark.createDataFrame([(1, 1, 0, f"only{i}") for i in range(40_000)], "doc_id long, rk long, pos int, line string")
+    keys = L.word_keys(lines, spark.sql(f"SELECT array_repeat(0Y, {L.CELLS}) AS levels"))
+    assert keys.select("word_xor").distinct().count() == keys.select("keys").distinct().count() == 40_000
