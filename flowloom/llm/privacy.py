@@ -68,7 +68,7 @@ def ips(text: str) -> Iterable[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = begin + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
                 yield begin, end
             begin = end + 1
 
@@ -152,6 +152,10 @@ _BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_at}|{_dot}|[@.])\s?[\])}}>]", re.I)
 # Words after a spoken "at" that make it prose.
 _PROSE_AFTER_AT = ("the", "a", "an", "this", "that", "our", "your", "my", "its", "their", "his", "her")
 _PROSE_AT = re.compile(rf"[ ](?:{_at})[ ](?:{'|'.join(_PROSE_AFTER_AT)})[ ]", re.I)
+# A spelled "at" before a written domain, and what shows a name in front of it.
+_AT_DOMAIN = re.compile(rf"[ ](?:{_at})[ ][a-z0-9-]+\.[a-z0-9]", re.I)
+_NAME = re.compile(r"(?=.*[a-z])(?=.*[._0-9])", re.I)
+_NAMED_TOP = re.compile(r"\.[a-z]{2,}$", re.I)
 _DASHES = str.maketrans({c: " " for c in "-,.;:()[]{}<>\n\t"})
 # "un" is an article far more often than a digit and starts no search by itself.
 _TELLING_DIGITS = frozenset(_DIGIT_WORDS) - {"un"}
@@ -161,6 +165,7 @@ def hints(text: str) -> tuple[bool, bool, bool]:
     """Cheap signs of look-alike characters, of disguised addresses, and of spelled digits."""
     words = set(text.lower().translate(_DASHES).split())
     signs = not words.isdisjoint(_DOT_WORDS) or " @" in text or "@ " in text or _BRACKETED.search(text) is not None
+    signs = signs or (not words.isdisjoint(_AT_WORDS) and _AT_DOMAIN.search(text) is not None)
     odd = not text.isascii() and _ODD.search(text) is not None
     return odd, signs, not words.isdisjoint(_TELLING_DIGITS)
 
@@ -197,6 +202,20 @@ def unmask(view: View) -> View:
     return view.rewrite((m.start(), m.end(), _LOOK_ALIKES[m.group()]) for m in _ODD.finditer(view.text))
 
 
+def _is_address(found: str) -> bool:
+    """Whether what reads as an address in words is one.
+
+    "meet at x.com" is prose: a spelled "at" needs a spelled "dot" with it, or a
+    name that no plain word is, with a dot, digit or underscore.
+    """
+    if "@" in found:
+        return True
+    if _PROSE_AT.search(found):
+        return False
+    name = _PLAIN_AT.split(found, maxsplit=1)[0]
+    return _SPOKEN_DOT.search(found) is not None or (_NAME.match(name) is not None and _NAMED_TOP.search(found) is not None)
+
+
 def join_signs(view: View) -> View:
     """"(at)", "[dot]" and addresses in words to their signs."""
     view = view.rewrite((m.start(), m.end(), "@") for m in _BRACKETED_AT.finditer(view.text))
@@ -205,8 +224,7 @@ def join_signs(view: View) -> View:
     edits = []
     for m in _SPELLED_ADDRESS.finditer(view.text):
         found = m.group()
-        # "meet at x.com" is prose: a spelled "at" needs a spelled "dot" with it
-        if "@" not in found and (_SPOKEN_DOT.search(found) is None or _PROSE_AT.search(found)):
+        if not _is_address(found):
             continue
         signs = [(a.start(), a.end(), "@") for a in _PLAIN_AT.finditer(found)]
         signs += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(found)]

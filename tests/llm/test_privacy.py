@@ -79,3 +79,17 @@ def test_frame(spark):
     plain = P.find_private(documents(spark, texts), hidden=False, masked=False).collect()
     assert [r.base_sha256 for r in plain] == [first.base_sha256, second.base_sha256]
     assert P.find_private(empty(spark)).collect() == []
+
+
+def test_a_spelled_at_before_a_written_domain():
+    for text in ("write to jane.doe at example.com, please", "jane_doe at example.com", "jane7 AT mail.example.org."):
+        found = P.hidden_spans(text, P.base_spans(text))
+        assert [P.KINDS[s.kind] for s in found] == ["email"] and " at " in text[found[0].start : found[0].end].lower()
+    for text in ("meet at x.com", "in 2023 at example.com", "jane.doe at 3.5", "see fig.2 at the example.com site"):
+        assert P.hidden_spans(text, P.base_spans(text)) == []
+
+
+def test_a_very_long_number_in_a_chain():
+    long = "0" * 5000
+    assert P.base_spans(f"{long}.1.2.3") == [P.Span(0, 1, 5006)]
+    assert P.base_spans(f"{long}9999.1.2.3") == []
