@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, linededup, mainline, neardup, packing, privacy, quality, sharding, tokencount, toxicity
+from flowloom.llm import decontaminate, linededup, mainline, neardup, packing, privacy, quality, recipes, sharding, tokencount, toxicity
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -62,6 +62,10 @@ def op10_ngram_join(spark, sf):
     return classes.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op12_exact_dedup(spark, sf):
+    return recipes.exact_groups(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_privacy": op1_privacy,
     "op2_quality": op2_quality,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 # op4: the windows of all items, joined with the windows of all documents
@@ -141,4 +146,12 @@ SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, n_co
 FROM documents d JOIN t ON t.t = coalesce(d.text, '') JOIN class USING (id) LEFT JOIN deg USING (id)
 """
 
-ORACLES = {"op4_decontaminate": _OP4, "op6_line_dedup": _OP6, "op10_ngram_join": _OP10}
+# op12: rows of one text without blanks, in the order in which they would stay
+_OP12 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER stays AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+       row_number() OVER stays = 1 AS kept, sha256(bare) AS text_sha256
+FROM d WINDOW stays AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+ORACLES = {"op4_decontaminate": _OP4, "op6_line_dedup": _OP6, "op10_ngram_join": _OP10, "op12_exact_dedup": _OP12}

@@ -10,9 +10,9 @@ BITS = 1 << 23
 _BITMAP = 32768
 
 
-def filter_table(keys: DataFrame, key: str) -> DataFrame:
-    """One row: the bitmaps that hold the (long) keys, ``BITS`` in all."""
-    h = F.pmod(key, F.lit(BITS))
+def filter_table(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """One row: the bitmaps that hold the (long) keys, ``bits`` (a power of two) in all."""
+    h = F.pmod(key, F.lit(bits))
     return (
         keys.groupBy(F.floor(h / _BITMAP).cast("int").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.pmod(h, F.lit(_BITMAP))).alias("bitmap"))
@@ -20,9 +20,9 @@ def filter_table(keys: DataFrame, key: str) -> DataFrame:
     )
 
 
-def maybe_held(key: Column, table: DataFrame) -> Column:
+def maybe_held(key: Column, table: DataFrame, bits: int = BITS) -> Column:
     """Whether the filter may hold a key; false only for keys that it was not given."""
-    h = F.pmod(key, F.lit(BITS))
+    h = F.pmod(key, F.lit(bits))
     place = F.pmod(h, F.lit(_BITMAP)).cast("int")
     bitmap = F.try_element_at(table.scalar(), F.floor(h / _BITMAP).cast("int"))
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
