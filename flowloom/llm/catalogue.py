@@ -6,7 +6,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, linededup, mainline, neardup, packing, privacy, quality, recipes, sharding, tokencount, toxicity
+from flowloom.llm import (
+    alignment,
+    decontaminate,
+    lexsearch,
+    linededup,
+    mainline,
+    neardup,
+    packing,
+    privacy,
+    quality,
+    recipes,
+    sharding,
+    tokencount,
+    toxicity,
+)
 from flowloom.session import ensure_checkpoint_dir
 
 
@@ -62,10 +76,18 @@ def op10_ngram_join(spark, sf):
     return classes.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op11_lexical_search(spark, sf):
+    return lexsearch.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_exact_dedup(spark, sf):
     return recipes.exact_groups(table(spark, sf, "documents"))
 
 
+def op13_token_alignment(spark, sf):
+    return alignment.align_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_privacy": op1_privacy,
     "op2_quality": op2_quality,
@@ -77,7 +99,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_lexical_search": op11_lexical_search,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # op4: the windows of all items, joined with the windows of all documents
@@ -146,6 +170,24 @@ SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, n_co
 FROM documents d JOIN t ON t.t = coalesce(d.text, '') JOIN class USING (id) LEFT JOIN deg USING (id)
 """
 
+# op11: all terms of all documents, joined with those of the items
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d WHERE len(w) > 0),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, corpus GROUP BY term, n_docs),
+s AS (SELECT item_id, rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w) * n_docs) // n_all)))) AS BIGINT) AS score
+      FROM i JOIN t USING (term) JOIN weight USING (term) JOIN d USING (rid), corpus GROUP BY item_id, rid),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+      FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
 # op12: rows of one text without blanks, in the order in which they would stay
 _OP12 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
@@ -154,4 +196,10 @@ SELECT doc_id, first_value(doc_id) OVER stays AS keep_id, count(*) OVER (PARTITI
 FROM d WINDOW stays AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)
 """
 
-ORACLES = {"op4_decontaminate": _OP4, "op6_line_dedup": _OP6, "op10_ngram_join": _OP10, "op12_exact_dedup": _OP12}
+ORACLES = {
+    "op4_decontaminate": _OP4,
+    "op6_line_dedup": _OP6,
+    "op10_ngram_join": _OP10,
+    "op11_lexical_search": _OP11,
+    "op12_exact_dedup": _OP12,
+}
