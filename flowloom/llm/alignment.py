@@ -14,6 +14,7 @@ its sums.  No document meets another and none is tokenized twice.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -86,12 +87,15 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=piece_model)
         alphabet = byte_alphabet()
-        self.a_bytes: dict[int, bytes] = {}
-        for token, k in self.a.get_vocab().items():
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, k in vocabulary.items():
             known = all(c in alphabet for c in token)
             self.a_bytes[k] = bytes(alphabet[c] for c in token) if known else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [self._piece_bytes(p) for p in pieces]
+        self.a_sizes, self.b_sizes = ([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
+        self.names = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         how = json.loads(byte_model)
         before = how.get("pre_tokenizer") or {}
         self.by_words = (
@@ -110,6 +114,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.unfit: set[int] = set()
         self.groups: list[str] = []
         self.counts = [array("q") for _ in range(4)]
         self.begins = array("q", [0])
@@ -122,22 +127,33 @@ class Aligner:
 
     def learn(self, words: list[str]) -> None:
         """Align words that are not known yet."""
-        for word, a, b in zip(
-            words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)
-        ):
-            self._enter(word, a.ids, b)
+        # nothing here forms cycles, and the collector would look at every known word again and again
+        gc.disable()
+        try:
+            encoded = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
+            for word, a, b in zip(words, encoded, self.b.encode(words, num_threads=1)):
+                self._enter(word, a.ids, b)
+        finally:
+            gc.enable()
 
     def _enter(self, word: str, a: list[int], b: list[int]) -> None:
-        self.number[word] = len(self.groups)
+        number = self.number[word] = len(self.groups)
         whole = b" " + word.encode()
-        a_bytes, b_bytes = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        fits = b"".join(a_bytes) == whole == b"".join(b_bytes)
-        groups, links = align(a, b, [len(x) for x in a_bytes], [len(x) for x in b_bytes]) if fits else ([], [])
-        # a word that does not fit has one group too few to have any
-        self.groups.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-        for held, n in zip(self.counts, (len(a), len(b), len(groups), len(links))):
-            held.append(n if fits else 0)
-        self.pairs.extend((x << 32) | y for x, y in links)
+        fits = b"".join([self.a_bytes[k] for k in a]) == whole == b"".join([self.b_bytes[k] for k in b])
+        if not fits:
+            self.unfit.add(number)
+            a = b = []
+        groups, links = align(a, b, self.a_sizes, self.b_sizes)
+        name = self.names
+        self.groups.append(
+            ";".join([",".join([name[k] for k in x]) + "|" + ",".join([name[k] for k in y]) for x, y in groups])
+        )
+        n_a, n_b, n_groups, n_links = self.counts
+        n_a.append(len(a))
+        n_b.append(len(b))
+        n_groups.append(len(groups))
+        n_links.append(len(links))
+        self.pairs.extend(links)
         self.begins.append(len(self.pairs))
         self.size += len(word) + len(links) + 16
 
@@ -146,47 +162,56 @@ class Aligner:
         cut = [self.words_of(t) if t else [] for t in texts]
         fresh = dict.fromkeys(w for words in cut for w in words if w not in self.number)
         self.learn(list(fresh))
-        known, n_groups = self.number, self.counts[2]
+        known, unfit = self.number, self.unfit
         out: list[list[int] | None] = []
         for text, words in zip(texts, cut):
             numbers = [known[w] for w in words]
-            if any(not n_groups[k] for k in numbers):
+            if unfit and not unfit.isdisjoint(numbers):
                 # a word that does not fit by itself: the text as a whole decides
                 if text not in known:
                     self.learn([text])
                 numbers = [known[text]]
-            out.append(numbers if numbers and n_groups[numbers[0]] else None)
+            out.append(numbers if numbers and numbers[0] not in unfit else None)
         return out
 
     def table(self) -> Words:
         return Words(np.array(self.begins, dtype="int64"), np.array(self.pairs, dtype="int64"))
 
-    def totals(self, numbers: list[int]) -> list[int]:
-        """Tokens of either side, groups and links of some words."""
-        return [sum(map(c.__getitem__, numbers)) for c in self.counts]
+    def totals(self, texts: list[list[int] | None]) -> np.ndarray:
+        """Per text (numbers of words) the tokens of either side, groups and links: one row each."""
+        numbers = np.array([k for t in texts for k in t or ()], dtype="int64")
+        ends = np.cumsum([len(t or ()) for t in texts], dtype="int64")
+        out = np.empty((len(texts), len(self.counts)), dtype="int64")
+        for column, held in enumerate(self.counts):
+            running = np.concatenate([[0], np.cumsum(np.frombuffer(held, dtype="int64")[numbers] if len(held) else [])])
+            out[:, column] = np.diff(running[ends], prepend=0)
+        return out
 
 
 def align(
     a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]
-) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups and links of two token sequences over the same bytes, given the bytes of each token.
+) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
+    """Groups and links (pairs of ids) of two token sequences over the same bytes; sizes are by id.
 
     Between two neighbouring boundaries lies exactly one token of either side; that is one link.
     """
+    if len(a) == 1 or len(b) == 1:
+        return [(a, b)], [(x << 32) | y for x in a for y in b]
     groups, links = [], []
-    i = j = first_i = first_j = a_end = b_end = 0
-    if a:
-        a_end, b_end = a_sizes[0], b_sizes[0]
+    i = j = first_i = first_j = ahead = 0
     while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        ahead = b_end - a_end
-        if ahead >= 0:
+        # how much further the token of b reaches than that of a
+        if i == first_i and j == first_j:
+            ahead = b_sizes[b[j]] - a_sizes[a[i]]
+        links.append((a[i] << 32) | b[j])
+        if ahead > 0:
             i += 1
-            a_end += a_sizes[i] if i < len(a) else 0
-        if ahead <= 0:
+            ahead -= a_sizes[a[i]]
+        elif ahead < 0:
             j += 1
-            b_end += b_sizes[j] if j < len(b) else 0
-        if ahead == 0:
+            ahead += b_sizes[b[j]]
+        else:
+            i, j = i + 1, j + 1
             groups.append((a[first_i:i], b[first_j:j]))
             first_i, first_j = i, j
     return groups, links
@@ -341,8 +366,8 @@ def inverted(
                     yield from flush()
                     aligner.forget()
                 found = aligner.numbers_of([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, numbers in zip(part.column(0).to_pylist(), found):
-                    counts = aligner.totals(numbers or [])
+                totals = aligner.totals(found).tolist()
+                for doc_id, numbers, counts in zip(part.column(0).to_pylist(), found, totals):
                     digest = ""
                     if numbers is not None:
                         digest = hashlib.sha256(";".join([aligner.groups[k] for k in numbers]).encode()).hexdigest()
