@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from flowloom.plans import dataset
 from flowloom.schemas import FLOW
 from flowloom.session import ensure_checkpoint_dir
 from flowloom.sources import proc, readers, sinks
-from flowloom.streaming import batchwise, enrich, stateful
+from flowloom.streaming import batchwise, enrich, stateful, timed
 from flowloom.streaming import flows as stream_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,8 @@ CUT_ROWS = 200
 # Three of the seven features, in another order.
 METRICS_ALLOWED = ("disk_read_bytes", "vmrss_bytes", "utime_ticks")
 CUT = replace(S.SURROGATE, rows_per_task=CUT_ROWS)
+# Delay of the watermark for streams whose files are up to a day out of order.
+DISORDER = "2 days"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -167,8 +170,12 @@ def socket_writes(spark, sf):
 
 
 def _probe_events(spark, sf):
+    return _probes_of(S.events(spark, sf))
+
+
+def _probes_of(ev: DataFrame) -> DataFrame:
     probes = F.array(*[F.lit(p) for p in [*events.PROBE_RECORD, "unlisted"]])
-    return S.events(spark, sf).select(
+    return ev.select(
         F.get(probes, F.col("k") % 9).alias("probe"),
         (F.lit(1000) + F.col("user_id") % 4).alias("pid"),
         "ts_ns",
@@ -463,10 +470,83 @@ def stream_writes(spark, sf):
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
+def _arriving_events(spark: SparkSession, sf: str, folder: str, arrivals: int = 4) -> DataFrame:
+    """The events as a stream of files, up to a day out of order, and a closing event a century later.
+
+    What comes last in a stream in event time waits for something later; the closing event is that, and stays waiting.
+    """
+    raw = S.table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last, most = raw.agg(F.min(us), F.max(us), F.max("event_id")).head()
+    day = 86_400_000_000
+    late = us + F.pmod(F.xxhash64("event_id"), F.lit(day))
+    arrival = F.floor((late - first) * arrivals / F.lit(last - first + day + 1))
+    for k in range(arrivals):
+        raw.where(arrival == k).write.mode("append").parquet(f"{folder}/events")
+    closing = {"event_id": most + 1, "ts": datetime(2124, 1, 1), "user_id": 0, "event_type": "view", "value": 0.0, "props": '{"k": 0}'}
+    spark.createDataFrame([tuple(closing[n] for n in raw.columns)], raw.schema).write.mode("append").parquet(f"{folder}/events")
+    files = len(spark.read.parquet(f"{folder}/events").inputFiles())
+    read = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", str(-(-files // (arrivals + 1))))
+    return S.shape_events(read.parquet(f"{folder}/events"))
+
+
+def stream_flows_append(spark, sf):
+    """STR-02 in append mode: every flow once, when the watermark has passed its gap."""
+    folder = scratch(spark)
+    found = stream_ops.flow_stream(S.packets_of(_arriving_events(spark, sf, folder)), S.SURROGATE.flow_gap_us, DISORDER)
+    return enrich.run_to_table(found, folder)
+
+
+def stream_flow_counters(spark, sf):
+    """JON-03 as a stream: packets get the bytes of their source before them, flows those of their first packet."""
+    folder = scratch(spark)
+    packets = S.packets_of(_arriving_events(spark, sf, folder))
+    timed.counted_packets(packets, f"{folder}/counted", DISORDER, lanes=3).awaitTermination()
+    counted = spark.readStream.schema(timed.COUNTED_PACKET).parquet(f"{folder}/counted/rows")
+    found = stream_ops.flow_stream(counted, S.SURROGATE.flow_gap_us, DISORDER, carry=("neworkin", "neworkout"))
+    return enrich.run_to_table(found, folder, "complete").select(
+        "src_ip", "src_port", "dst_ip", "dst_port", "start_ts_ns", "neworkin", "neworkout"
+    )
+
+
+def stream_routing(spark, sf):
+    """STF-05 as a stream over five batches; pids are known once they have sent a probe."""
+    folder = scratch(spark)
+    probes = _probes_of(_in_batches(spark, sf, folder))
+    batchwise.routing_batches(probes, folder, INTERVAL_NS, gpu=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+def _in_batches(spark: SparkSession, sf: str, folder: str, batches: int = 5) -> DataFrame:
+    """The events as a stream of several batches in time order."""
+    raw = S.table(spark, sf, "events")
+    cuts = raw.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / batches for i in range(1, batches)])).head()[0]
+    place = sum((F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(c)).cast("int") for c in cuts)
+    for k in range(batches):
+        raw.where(place == k).write.mode("append").parquet(f"{folder}/events")
+    files = len(spark.read.parquet(f"{folder}/events").inputFiles())
+    read = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", str(-(-files // batches)))
+    return S.shape_events(read.parquet(f"{folder}/events"))
+
+
 def stream_writes_keyed(spark, sf):
-    """The same with per-key state in the state store."""
-    found = stateful.write_pair_stream(S.probe_log_of(_event_stream(spark, sf)))
-    return enrich.run_to_table(found, scratch(spark))
+    """STR-06 with per-thread state that a timer removes."""
+    folder = scratch(spark)
+    found = timed.write_pairs(S.probe_log_of(_arriving_events(spark, sf, folder)), DISORDER, idle_ms=3 * 86_400_000)
+    return enrich.run_to_table(found, folder)
+
+
+def stream_asof_keyed(spark, sf):
+    """STR-03 with per-pid state: each packet as a probe against the samples of the same stream, out of order."""
+    folder = scratch(spark)
+    ev = _arriving_events(spark, sf, folder)
+    asked = ev.select("ts_ns", F.col("event_id").alias("ord"), F.to_json(F.struct(F.col("event_id").alias("flow_id"))).alias("flow"))
+    samples = S.polled_of(ev).unionByName(S.event_series_of(ev))
+    rows = asked.unionByName(samples, allowMissingColumns=True)
+    known = lambda n: [str(1000 + r[0]) for r in S.table(spark, sf, "events").select(F.col("user_id") % n).distinct().collect()]
+    found = timed.last_values(rows, POLLED, RECORDS, known(4), known(3), DISORDER, idle_ms=30 * 86_400_000)
+    found = found.withColumn("flow_id", F.get_json_object("flow", "$.flow_id").cast("long")).drop("flow")
+    return enrich.run_to_table(found, folder)
 
 
 def stream_asof(spark, sf):
@@ -499,6 +579,31 @@ def stream_metrics(spark, sf):
     )
 
 
+def _growing_series(spark, sf, follow: Callable[[str], DataFrame]) -> DataFrame:
+    """What a stream makes of series files that grow twice while it is stopped, one pid coming late."""
+    folder = scratch(spark)
+    (last,) = S.events(spark, sf).agg(F.max("event_id")).head()
+    early = [(F.col("ord") < last / 3) & (F.col("pid") != "1002"), F.col("ord") < 2 * last / 3, None]
+    for upto in early:
+        S.write_series_files(spark, sf, f"{folder}/series", upto)
+        found = enrich.run_to_table(follow(f"{folder}/series"), folder)
+    return found.select("pid", "kind", "feature", "ts_ns", "value")
+
+
+def stream_polled(spark, sf):
+    """SRC-03 as a stream: files of both header orders that grow, in ranges of a few lines."""
+    return _growing_series(spark, sf, lambda at: readers.stream_polled(spark, at, rangeBytes="20000"))
+
+
+def stream_events(spark, sf):
+    """SRC-05 as a stream, over two folders."""
+
+    def follow(at: str) -> DataFrame:
+        return readers.stream_events(spark, f"{at}/events").unionByName(readers.stream_events(spark, f"{at}/more"))
+
+    return _growing_series(spark, sf, follow)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -565,5 +670,11 @@ QUERIES: dict[str, Query] = {
         stream_writes_keyed,
         stream_asof,
         stream_metrics,
+        stream_polled,
+        stream_events,
+        stream_flows_append,
+        stream_flow_counters,
+        stream_routing,
+        stream_asof_keyed,
     )
 }

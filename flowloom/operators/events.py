@@ -55,6 +55,14 @@ def name_records(events: DataFrame, records: Iterable[str] = tuple(PROBE_RECORD.
     return events.where(F.col("probe").isin(probes_of(records))).withColumn("record", names[F.col("probe")])
 
 
+def record_kinds(gpu: bool) -> tuple[list[str], list[str], list[str]]:
+    """The records that pass straight, those summed per pid, and those summed over the system."""
+    wanted = [r for r in PROBE_RECORD.values() if gpu or r not in GPU_RECORDS]
+    shared = [r for r in wanted if r in SYSTEM_WIDE_RECORDS]
+    owned = [r for r in wanted if r in SAMPLED_RECORDS and r not in SYSTEM_WIDE_RECORDS]
+    return [r for r in wanted if r in DIRECT_RECORDS], owned, shared
+
+
 def route_records(
     events: DataFrame,
     pids: DataFrame,
@@ -68,7 +76,7 @@ def route_records(
     collective sizes are summed per interval; the rest pass straight through.
     System-wide probes are summed once and then copied to every pid.
     """
-    wanted = [r for r in PROBE_RECORD.values() if gpu or r not in GPU_RECORDS]
+    direct, own, shared = record_kinds(gpu)
     traced = pids.select(F.col("pid").cast("string"))
 
     def owned(records: Iterable[str]) -> DataFrame:
@@ -76,15 +84,15 @@ def route_records(
         return rows.join(traced, "pid", "left_semi")
 
     columns = ["record", "pid", "ts_ns", "size", "ord"]
-    straight = owned([r for r in wanted if r in DIRECT_RECORDS])
-    summed = owned([r for r in wanted if r in SAMPLED_RECORDS and r not in SYSTEM_WIDE_RECORDS]).select(*columns)
-    shared = [r for r in wanted if r in SYSTEM_WIDE_RECORDS]
+    straight = owned(direct)
+    summed = owned(own).select(*columns)
     if shared:
-        everywhere = name_records(events, shared).withColumn("pid", F.lit(None).cast("string"))
+        # an empty pid stands for the system: unlike null it is a key, so that a hot one can be cut
+        everywhere = name_records(events, shared).withColumn("pid", F.lit(""))
         summed = summed.unionByName(everywhere.select(*columns))
     totals = interval_accumulate(summed, interval_ns, ("record", "pid"), rows_per_task=rows_per_task)
     listed = traced.agg(F.collect_set("pid").alias("p")).scalar()
     copied = totals.withColumn(
-        "pid", F.explode(F.when(F.col("pid").isNotNull(), F.array("pid")).otherwise(listed))
+        "pid", F.explode(F.when(F.col("pid") != "", F.array("pid")).otherwise(listed))
     )
     return straight.select("record", "pid", "ts_ns", "size").unionByName(copied.select("record", "pid", "ts_ns", "size"))

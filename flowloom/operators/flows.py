@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ _PARTIAL = (
 )
 
 
-def to_flow_key(packets: DataFrame) -> DataFrame:
-    """Rename packet columns to the names flows use; ``ord`` is the file position."""
+def to_flow_key(packets: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Rename packet columns to the names flows use; ``ord`` is the file position.
+
+    Columns named in ``carry`` stay.
+    """
     require_columns(
         packets,
         ["ts_ns", "source_ip", "source_port", "destination_ip", "destination_port", "packet_size", "ord"],
@@ -38,6 +43,7 @@ def to_flow_key(packets: DataFrame) -> DataFrame:
         "ord",
         raw.alias("ts_raw"),
         F.col("packet_size").alias("size"),
+        *carry,
     )
 
 

@@ -53,8 +53,8 @@ def summarise_piece(ts: np.ndarray, size: np.ndarray, interval_ns: int) -> dict:
 
 def emit_piece(
     ts: np.ndarray, size: np.ndarray, interval_ns: int, prev_ts: int, pending: int, exact: bool
-) -> tuple[list[int], list[int], list[int]]:
-    """Emissions of one piece given the state at its start: stamps, sums and own times.
+) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Emissions of one piece given the state at its start: stamps, sums, own times, and exact sums.
 
     An emission is stamped with the time of the emission before it.  The
     emitting event counts twice unless ``exact``.
@@ -66,14 +66,13 @@ def emit_piece(
         chosen.append(at)
         at = follow[at]
     if not chosen:
-        return [], [], []
+        return [], [], [], []
     index = np.array(chosen)
     total = np.cumsum(size)
-    sums = np.diff(total[index], prepend=-pending)
-    if not exact:
-        sums = sums + size[index]
+    own = np.diff(total[index], prepend=-pending)
+    sums = own if exact else own + size[index]
     stamps = np.concatenate(([prev_ts], ts[index[:-1]]))
-    return stamps.tolist(), sums.tolist(), ts[index].tolist()
+    return stamps.tolist(), sums.tolist(), ts[index].tolist(), own.tolist()
 
 
 def interval_accumulate(
@@ -101,7 +100,7 @@ def interval_accumulate(
     parallel from their known starting state.
 
     ``state`` (series, prev, pending; keys not null) continues an earlier run;
-    ``emission_times`` adds ``at_ns``, the time of each emitting event.
+    ``emission_times`` adds ``at_ns``, the time of each emitting event, and ``own``, its exact sum.
     """
     series = list(series)
     rows = events.select(*series, "ts_ns", "size", "ord")
@@ -109,7 +108,7 @@ def interval_accumulate(
         splits = find_splits(rows, series, "ts_ns", "ord", rows_per_task)
     cut = splits.attach(rows)
     keys = [cut.schema[c] for c in series]
-    longs = ["ts_ns", "size"] + (["at_ns"] if emission_times else [])
+    longs = ["ts_ns", "size"] + (["at_ns", "own"] if emission_times else [])
     out_schema = StructType(keys + [StructField(name, LongType()) for name in longs])
     zero = F.lit(0).cast("long")
     begun = _with_state(cut, series, state)
@@ -126,17 +125,12 @@ def interval_accumulate(
 
     def emit(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values(["ts_ns", "ord"], kind="stable")
-        stamps, sums, times = emit_piece(
-            piece["ts_ns"].to_numpy("int64"),
-            piece["size"].to_numpy("int64"),
-            interval_ns,
-            int(piece["_prev"].iloc[0]),
-            int(piece["_pending"].iloc[0]),
-            exact,
-        )
+        ts, size = piece["ts_ns"].to_numpy("int64"), piece["size"].to_numpy("int64")
+        begun = int(piece["_prev"].iloc[0]), int(piece["_pending"].iloc[0])
+        stamps, sums, times, own = emit_piece(ts, size, interval_ns, *begun, exact)
         if not stamps:
             return pd.DataFrame()
-        out = pd.DataFrame({"ts_ns": stamps, "size": sums, "at_ns": times}, dtype="int64")[longs]
+        out = pd.DataFrame({"ts_ns": stamps, "size": sums, "at_ns": times, "own": own}, dtype="int64")[longs]
         for place, name in enumerate(series):
             out.insert(place, name, [piece[name].iloc[0]] * len(out))
         return out
@@ -155,7 +149,7 @@ def _with_state(rows: DataFrame, series: list[str], state: DataFrame | None) ->
 
 
 def next_state(events: DataFrame, emitted: DataFrame, state: DataFrame, series: Sequence[str]) -> DataFrame:
-    """The state after ``events``, from exact sums with their emission times.
+    """The state after ``events``, from the exact sums (``own``) and times of what was emitted.
 
     Bytes are either emitted or pending, so the pending ones follow by subtraction.
     """
@@ -164,7 +158,7 @@ def next_state(events: DataFrame, emitted: DataFrame, state: DataFrame, series:
     changes = (
         state.select(*series, F.col("prev").alias("t"), F.col("pending").alias("b"))
         .unionByName(events.select(*series, none.alias("t"), F.col("size").alias("b")))
-        .unionByName(emitted.select(*series, F.col("at_ns").alias("t"), (-F.col("size")).alias("b")))
+        .unionByName(emitted.select(*series, F.col("at_ns").alias("t"), (-F.col("own")).alias("b")))
     )
     return changes.groupBy(*series).agg(
         F.coalesce(F.max("t"), F.lit(0)).alias("prev"), F.sum("b").alias("pending")

@@ -418,6 +418,15 @@ SELECT ip, CAST(sum(i) AS BIGINT) AS bytes_in, CAST(sum(o) AS BIGINT) AS bytes_o
     "stream_asof": f"WITH {EV}, {STREAM_PROBES},{SERIES},{_enriched('probes', POLLED, RECORDS)} "
     f"SELECT pid, flow_id, {', '.join(POLLED + RECORDS + AGES)} FROM feat",
     "stream_metrics": _metrics(POLLED_FEATURES),
+    "stream_polled": f"WITH {EV},{POLLED_SQL} SELECT pid, 'polled' AS kind, feature, ts_ns, value FROM own_polled",
+    "stream_events": f"WITH {EV},{EVENT_SQL} SELECT pid, 'event' AS kind, feature, ts_ns, value FROM evented",
+}
+
+ORACLES |= {
+    "stream_flows_append": ORACLES["stream_flows"],
+    "stream_flow_counters": ORACLES["flow_counters"],
+    "stream_routing": ORACLES["event_routing"],
+    "stream_asof_keyed": ORACLES["stream_asof"],
 }
 
 # Cutting decides balance and never results.

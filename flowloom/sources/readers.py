@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,6 +22,7 @@ from flowloom.functions.scalars import (
     tolerant_number,
 )
 from flowloom.schemas import PACKET, QA_DOCUMENT
+from flowloom.sources import tail
 
 # One captured packet per line, and the header of a series file.
 CAPTURE_LINE = (
@@ -97,9 +98,12 @@ def _text_rows(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"),
         (F.col("_metadata.file_block_start") == 0).alias("front"),
     )
-    # quotes are dropped: no field of these files holds a comma
-    fields = F.transform(F.split(F.replace("value", F.lit('"'), F.lit("")), ","), lambda x: F.trim(x))
-    return lines.select(fields.alias("fields"), "file", "ord", "front")
+    return lines.select(_fields("value").alias("fields"), "file", "ord", "front")
+
+
+def _fields(line: str) -> Column:
+    """The CSV fields of a line; quotes are dropped, as no field of these files holds a comma."""
+    return F.transform(F.split(F.replace(line, F.lit('"'), F.lit("")), ","), lambda x: F.trim(x))
 
 
 def _text_pairs(rows: DataFrame) -> DataFrame:
@@ -140,14 +144,43 @@ def _with_header(rows: DataFrame) -> DataFrame:
     only when AQE has seen that it is small.
     """
     first = rows.where("front").groupBy("file").agg(F.min(F.struct("ord", "fields")).alias("top"))
-    at = lambda name: F.array_position("top.fields", name).cast("int")
-    headers = first.select("file", F.col("top.ord").alias("head"), at("ts_ns").alias("time"), at("value").alias("held"))
-    below = rows.join(headers.where("time > 0 and held > 0"), "file").where("ord <> head")
+    headers = first.select("file", F.col("top.ord").alias("head"), F.col("top.fields").alias("names"))
+    return _named_fields(rows.join(headers, "file").where("ord <> head"))
+
+
+def _named_fields(rows: DataFrame) -> DataFrame:
+    """Time and value of rows whose file names both in its header (``names``), at whatever places."""
+    at = lambda name: F.array_position("names", name).cast("int")
+    below = rows.withColumns({"time": at("ts_ns"), "held": at("value")}).where("time > 0 and held > 0")
     return below.select(
         F.get("fields", F.col("time") - 1).alias("first"), F.get("fields", F.col("held") - 1).alias("second"), "file", "ord"
     )
 
 
+def _growing_rows(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Lines of series files as they come, as CSV fields; ``ord`` is where a line begins in its file."""
+    spark.dataSource.register(tail.GrowingLines)
+    lines = spark.readStream.format(tail.FORMAT).options(pattern="*_pid*.csv", **options).load(folder)
+    return lines.select(_fields("value").alias("fields"), _fields("head").alias("names"), "file", F.col("place").alias("ord"))
+
+
+def stream_polled(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """SRC-03 as a stream: the lines that come to ``<feature>_pid<PID>.csv`` files of a folder.
+
+    Files may appear late and grow while they are read; each keeps its own header, which is read again
+    from its first line.  A last line without a line break waits for it.  A file that shrinks
+    raises.  ``ord`` orders the samples of one file.
+    """
+    rows = _growing_rows(spark, folder, **options).where("ord > 0")
+    return _samples(_named_for_pid(_named_fields(rows)), "polled", F.col("_pid"), F.col("_feature"))
+
+
+def stream_events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """SRC-05 as a stream: the lines that come to headerless event files of a folder, as above."""
+    pairs = _named_for_pid(_text_pairs(_growing_rows(spark, folder, **options)))
+    return _samples(pairs, "event", F.col("_pid"), F.col("_feature"))
+
+
 def read_polled(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-03: every ``<feature>_pid<PID>.csv`` below a folder as long series."""
     pairs = _named_for_pid(_with_header(_text_rows(spark, f"{folder}/*_pid*.csv")))

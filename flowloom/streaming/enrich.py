@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from flowloom.operators.asof import extract_features
 from flowloom.operators.filters import feature_allowlist
 from flowloom.sources.proc import SNAPSHOT_FEATURES, file_features
-from flowloom.streaming.batchwise import run_batches
+from flowloom.streaming.batchwise import Keep, Step, run_batches
 
 STATE_SCHEMA = StructType(
     [StructField(n, StringType()) for n in ("pid", "kind", "feature")]
@@ -53,21 +53,36 @@ def asof_stream(
     by the batch as-of operator over its own samples and those kept of all earlier
     batches, so hot pids and bursts are handled as in batch.  Flows may come up to
     ``delay_ns`` after the newest sample of earlier batches; the samples may have been dropped that
-    later ones would need, so these go to ``<folder>/late`` as they came and get no row.
+    later ones would need, so these go to ``<folder>/late``, by batch, as they came and get no row.
     """
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    step = asof_step(split, folder, polled, events, pids, rows_per_task, delay_ns)
+    return run_batches(rows, step, STATE_SCHEMA, folder)
+
+
+def asof_step(
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    folder: str,
+    polled: Sequence[str],
+    events: Sequence[str],
+    pids: DataFrame,
+    rows_per_task: int = 4_000_000,
+    delay_ns: int = 3_600_000_000_000,
+) -> Step:
+    """What happens to one micro-batch of ``asof_stream``; done again, it writes the same folders again."""
+
+    def step(batch: DataFrame, state: DataFrame, number: int, keep: Keep) -> tuple[DataFrame, DataFrame]:
         flows, samples = split(batch)
         horizon = state.agg(F.max("ts_ns")).head()[0]
         if horizon is not None:
             late = flows.where(F.col("start_ts_ns") <= horizon - delay_ns)
-            late.write.mode("append").parquet(f"{folder}/late")
+            late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
             flows = flows.where(~F.coalesce(F.col("start_ts_ns") <= horizon - delay_ns, F.lit(False)))
         held = samples.select("pid", "kind", "feature", "ts_ns", "value", "ord").unionByName(state)
         found = extract_features(flows, held, polled, events, pids, rows_per_task)
         return found, samples_to_keep(held, delay_ns)
 
-    return run_batches(rows, step, STATE_SCHEMA, folder)
+    return step
 
 
 def metric_stream(

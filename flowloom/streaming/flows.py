@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,18 @@ def packet_stream(lines: DataFrame) -> DataFrame:
     return parse_capture_text(lines)
 
 
-def flow_stream(packets: DataFrame, gap_us: int, watermark: str = "10 minutes") -> DataFrame:
+def flow_stream(
+    packets: DataFrame, gap_us: int, watermark: str = "10 minutes", carry: Sequence[str] = ()
+) -> DataFrame:
     """STR-02: flows of a packet stream by session windows.
 
     Window times are microseconds: gaps that differ from the limit by less than
     one microsecond may be judged otherwise than in the batch operator.  In
     append mode a flow is written once the watermark has passed its end by the
     gap; later packets for it are dropped, so the watermark delay must cover
-    the disorder of the source.
+    the disorder of the source.  Columns named in ``carry`` are those of the first packet.
     """
-    keyed = to_flow_key(packets).withColumn("event_time", F.timestamp_micros(F.expr("ts_ns div 1000")))
+    keyed = to_flow_key(packets, carry).withColumn("event_time", F.timestamp_micros(F.expr("ts_ns div 1000")))
     place = F.struct("ts_ns", "ord")
     session = F.session_window("event_time", f"{gap_us} microseconds")
     return (
@@ -38,6 +42,7 @@ def flow_stream(packets: DataFrame, gap_us: int, watermark: str = "10 minutes")
             F.max("ts_ns").alias("end_ts_ns"),
             F.count(F.lit(1)).alias("packet_count"),
             F.sum("size").alias("total_size"),
+            *[F.min_by(c, place).alias(c) for c in carry],
         )
         .drop("session")
     )

@@ -1,8 +1,7 @@
-"""Streaming operators whose state the built-in aggregates cannot express.
+"""Interval accumulation with its state in the state store.
 
-Each key's state lives in the state store, and a key's new rows are handled by
-one task per micro-batch.  For streams in which one key may dominate use the
-batchwise forms in ``streaming.batchwise``.
+A key's new rows are handled by one task per micro-batch.  For streams in which one key may
+dominate use the batchwise form in ``streaming.batchwise``; operators in event time are in ``streaming.timed``.
 """
 
 from __future__ import annotations
@@ -13,10 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowloom.operators.interval import emit_piece
-from flowloom.operators.pairing import ENTER, EXIT, SEND, keep_target_enters
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -40,7 +38,7 @@ def interval_stream(
         prev, pending = held.get if held.exists else (0, 0)
         rows = _in_order(batches)
         ts, size = rows["ts_ns"].to_numpy("int64"), rows["size"].to_numpy("int64")
-        stamps, sums, times = emit_piece(ts, size, interval_ns, prev, pending, exact)
+        stamps, sums, times, _ = emit_piece(ts, size, interval_ns, prev, pending, exact)
         pending += int(size.sum())
         if stamps:
             # the last emission is the first event past the one before it by an interval
@@ -57,34 +55,3 @@ def interval_stream(
     return rows.groupBy(*series).applyInPandasWithState(
         step, output, state, "append", GroupStateTimeout.NoTimeout
     )
-
-
-def write_pair_stream(log: DataFrame, pid: int | None = None) -> DataFrame:
-    """STR-06: socket writes of a probe stream; per thread, whether a call is open and has sent."""
-    output = StructType(
-        [StructField(n, LongType()) for n in ("id", "ts_ns", "size", "ord")]
-    )
-    state = StructType([StructField("phase", StringType())])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(batches)
-        kinds = pd.Series([held.get[0] if held.exists else EXIT, *rows["kind"]])
-        # an entry opens a call, an exit closes it; a send only matters inside one
-        turn = kinds.where(kinds.isin([ENTER, EXIT, "sent"])).ffill()
-        open_before = turn.shift(1).isin([ENTER, "sent"])
-        sent_before = kinds.shift(1).isin([SEND, "sent"])
-        written = ((kinds == EXIT) & open_before & sent_before).iloc[1:].to_numpy()
-        last, opened = kinds.iloc[-1], turn.iloc[-1] in (ENTER, "sent")
-        held.update(("sent" if opened and last in (SEND, "sent") else ENTER if opened else EXIT,))
-        done = rows[written]
-        if len(done):
-            yield pd.DataFrame(
-                {"id": key[0], "ts_ns": done["ts_ns"], "size": done["ret"].astype("int64"), "ord": done["ord"]}
-            )
-
-    rows = keep_target_enters(log.where(log["kind"].isin(ENTER, SEND, EXIT)), pid)
-    return (
-        rows.select("id", "ts_ns", "kind", "ret", "ord")
-        .groupBy("id")
-        .applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
-    )

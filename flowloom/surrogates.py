@@ -7,7 +7,7 @@ documents.  Nothing here samples or limits its table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.config import Settings
@@ -188,11 +188,12 @@ def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_series_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+def write_series_files(spark: SparkSession, sf_dir: str, folder: str, upto: Column | None = None) -> None:
     """The series as CSV files of the names readers look for, with rows and files that must be skipped.
 
     Polled files carry a header, those of odd pids with the columns the other way round
-    and a third one between; event files carry none, and come in two parts each.
+    and a third one between; event files carry none, and come in two parts each.  With ``upto``, a
+    condition on ``pid`` and ``ord``, only these rows are written; files of the same name are replaced.
     """
     feature, pid, time, value = F.col("feature"), F.col("pid"), F.col("ts_ns").cast("string"), F.col("value").cast("string")
     plain, turned = F.concat_ws(",", time, value), F.concat_ws(",", value, F.lit("x"), time)
@@ -210,13 +211,17 @@ def write_series_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     )
     unnamed = header.select(F.lit("free_pid1.csv").alias("name"), "ord", F.lit("time,reading").alias("line")).distinct()
     rows = polled.drop("top").unionByName(header).unionByName(evented).unionByName(unnamed)
+    if upto is not None:
+        pid = F.regexp_extract("name", "_pid(\\d+)", 1)
+        rows = rows.withColumn("pid", pid).where(upto).drop("pid")
     bad = F.when(F.col("ord") >= 0, F.array("line", F.lit("not,a,sample"))).otherwise(F.array("line"))
     written = rows.select("name", "ord", F.explode(bad).alias("line")).repartition("name").sortWithinPartitions("name", "ord")
-    written.select("name", F.col("line").alias("value")).write.partitionBy("name").text(f"{folder}-parts")
+    written.select("name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("name").text(f"{folder}-parts")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for sub in ("", "/events", "/more"):
         store.mkdirs(path(folder + sub))
     for found in store.globStatus(path(f"{folder}-parts/name=*/part-*")):
         name = found.getPath().getParent().getName().removeprefix("name=").replace("~", "/")
+        store.delete(path(f"{folder}/{name}"), False)
         store.rename(found.getPath(), path(f"{folder}/{name}"))
