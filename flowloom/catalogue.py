@@ -110,7 +110,9 @@ def missing_report(spark, sf):
 
 
 def flow_history(spark, sf):
-    return history.add_history(features(spark, sf), S.SURROGATE.history_k)
+    return dataset.add_feature_history(
+        _flows(spark, sf), _series(spark, sf), S.packets(spark, sf), S.SURROGATE, POLLED, RECORDS
+    )
 
 
 def numeric_scan(spark, sf):
@@ -375,7 +377,7 @@ def features_cut(spark, sf):
 
 
 def flow_history_cut(spark, sf):
-    return history.add_history(features(spark, sf), CUT.history_k, rows_per_task=CUT_ROWS)
+    return dataset.add_feature_history(_flows(spark, sf), _series(spark, sf), S.packets(spark, sf), CUT, POLLED, RECORDS)
 
 
 def flow_labels_cut(spark, sf):

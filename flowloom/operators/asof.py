@@ -12,6 +12,9 @@ from flowloom.schemas import require_columns
 
 POLLED = "polled"
 EVENT = "event"
+STATES = "_states"
+# Pids whose states one pass over the flows looks up.
+PIDS_AT_ONCE = 64
 
 
 def attach_global_series(series: DataFrame) -> DataFrame:
@@ -40,16 +43,12 @@ def pid_union(series: DataFrame) -> DataFrame:
     return series.where(F.col("pid").isNotNull()).select("pid").distinct()
 
 
-def fan_out_by_pid(flows: DataFrame, pids: DataFrame) -> DataFrame:
-    """JON-04: every pid gets a copy of every flow.
-
-    The pid list - one entry per traced process - is a scalar subquery that is
-    exploded, so the flows are neither shuffled nor joined.
-    """
-    known = F.sort_array(F.collect_set("pid"))
-    none = F.raise_error(F.lit("no pids: there is no series to join flows with")).cast("array<string>")
-    listed = pids.agg(F.when(F.size(known) > 0, known).otherwise(none).alias("p")).scalar()
-    return flows.withColumn("pid", F.explode(listed))
+def pid_names(pids: DataFrame) -> list[str]:
+    """The traced pids in order: a short list, one entry per process."""
+    names = sorted(r["pid"] for r in pids.where(F.col("pid").isNotNull()).select("pid").distinct().collect())
+    if not names:
+        raise ValueError("no pids: there is no series to join flows with")
+    return names
 
 
 def series_names(series: DataFrame) -> tuple[list[str], list[str]]:
@@ -81,24 +80,76 @@ def extract_features(
     """JON-01, JON-02, RSH-02: flows x pids with the last sample at or before start.
 
     ``series`` is long: pid, kind, feature, ts_ns, value, ord; later ``ord`` wins
-    among equal times.  Samples and flow copies are shuffled once on (pid, time
-    chunk) and one running window serves all features.  The state at the start
-    of a chunk enters it as ordinary, earlier samples.
-
-    A polled series yields ``<name>``; an event series ``<name>`` and the age
+    among equal times.  A polled series yields ``<name>``; an event series ``<name>`` and the age
     in seconds ``tt_<name>``.  If both kinds share a name the event value wins.
     """
+    stated, features = flow_states(flows, series, polled, events, pids, rows_per_task, splits)
+    return fan_out_by_pid(stated, features)
+
+
+def flow_states(
+    flows: DataFrame,
+    series: DataFrame,
+    polled: Sequence[str] | None = None,
+    events: Sequence[str] | None = None,
+    pids: DataFrame | None = None,
+    rows_per_task: int = 4_000_000,
+    splits: Splits | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """Every flow once, with ``STATES``: an array of one struct per pid (its ``pid`` and features), in pid order.
+
+    The samples of a pid are turned into its change points first: its state, the newest sample of
+    every series, at each instant at which it changes.  They meet the flows once per time chunk, and one running
+    lookup per pid finds the state at a flow's start.  So flows are neither copied per pid nor shuffled with
+    copies; ``fan_out_by_pid`` copies them afterwards, where they are.  Above ``PIDS_AT_ONCE`` pids flows
+    are shuffled once per so many of them.  The state at the start of a chunk enters it as ordinary, earlier samples.
+
+    Also returns the names of the features.
+    """
     require_columns(flows, ["start_ts_ns"], "flows")
     require_columns(series, ["pid", "kind", "feature", "ts_ns", "value", "ord"], "series")
     if polled is None or events is None:
         found_polled, found_events = series_names(series)
         polled = found_polled if polled is None else polled
         events = found_events if events is None else events
-    owned = attach_global_series(series)
+    polled = [f for f in polled if f not in events]
+    names = pid_names(pids if pids is not None else pid_union(series))
     if splits is None:
         splits = time_splits((flows, "start_ts_ns"), (series, "ts_ns"), rows_per_task=rows_per_task)
+    points = copy_to_salts(_change_points(attach_global_series(series), splits, polled, events), splits)
 
-    samples = splits.attach(owned, subdivide=False)
+    named = flows.select(F.struct(*flows.columns).alias("_flow"), F.col("start_ts_ns").alias("ts_ns"))
+    rows = spread(splits.on("ts_ns").attach(named, subdivide=False), splits, by=["_flow"])
+    running = (
+        Window.partitionBy(CHUNK, "_salt")
+        .orderBy(F.col("ts_ns").asc_nulls_first(), F.col("_flow").isNotNull(), "ord")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found: list[Column] = []
+    for begin in range(0, len(names), PIDS_AT_ONCE):
+        some = names[begin : begin + PIDS_AT_ONCE]
+        both = points.where(F.col("pid").isin(some)).unionByName(rows, allowMissingColumns=True)
+        held = [c for c in rows.columns if c.startswith("_at")]
+        newest = [
+            F.last(F.when(F.col("pid") == name, F.col("_state")), ignorenulls=True).over(running).alias(f"_at{begin + i}")
+            for i, name in enumerate(some)
+        ]
+        rows = both.select(CHUNK, "_salt", "_flow", "ts_ns", *held, *newest).where(F.col("_flow").isNotNull())
+    features = [*polled, *[n for e in events for n in (e, f"tt_{e}")]]
+    for i, name in enumerate(names):
+        columns = [F.lit(name).alias("pid")]
+        columns += [F.round(F.col(f"_at{i}")[f"p_{f}"], 6).alias(f) for f in polled]
+        for e in events:
+            seen = F.col(f"_at{i}")[f"e_{e}"]
+            columns += [F.round(seen["value"], 6).alias(e), sample_age(F.col("ts_ns"), seen["ts_ns"]).alias(f"tt_{e}")]
+        found.append(F.struct(*columns))
+    return rows.select("_flow.*", F.array(*found).alias(STATES)), features
+
+
+def _change_points(owned: DataFrame, splits: Splits, polled: Sequence[str], events: Sequence[str]) -> DataFrame:
+    """The state of each pid from each of its samples on: pid, chunk, ts_ns, ord, _state."""
+    kinds = (F.col("kind") == POLLED) & F.col("feature").isin(list(polled)) | (F.col("kind") == EVENT) & F.col("feature").isin(list(events))
+    samples = splits.attach(owned.where(kinds), subdivide=False)
     if splits.heavy:
         # many samples of one instant: only the last of them can be seen
         samples = (
@@ -108,14 +159,9 @@ def extract_features(
     samples = samples.select("pid", CHUNK, "ts_ns", "kind", "feature", "ord", "value")
     if not splits.trivial:
         samples = samples.unionByName(_state_at_chunk_start(samples, splits.last_chunk))
-
-    named = flows.select(F.struct(*flows.columns).alias("_flow"), F.col("start_ts_ns").alias("ts_ns"))
-    placed = spread(splits.on("ts_ns").attach(named, subdivide=False), splits, by=["_flow"])
-    probes = fan_out_by_pid(placed, pids if pids is not None else pid_union(series))
-    both = copy_to_salts(samples, splits).unionByName(probes, allowMissingColumns=True)
     running = (
-        Window.partitionBy("pid", CHUNK, "_salt")
-        .orderBy(F.col("ts_ns").asc_nulls_first(), F.col("_flow").isNotNull(), "ord")
+        Window.partitionBy("pid", CHUNK)
+        .orderBy(F.col("ts_ns").asc_nulls_first(), "ord")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
@@ -123,22 +169,32 @@ def extract_features(
         mine = (F.col("kind") == kind) & (F.col("feature") == feature)
         return F.last(F.when(mine, what), ignorenulls=True).over(running)
 
-    sampled = both.select(
-        "pid",
-        "_flow",
-        F.col("ts_ns").alias("_start"),
-        *[latest(POLLED, f, F.col("value")).alias(f"_p_{f}") for f in polled if f not in events],
-        *[latest(EVENT, e, F.struct("ts_ns", "value")).alias(f"_e_{e}") for e in events],
-    ).where(F.col("_flow").isNotNull())
-    columns = []
-    for f in polled:
-        if f not in events:
-            columns.append(F.round(F.col(f"`_p_{f}`"), 6).alias(f))
-    for e in events:
-        seen = F.col(f"`_e_{e}`")
-        columns.append(F.round(seen["value"], 6).alias(e))
-        columns.append(sample_age(F.col("_start"), seen["ts_ns"]).alias(f"tt_{e}"))
-    return sampled.select("pid", "_flow.*", *columns)
+    columns = [latest(POLLED, f, F.col("value")).alias(f"p_{f}") for f in polled]
+    columns += [latest(EVENT, e, F.struct("ts_ns", "value")).alias(f"e_{e}") for e in events]
+    if not columns:
+        columns = [F.lit(None).cast("double").alias("none")]
+    # a column of its own each, as window functions do not nest
+    wide = samples.select("pid", CHUNK, "ts_ns", "ord", *columns)
+    return wide.select("pid", CHUNK, "ts_ns", "ord", F.struct(*[c for c in wide.columns[4:]]).alias("_state"))
+
+
+def fan_out_by_pid(
+    stated: DataFrame, features: Sequence[str], lagged: Sequence[str] = (), k: int = 0, last: Sequence[str] = ()
+) -> DataFrame:
+    """JON-04: every pid gets a copy of every flow, with its own features; no shuffle.
+
+    With ``k``, ``lagged`` names flow columns that have lags ``<name>_t1`` to ``_tK``, and ``STATES`` has them too; the
+    lags of features follow those of the flow.  Columns named in ``last`` come at the end.
+    """
+    lags = {f"{c}_t{j}" for c in (*lagged, STATES) for j in range(1, k + 1)}
+    front = [c for c in stated.columns if c != STATES and c not in lags and c not in last]
+    rows = stated.select("*", F.posexplode(STATES).alias("_i", "_s"))
+    past = []
+    for j in range(1, k + 1):
+        past += [F.col(f"{c}_t{j}") for c in lagged]
+        before = F.get(F.col(f"{STATES}_t{j}"), F.col("_i"))
+        past += [before[f].alias(f"{f}_t{j}") for f in features]
+    return rows.select(F.col("_s")["pid"].alias("pid"), *front, *[F.col("_s")[f].alias(f) for f in features], *past, *last)
 
 
 def sample_age(start: Column, sampled: Column) -> Column:

@@ -42,9 +42,12 @@ def add_history(
     columns: Sequence[str] | None = None,
     rows_per_task: int = 4_000_000,
     splits: Splits | None = None,
+    along: Sequence[str] = (),
 ) -> DataFrame:
     """WIN-03: ``<column>_t1 .. _tK`` from the K previous flows of the 4-tuple.
 
+    Columns named in ``along``, of whatever type, get their lags as well.
+
     One shuffle and one sort: each row's numeric columns are lagged together as
     a struct.  Hot 4-tuples are cut along time, with the last K rows before each
     cut copied across it.
@@ -52,7 +55,7 @@ def add_history(
     require_columns(df, [*FLOW_KEY, "start_ts_ns"], "history input")
     if k < 1:
         return df
-    columns = list(numeric_columns(df) if columns is None else columns)
+    columns = [*(numeric_columns(df) if columns is None else columns), *along]
     if not columns:
         return df
     if splits is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from flowloom.operators.splits import CHUNK, Splits, find_splits
+from flowloom.session import checkpoint
+
+# Summaries of neighbouring pieces that one group composes, or chains.
+FAN = 32
 
 
 def _next_emitting(ts: np.ndarray, interval_ns: int) -> np.ndarray:
@@ -44,6 +49,7 @@ def summarise_piece(ts: np.ndarray, size: np.ndarray, interval_ns: int) -> dict:
     ends = last[:reach]
     closing = np.append(np.flatnonzero(np.diff(ends)), reach - 1)
     return {
+        "begin": int(ts[0]),
         "upto": ts[closing].tolist(),
         "exit_ts": ts[ends[closing]].tolist(),
         "left": (total[-1] - total[ends[closing]]).tolist(),
@@ -51,6 +57,40 @@ def summarise_piece(ts: np.ndarray, size: np.ndarray, interval_ns: int) -> dict:
     }
 
 
+def leave(piece: dict, prev: int, pending: int, interval_ns: int) -> tuple[int, int]:
+    """The state that leaves a piece, or a run of pieces, that the given one enters."""
+    at = bisect_left(piece["upto"], prev + interval_ns)
+    if at < len(piece["upto"]):
+        return piece["exit_ts"][at], piece["left"][at]
+    return prev, pending + piece["total"]
+
+
+def compose(first: dict, second: dict, interval_ns: int) -> dict:
+    """The summary of two neighbouring pieces as one; associative.
+
+    A state that lets the first emit enters the second as the first leaves it; any other goes through
+    the first with its bytes added and finds its emission, if any, in the second.  No entering state waits for
+    longer than an interval after the first piece begins, so a composed summary is as short as that of a piece.
+    """
+    out = {"begin": first["begin"], "upto": [], "exit_ts": [], "left": [], "total": first["total"] + second["total"]}
+
+    def add(upto: int, exit_ts: int, left: int) -> None:
+        if out["upto"] and (out["exit_ts"][-1], out["left"][-1]) == (exit_ts, left):
+            out["upto"][-1] = upto
+        else:
+            for name, value in (("upto", upto), ("exit_ts", exit_ts), ("left", left)):
+                out[name].append(value)
+
+    for upto, exit_ts, left in zip(first["upto"], first["exit_ts"], first["left"]):
+        add(upto, *leave(second, exit_ts, left, interval_ns))
+    for upto, exit_ts, left in zip(second["upto"], second["exit_ts"], second["left"]):
+        if out["upto"][-1] >= first["begin"] + interval_ns:
+            break
+        if upto > first["upto"][-1]:
+            add(upto, exit_ts, left)
+    return out
+
+
 def emit_piece(
     ts: np.ndarray, size: np.ndarray, interval_ns: int, prev_ts: int, pending: int, exact: bool
 ) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -96,7 +136,7 @@ def interval_accumulate(
     Which events emit depends on all earlier ones, so this is the one batch
     operator with a Python body.  Ordinary series are one group each.  A hot
     series is cut along time: pieces are summarised in parallel, the summaries -
-    one row per piece - are chained per series, and the pieces then emit in
+    one row per piece - go through a prefix scan, and the pieces then emit in
     parallel from their known starting state.
 
     ``state`` (series, prev, pending; keys not null) continues an earlier run;
@@ -113,7 +153,7 @@ def interval_accumulate(
     zero = F.lit(0).cast("long")
     begun = _with_state(cut, series, state)
     if not splits.trivial:
-        states = _piece_states(cut.where(F.col(CHUNK) > 0), series, keys, interval_ns, state)
+        states = _piece_states(cut.where(F.col(CHUNK) > 0), series, keys, interval_ns, state, splits)
         # one row per cut: small whatever the input, so it is safe to broadcast
         begun = (
             begun.withColumnsRenamed({"_prev": "_prev0", "_pending": "_pending0"})
@@ -166,24 +206,20 @@ def next_state(events: DataFrame, emitted: DataFrame, state: DataFrame, series:
 
 
 def _piece_states(
-    cut: DataFrame, series: list[str], keys: list[StructField], interval_ns: int, state: DataFrame | None
+    cut: DataFrame, series: list[str], keys: list[StructField], interval_ns: int, state: DataFrame | None, splits: Splits
 ) -> DataFrame:
-    """The state (previous time, pending bytes) with which each piece starts."""
+    """The state (previous time, pending bytes) with which each piece starts.
+
+    A prefix scan in rounds: runs of ``FAN`` neighbours are composed to one summary each until one run is left
+    per series; its entering states are then handed down, run by run.  No group has more than
+    ``FAN`` rows, however many pieces a series has.
+    """
     longs = ArrayType(LongType())
     chunk = StructField(CHUNK, LongType())
-    summary_schema = StructType(
-        keys
-        + [
-            chunk,
-            StructField("upto", longs),
-            StructField("exit_ts", longs),
-            StructField("left", longs),
-            StructField("total", LongType()),
-        ]
-    )
-    state_schema = StructType(
-        keys + [chunk, StructField("_prev", LongType()), StructField("_pending", LongType())]
-    )
+    summary = [StructField("begin", LongType()), *[StructField(n, longs) for n in ("upto", "exit_ts", "left")], StructField("total", LongType())]
+    names = [f.name for f in summary]
+    summary_schema = StructType([*keys, chunk, *summary])
+    state_schema = StructType([*keys, chunk, StructField("_prev", LongType()), StructField("_pending", LongType())])
 
     def summarise(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values(["ts_ns", "ord"], kind="stable")
@@ -193,20 +229,39 @@ def _piece_states(
         head = {name: piece[name].iloc[0] for name in [*series, CHUNK]}
         return pd.DataFrame([{**head, **row}])
 
-    def chain(pieces: pd.DataFrame) -> pd.DataFrame:
-        prev, pending = int(pieces["_prev"].iloc[0]), int(pieces["_pending"].iloc[0])
-        states = []
-        for piece in pieces.sort_values(CHUNK).itertuples(index=False):
-            states.append((prev, pending))
-            at = int(np.searchsorted(np.asarray(piece.upto), prev + interval_ns, side="left"))
-            if at < len(piece.upto):
-                prev, pending = int(piece.exit_ts[at]), int(piece.left[at])
-            else:
-                pending += int(piece.total)
-        out = pieces.sort_values(CHUNK)[[*series, CHUNK]].copy()
-        out["_prev"] = [s[0] for s in states]
-        out["_pending"] = [s[1] for s in states]
-        return out
+    def in_order(run: pd.DataFrame) -> list[dict]:
+        rows = run.sort_values(CHUNK).to_dict("records")
+        return [{**r, **{n: [int(x) for x in r[n]] for n in ("upto", "exit_ts", "left")}} for r in rows]
+
+    def merge(run: pd.DataFrame) -> pd.DataFrame:
+        rows = in_order(run)
+        whole = {name: rows[0][name] for name in names}
+        for row in rows[1:]:
+            whole = compose(whole, row, interval_ns)
+        head = {name: run[name].iloc[0] for name in series}
+        return pd.DataFrame([{**head, CHUNK: rows[0][CHUNK] // FAN, **whole}])
+
+    def hand_down(run: pd.DataFrame) -> pd.DataFrame:
+        prev, pending = int(run["_prev"].iloc[0]), int(run["_pending"].iloc[0])
+        out = []
+        for row in in_order(run):
+            out.append({**{name: row[name] for name in [*series, CHUNK]}, "_prev": prev, "_pending": pending})
+            prev, pending = leave(row, prev, pending, interval_ns)
+        return pd.DataFrame(out)
 
-    summaries = cut.groupBy(*series, CHUNK).applyInPandas(summarise, summary_schema)
-    return _with_state(summaries, series, state).groupBy(*series).applyInPandas(chain, state_schema)
+    # one row per piece; read again by every round, so it is written once
+    levels = [checkpoint(cut.groupBy(*series, CHUNK).applyInPandas(summarise, summary_schema))]
+    run = F.expr(f"{CHUNK} div {FAN}")
+    last = splits.last_id
+    while last >= FAN:
+        levels.append(levels[-1].groupBy(*series, run.alias("_run")).applyInPandas(merge, summary_schema))
+        last //= FAN
+    entering = None
+    for level in reversed(levels):
+        rows = level.withColumn("_run", run)
+        if entering is None:
+            rows = _with_state(rows, series, state)
+        else:
+            rows = rows.join(entering.withColumnRenamed(CHUNK, "_run"), [*series, "_run"])
+        entering = rows.groupBy(*series, "_run").applyInPandas(hand_down, state_schema)
+    return entering

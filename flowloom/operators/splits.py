@@ -68,6 +68,11 @@ class Splits:
     def last_chunk(self) -> int:
         return len(self.cuts) + 1
 
+    @property
+    def last_id(self) -> int:
+        """No chunk has a larger number."""
+        return (self.last_chunk + 1) * (SUB_CHUNKS if self.heavy and self.tie else 1)
+
     def hot_keys(self, df: DataFrame) -> DataFrame:
         """The hot keys with ``_k, _lo, _hi, _last``; at most one row per cut."""
         return df.sparkSession.createDataFrame(self.hot_rows, self.hot_schema)

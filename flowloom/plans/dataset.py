@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from flowloom.config import Settings
+from flowloom.operators.asof import STATES, fan_out_by_pid, flow_states, series_names, time_splits
 from flowloom.operators.asof import extract_features as _features
-from flowloom.operators.asof import series_names, time_splits
 from flowloom.operators.counters import asof_strict
 from flowloom.operators.flows import flow_aggregate, number_flows, packet_splits
 from flowloom.operators.history import add_history, numeric_columns
 from flowloom.operators.labels import add_labels
-from flowloom.operators.splits import find_splits
+from flowloom.operators.splits import Splits, find_splits
 from flowloom.schemas import FLOW_COLUMNS
 from flowloom.session import checkpoint
 
@@ -41,6 +41,41 @@ def extract_features(
     return _features(flows, series, rows_per_task=settings.rows_per_task, **names)
 
 
+def add_feature_history(
+    flows: DataFrame,
+    series: DataFrame,
+    packets: DataFrame,
+    settings: Settings = Settings(),
+    polled: list[str] | None = None,
+    events: list[str] | None = None,
+) -> DataFrame:
+    """PIP-02 and PIP-03: features and the history of flows and features, with cuts found in the source tables."""
+    rows = settings.rows_per_task
+    by_time = time_splits((packets, "ts_ns"), (series, "ts_ns"), rows_per_task=rows)
+    return _featured_history(flows, series, settings, polled, events, packet_splits(packets, rows), by_time)
+
+
+def _featured_history(
+    flows: DataFrame,
+    series: DataFrame,
+    settings: Settings,
+    polled: list[str] | None,
+    events: list[str] | None,
+    by_flow: Splits,
+    by_time: Splits,
+    labels: tuple[str, ...] = (),
+) -> DataFrame:
+    """Each flow meets its states and its past once, and is copied per pid at the very end.
+
+    Pids share their flows, so the K flows before one are the same for all of them.
+    """
+    rows, k = settings.rows_per_task, settings.history_k
+    stated, features = flow_states(flows, series, polled, events, rows_per_task=rows, splits=by_time)
+    lagged = [c for c in numeric_columns(flows) if c not in labels]
+    past = add_history(stated, k, lagged, rows, by_flow, along=[STATES])
+    return fan_out_by_pid(past, features, lagged, k, labels)
+
+
 def build_dataset(
     packets: DataFrame,
     series: DataFrame,
@@ -51,8 +86,8 @@ def build_dataset(
 ) -> DataFrame:
     """PIP-05: flows, features, history and labels in one plan.
 
-    Labels depend on flows alone, so they are computed before the flows are
-    copied per pid.  All cut points come from the source tables, never from the
+    Labels depend on flows alone, and the past of a flow is the same for all pids, so flows are
+    copied per pid at the very end.  All cut points come from the source tables, never from the
     flows being computed.  With ``durable`` the
     flow table is checkpointed to the shared folder, so that later stages and lost executors do
     not replay the packets.
@@ -71,8 +106,4 @@ def build_dataset(
         flows = checkpoint(flows)
     flows = number_flows(flows, rows).select(*FLOW_COLUMNS)
     labelled = add_labels(flows, settings.elephant_bps, rows, by_source)
-    featured = _features(labelled, series, polled, events, rows_per_task=rows, splits=by_time)
-    lagged = [c for c in numeric_columns(featured) if c not in LABEL_COLUMNS]
-    full = add_history(featured, settings.history_k, lagged, rows, by_flow)
-    front = [c for c in full.columns if c not in LABEL_COLUMNS]
-    return full.select(*front, *LABEL_COLUMNS)
+    return _featured_history(labelled, series, settings, polled, events, by_flow, by_time, LABEL_COLUMNS)

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalars
-from flowloom.operators import events, filters
+from flowloom.operators import events, filters, interval
 from flowloom.operators.interval import interval_accumulate
 from flowloom.operators.pairing import pair_socket_writes
 from tests import model
@@ -21,16 +22,44 @@ def allocations(seed, count, span, burst=0.0):
     ]
 
 
-@pytest.mark.parametrize("rows_per_task,interval,burst", [(10**6, 50, 0), (20, 50, 0), (20, 5, 0.3), (9, 900, 0.2), (15, 1, 0)])
+def test_any_run_of_pieces_is_one_summary():
+    """Composed in any way, a run of pieces does to every entering state what its events do."""
+    rng = random.Random(9)
+    for _ in range(300):
+        step = rng.choice([1, 5, 40])
+        ts = np.sort(np.array([rng.randint(100, 100 + 8 * step) for _ in range(rng.randint(4, 40))]))
+        size = np.array([rng.randint(1, 9) for _ in ts])
+        cuts = [0, *sorted(rng.sample(range(1, len(ts)), rng.randint(1, 3))), len(ts)]
+        pieces = [interval.summarise_piece(ts[a:b], size[a:b], step) for a, b in zip(cuts, cuts[1:])]
+        while len(pieces) > 1:
+            k = rng.randrange(len(pieces) - 1)
+            pieces[k : k + 2] = [interval.compose(pieces[k], pieces[k + 1], step)]
+        for prev in [0, *range(int(ts[0]) - step, int(ts[0]) + 1)]:
+            pending = 11
+            _, _, times, own = interval.emit_piece(ts, size, step, prev, pending, True)
+            left = pending + int(size.sum()) - sum(own)
+            assert interval.leave(pieces[0], prev, pending, step) == ((times[-1] if times else prev), left)
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_a_prefix_scan_of_many_rounds(spark, monkeypatch, fan):
+    monkeypatch.setattr(interval, "FAN", fan)
+    rows = allocations(3, 400, 2000, 0.2)
+    found = interval_accumulate(model.table(spark, rows, ALLOC), 30, rows_per_task=9)
+    whole = interval_accumulate(model.table(spark, rows, ALLOC), 30)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("rows_per_task,every,burst", [(10**6, 50, 0), (20, 50, 0), (20, 5, 0.3), (9, 900, 0.2), (15, 1, 0)])
 @pytest.mark.parametrize("exact", [False, True])
-def test_interval_sums_match_model(spark, rows_per_task, interval, burst, exact):
-    rows = allocations(interval, 300, 2000, burst)
+def test_interval_sums_match_model(spark, rows_per_task, every, burst, exact):
+    rows = allocations(every, 300, 2000, burst)
     found = interval_accumulate(
-        model.table(spark, rows, ALLOC), interval, exact=exact, rows_per_task=rows_per_task
+        model.table(spark, rows, ALLOC), every, exact=exact, rows_per_task=rows_per_task
     ).collect()
     for name in "ab":
         mine = [(ts, position, size) for s, ts, size, position in rows if s == name]
-        want = model.intervals(mine, interval, exact)
+        want = model.intervals(mine, every, exact)
         assert sorted((r.ts_ns, r["size"]) for r in found if r.series == name) == sorted(want)
 
 

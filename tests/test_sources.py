@@ -149,7 +149,7 @@ def test_packet_streams_refuse_other_headers(spark, tmp_path):
 
 
 def test_no_pids_is_an_error(spark):
-    from flowloom.operators.asof import fan_out_by_pid
+    from flowloom.operators.asof import pid_names
 
-    with pytest.raises(Exception, match="no pids"):
-        fan_out_by_pid(spark.range(1), spark.createDataFrame([], "pid string")).collect()
+    with pytest.raises(ValueError, match="no pids"):
+        pid_names(spark.createDataFrame([], "pid string"))
