@@ -7,8 +7,9 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowloom import surrogates as S
 from flowloom.functions import scalars
@@ -18,7 +19,7 @@ from flowloom.ml import svm as V
 from flowloom.operators import asof, counters, events, filters, flows, history, labels, reshape
 from flowloom.operators.interval import interval_accumulate
 from flowloom.operators.pairing import pair_socket_writes
-from flowloom.plans import dataset
+from flowloom.plans import dataset, jobs
 from flowloom.schemas import FLOW
 from flowloom.session import ensure_checkpoint_dir
 from flowloom.sources import proc, readers, sinks
@@ -33,6 +34,9 @@ INTERVAL_NS = S.SURROGATE.sample_interval_ns
 PAGERANK_ROUNDS = 12
 LLOYD_STEPS = 10
 CLUSTERS = 10
+SVM_STEPS = 20
+# What the monotonic clock of the surrogate log lags behind the epoch.
+CLOCK_NS = 1_700_000_000_000_000_123
 # Score of the surrogate classifier: every coordinate counts.
 SCORE_WEIGHTS = tuple((-1) ** i * (1 + i % 7) / 4 for i in range(64))
 # Tasks of so few rows that the test tables are cut, for the ``_cut`` queries.
@@ -338,6 +342,97 @@ def svm_train(spark, sf):
     return V.svm_evaluate(V.svm_sgd_train(train, 20, 10.0, 0.01), test)
 
 
+def svm_fit(spark, sf):
+    """ML-03, ML-05: full-batch steps on four fifths of the points; the weights, and the area on the rest at place -1."""
+    points = _binary_points(spark, sf)
+    train, test = points.where(F.col("id") % 5 != 0), points.where(F.col("id") % 5 == 0)
+    model = V.svm_sgd_train(train, SVM_STEPS, 10.0, 0.01, key="id")
+    weights = spark.createDataFrame(list(enumerate(model.weights)), "place long, weight double")
+    area = V.svm_evaluate(model, test).select(F.lit(-1).cast("long").alias("place"), F.col("auroc").alias("weight"))
+    return weights.unionByName(area).select("place", F.round("weight", 6).alias("weight"))
+
+
+def idx_file(spark, sf):
+    """SRC-09, SCL-13: vectors written as IDX files and read back, a few images per task."""
+    folder = scratch(spark)
+    sinks.write_idx_images(S.images(spark, sf), folder, S.IMAGE_WIDTH)
+    found = readers.read_idx_images(spark, folder, range_bytes=4096)
+    digit = lambda i: F.round(F.col("features")[i] * 255).cast("long")
+    add = lambda a, x: a + x
+    placed = F.transform("features", lambda x, i: x * i)
+    return found.select(
+        (digit(0) * 65536 + digit(1) * 256 + digit(2)).alias("vec_id"),
+        F.round(F.aggregate("features", F.lit(0.0), add), 6).alias("total"),
+        F.round(F.aggregate(placed, F.lit(0.0), add), 6).alias("weighted"),
+    )
+
+
+def kmeans_file(spark, sf):
+    """PIP-07: three copies of the images of IDX files, clustered from given centres."""
+    folder = scratch(spark)
+    sinks.write_idx_images(S.images(spark, sf), folder, S.IMAGE_WIDTH)
+    first = S.images(spark, sf).where(F.col("vec_id") < CLUSTERS).orderBy("vec_id").collect()
+    result = jobs.kmeans_job(
+        spark, folder, iterations=LLOYD_STEPS, partitions=8, copies=3, centres=[[p / 255.0 for p in r["pixels"]] for r in first]
+    )
+    return result.sizes.select(
+        "prediction", "count", F.lit(result.count).cast("long").alias("images"), F.lit(round(result.wssse, 4)).alias("wssse")
+    )
+
+
+def pagerank_file(spark, sf):
+    """PIP-06, SRT-03: the job over an edge list file."""
+    folder = scratch(spark)
+    S.edges(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(folder)
+    top = jobs.pagerank_job(spark, folder, PAGERANK_ROUNDS, 8, 10)
+    return top.select("id", F.round("rank", 6).alias("rank"))
+
+
+def pid_table_csv(spark, sf):
+    """SCL-06, SNK-02: the CSV form, whose numbers are rendered as text."""
+    folder = scratch(spark)
+    values = features(spark, sf).select("pid", "flow_id", *POLLED, *RECORDS)
+    sinks.write_by_pid(values, folder, "csv")
+    texts = ", ".join(["flow_id long", *[f"{c} string" for c in (*POLLED, *RECORDS)]])
+    return readers.discover_partitions(spark, folder, "csv", StructType.fromDDL(texts)).select("pid", "flow_id", *POLLED, *RECORDS)
+
+
+def ordered_dataset(spark, sf):
+    """SRT-02: features written by pid in order; each row's place by the names of files and its place in its file."""
+    folder = scratch(spark)
+    order = history.DATASET_ORDER
+    sinks.write_by_pid(features(spark, sf).select("pid", *order), folder, order=order)
+    read = readers.discover_partitions(spark, folder).select(
+        "pid", *order, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    # one row per file: how many rows lie in the files of the pid before it
+    before = Window.partitionBy("pid").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = read.groupBy("pid", "file").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return read.join(files, ["pid", "file"]).select("pid", *order, (F.col("ahead") + F.col("at") + 1).alias("place"))
+
+
+def tied_writes(spark, sf):
+    """SRT-01: many probes of one instant keep the order of the log."""
+    log = S.probe_log_of(S.events(spark, sf))
+    hour = 3_600_000_000_000
+    return pair_socket_writes(log.withColumn("ts_ns", F.expr(f"ts_ns div {hour} * {hour}")))
+
+
+def epoch_events(spark, sf):
+    """SCL-03: a probe log of a monotonic clock, shifted."""
+    log = S.probe_log_of(S.events(spark, sf)).withColumn("ts_ns", F.col("ts_ns") - CLOCK_NS)
+    return events.to_epoch(log, CLOCK_NS).select("ts_ns", "id", "kind", "ret")
+
+
+def signed_pids(spark, sf):
+    """SRC-12: the event collectors' pid list, with signs and lines that are no pid."""
+    folder = scratch(spark)
+    user = (F.col("user_id") % 50).cast("string")
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" +"), user)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("pid "), user)).otherwise(user)
+    S.events(spark, sf).select(line.alias("value")).write.text(folder)
+    return readers.read_pid_list(spark, folder, [7777], signed=True)
+
+
 def qa_train(spark, sf):
     return reshape.flatten_qa_train(S.qa_documents(spark, sf))
 
@@ -420,7 +515,7 @@ def dataset_from_files(spark, sf):
         .unionByName(readers.read_events(spark, f"{folder}/series/{{events,more}}"))
     )
     built = dataset.build_dataset(read, series, S.SURROGATE)
-    sinks.write_by_pid(history.dataset_order(built), f"{folder}/dataset")
+    sinks.write_by_pid(built, f"{folder}/dataset", order=history.DATASET_ORDER)
     return readers.discover_partitions(spark, f"{folder}/dataset").select(*built.columns)
 
 
@@ -567,6 +662,14 @@ def stream_asof(spark, sf):
     return found.select("pid", "flow_id", *POLLED, *RECORDS, *ages)
 
 
+def stream_series(spark, sf):
+    """SNK-03 for a stream: polled samples by (feature, pid), one folder per batch."""
+    folder = scratch(spark)
+    series = S.polled_of(_in_batches(spark, sf, folder, 3))
+    sinks.stream_series(series, f"{folder}/series", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/series").select("feature", F.col("pid").cast("string").alias("pid"), "ts_ns", "value")
+
+
 def stream_metrics(spark, sf):
     """STR-07: logged snapshots, parsed, unpivoted and written by series."""
     folder = scratch(spark)
@@ -648,6 +751,15 @@ QUERIES: dict[str, Query] = {
         svm_scores,
         auroc,
         svm_train,
+        svm_fit,
+        idx_file,
+        kmeans_file,
+        pagerank_file,
+        pid_table_csv,
+        ordered_dataset,
+        tied_writes,
+        epoch_events,
+        signed_pids,
         qa_train,
         qa_eval,
         qa_file,
@@ -678,5 +790,6 @@ QUERIES: dict[str, Query] = {
         stream_flow_counters,
         stream_routing,
         stream_asof_keyed,
+        stream_series,
     )
 }

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.splits import SAMPLES_PER_TASK
-from flowloom.session import checkpoint
+from flowloom.session import checkpoint, ensure_checkpoint_dir
 
 # Reset probability and starting rank.
 RESET = 0.15
@@ -25,15 +25,32 @@ def exists_check(df: DataFrame, what: str) -> DataFrame:
 
 @dataclass
 class Graph:
-    """``edges``: src, dst, copies, lane, placed by ``join_on``.  ``vertices``: id, outdeg, lanes."""
+    """``edges``: src, dst, copies, lane, bucketed by ``join_on``.  ``vertices``: id, outdeg, lanes, bucketed by id."""
 
     edges: DataFrame
     vertices: DataFrame
     join_on: list[str]
-
-    def unpersist(self) -> None:
-        self.edges.unpersist()
-        self.vertices.unpersist()
+    tables: list[str]
+
+    def forget(self) -> None:
+        """Take the tables out of the catalog; their files stay in the shared folder until it is cleared."""
+        for name in self.tables:
+            self.edges.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _bucketed(df: DataFrame, keys: list[str]) -> tuple[str, DataFrame]:
+    """The frame as a table in the shared folder, one sorted file per bucket of the keys."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"graph_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
+        .saveAsTable(name)
+    )
+    return name, spark.table(name)
 
 
 def _hubs(edges: DataFrame, rows_per_task: int) -> list[tuple[int, int]]:
@@ -53,7 +70,8 @@ def build_graph(edges: DataFrame, rows_per_task: int = 4_000_000) -> Graph:
 
     Parallel edges become one row with a count, summed before the shuffle.  The
     edges of a hub are spread over lanes by destination, so that the join on
-    source never puts them all into one task.
+    source never puts them all into one task.  Edges and vertices are written once, in buckets of the keys
+    that rounds join on: a round shuffles neither, and a lost executor costs its buckets read again.
     """
     hubs = _hubs(edges, rows_per_task)
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies"))
@@ -66,9 +84,7 @@ def build_graph(edges: DataFrame, rows_per_task: int = 4_000_000) -> Graph:
     else:
         weighted = weighted.withColumn("lane", F.lit(0).cast("long"))
         join_on = ["src"]
-    placed = (
-        weighted.select("src", "dst", "copies", "lane").repartition(*join_on).persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    placed_as, placed = _bucketed(weighted.select("src", "dst", "copies", "lane"), join_on)
     none = F.lit(0).cast("long")
     ends = F.array(
         F.struct(F.col("src").alias("id"), F.col("copies").alias("out")), F.struct(F.col("dst").alias("id"), none.alias("out"))
@@ -79,7 +95,22 @@ def build_graph(edges: DataFrame, rows_per_task: int = 4_000_000) -> Graph:
         vertices = vertices.join(F.broadcast(wide), "id", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
     else:
         vertices = vertices.withColumn("lanes", F.lit(1).cast("long"))
-    return Graph(placed, vertices.persist(StorageLevel.MEMORY_AND_DISK), join_on)
+    known_as, known = _bucketed(vertices, ["id"])
+    return Graph(placed, known, join_on, [placed_as, known_as])
+
+
+def inflows(graph: Graph, ranks: DataFrame) -> DataFrame:
+    """What every vertex receives in one round: ``id``, ``inflow``."""
+    share = ranks.where(F.col("outdeg") > 0).select(
+        F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("share"), "lanes"
+    )
+    if "lane" in graph.join_on:
+        share = share.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
+    return (
+        graph.edges.join(share, graph.join_on)
+        .groupBy(F.col("dst").alias("id"))
+        .agg(F.sum(F.col("share") * F.col("copies")).alias("inflow"))
+    )
 
 
 def static_pagerank(
@@ -87,24 +118,15 @@ def static_pagerank(
 ) -> DataFrame:
     """GRF-02: a fixed number of rounds, ranks finally scaled to sum to the vertex count.
 
-    Edges stay partitioned and cached by source; each round joins the ranks to
-    them and sums by destination after partial sums on the map side.  Ranks are
+    Each round joins the ranks to the buckets of edges and sums by destination
+    after partial sums on the map side; these sums are what it shuffles.  Ranks are
     checkpointed to the shared folder every few rounds to keep plans short.
     """
     graph = build_graph(edges, rows_per_task)
     vertices = graph.vertices
     ranks = vertices.withColumn("rank", F.lit(FIRST_RANK))
     for step in range(1, iterations + 1):
-        share = ranks.where(F.col("outdeg") > 0).select(
-            F.col("id").alias("src"), (F.col("rank") / F.col("outdeg")).alias("share"), "lanes"
-        )
-        if "lane" in graph.join_on:
-            share = share.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
-        inflow = (
-            graph.edges.join(share, graph.join_on)
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("share") * F.col("copies")).alias("inflow"))
-        )
+        inflow = inflows(graph, ranks)
         ranks = vertices.join(inflow, "id", "left").select(
             "id",
             "outdeg",
@@ -114,7 +136,7 @@ def static_pagerank(
         if step % checkpoint_every == 0 and step < iterations:
             ranks = checkpoint(ranks)
     ranks = checkpoint(ranks.select("id", "rank"))
-    graph.unpersist()
+    graph.forget()
     scale = ranks.agg((F.count(F.lit(1)) / F.sum("rank")).alias("s")).scalar()
     return ranks.select("id", (F.col("rank") * scale).alias("rank"))
 

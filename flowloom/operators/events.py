@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.scalars import collective_bytes
+from flowloom.functions.scalars import collective_bytes, mono_to_epoch
 from flowloom.operators.interval import interval_accumulate
 
 # The record each probe writes.
@@ -27,6 +27,11 @@ GPU_RECORDS = ("cuda_allocations", "cuda_collective")
 SYSTEM_WIDE_RECORDS = ("cuda_allocations",)
 
 
+def to_epoch(log: DataFrame, offset_ns: int) -> DataFrame:
+    """SCL-03: a probe log whose times are of a monotonic clock, in epoch time."""
+    return log.withColumn("ts_ns", mono_to_epoch(F.col("ts_ns"), offset_ns))
+
+
 def cache_alloc_events(allocations: DataFrame, pid: int) -> DataFrame:
     """STF-03: one sample per kernel cache allocation of the process."""
     return allocations.where(F.shiftright("id", 32) == pid).select(

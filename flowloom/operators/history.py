@@ -11,7 +11,8 @@ from pyspark.sql.types import NumericType
 from flowloom.operators.splits import CHUNK, HALO, Splits, find_splits, with_halo
 from flowloom.schemas import FLOW_KEY, require_columns
 
-# Columns that never become history.
+# The order of a written dataset, and the columns that never become history.
+DATASET_ORDER = (*FLOW_KEY, "start_ts_ns")
 NOT_HISTORY = ("flow_id", "start_time", "end_time", "start_ts_ns", "pid", *FLOW_KEY)
 
 
@@ -77,8 +78,3 @@ def add_history(
     found = rows.where(~F.col(HALO)).select(*df.columns, *lags)
     none = [F.lit(None).cast(df.schema[c].dataType).alias(f"{c}_t{j}") for j in range(1, k + 1) for c in columns]
     return found.unionByName(apart.select(*df.columns, *none))
-
-
-def dataset_order(df: DataFrame, by: Sequence[str] = (*FLOW_KEY, "start_ts_ns")) -> DataFrame:
-    """SRT-02: order of the written history table, nulls last (a range sort; sinks only)."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in by])

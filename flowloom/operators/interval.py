@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from flowloom.functions.scalars import mono_to_epoch
 from flowloom.operators.splits import CHUNK, Splits, find_splits
 from flowloom.session import checkpoint
 
@@ -176,7 +177,7 @@ def interval_accumulate(
         return out
 
     emitted = begun.groupBy(*series, CHUNK).applyInPandas(emit, out_schema)
-    return emitted.withColumn("ts_ns", F.col("ts_ns") + F.lit(clock_offset_ns).cast("long"))
+    return emitted.withColumn("ts_ns", mono_to_epoch(F.col("ts_ns"), clock_offset_ns))
 
 
 def _with_state(rows: DataFrame, series: list[str], state: DataFrame | None) -> DataFrame:

@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from flowloom import surrogates as S
-from flowloom.catalogue import CLUSTERS, INTERVAL_NS, LLOYD_STEPS, METRICS_ALLOWED, PAGERANK_ROUNDS, POLLED, RECORDS, SCORE_WEIGHTS
+from flowloom.catalogue import (
+    CLUSTERS,
+    INTERVAL_NS,
+    LLOYD_STEPS,
+    METRICS_ALLOWED,
+    PAGERANK_ROUNDS,
+    POLLED,
+    RECORDS,
+    SCORE_WEIGHTS,
+    SVM_STEPS,
+)
 from flowloom.config import POLLED_FEATURES
 from flowloom.operators.events import DIRECT_RECORDS, PROBE_RECORD, SAMPLED_RECORDS
 
@@ -262,10 +272,51 @@ def _pagerank() -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def _lloyd() -> str:
+VECTORS = "x AS (SELECT vec_id AS id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+IMAGES = """images AS (
+  SELECT vec_id, list_concat([vec_id // 65536 % 256, vec_id // 256 % 256, vec_id % 256],
+    list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((v::DOUBLE + 4) * 32))) AS BIGINT))) AS pixels
+  FROM embeddings)"""
+PIXELS = f"""{IMAGES},
+x AS (SELECT vec_id AS id, unnest(range({S.IMAGE_WIDTH})) AS d, unnest(pixels) / 255.0 AS v FROM images)"""
+
+
+def _svm() -> str:
+    """Unrolled gradient steps, then the area under the curve on the points held out."""
+    parts = [
+        VECTORS,
+        "y AS (SELECT vec_id AS id, CASE WHEN label % 2 = 1 THEN 1.0 ELSE -1.0 END AS y FROM embeddings)",
+        "t AS MATERIALIZED (SELECT x.*, y.y, (SELECT count(*) FROM y WHERE id % 5 <> 0) AS n FROM x JOIN y USING (id) WHERE id % 5 <> 0)",
+        "w0 AS (SELECT DISTINCT d, 0.0::DOUBLE AS w FROM x)",
+    ]
+    for i in range(1, SVM_STEPS + 1):
+        rate = f"(10.0::DOUBLE / sqrt({i}.0::DOUBLE))"
+        parts.append(
+            f"m{i} AS MATERIALIZED (SELECT t.id FROM t JOIN w{i - 1} w ON t.d = w.d GROUP BY t.id, t.y HAVING t.y * sum(t.v * w.w) < 1)"
+        )
+        parts.append(
+            f"w{i} AS MATERIALIZED (SELECT w.d, w.w * (1 - {rate} * 0.01::DOUBLE) - {rate} * coalesce(g.g, 0) AS w FROM w{i - 1} w LEFT JOIN "
+            f"(SELECT d, sum(-y * v) / max(n) AS g FROM t JOIN m{i} USING (id) GROUP BY d) g ON w.d = g.d)"
+        )
+    last = f"w{SVM_STEPS}"
+    parts.append(
+        f"scored AS (SELECT x.id, y.y, sum(x.v * w.w) AS s FROM x JOIN {last} w ON x.d = w.d JOIN y ON y.id = x.id "
+        "WHERE x.id % 5 = 0 GROUP BY x.id, y.y)"
+    )
+    parts.append(
+        "area AS (SELECT avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END::DOUBLE) AS v "
+        "FROM scored a JOIN scored b ON a.y > b.y)"
+    )
+    return (
+        f"WITH {', '.join(parts)} SELECT CAST(d AS BIGINT) AS place, round(w, 6) AS weight FROM {last} "
+        "UNION ALL SELECT -1, round(v, 6) FROM area"
+    )
+
+
+def _lloyd(points: str = VECTORS) -> str:
     """Unrolled Lloyd steps over (id, dimension, value) rows."""
     parts = [
-        "x AS (SELECT vec_id AS id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings)",
+        points,
         f"m0 AS (SELECT id AS c, d, v FROM x WHERE id < {CLUSTERS})",
     ]
     for i in range(LLOYD_STEPS + 1):
@@ -422,7 +473,27 @@ SELECT ip, CAST(sum(i) AS BIGINT) AS bytes_in, CAST(sum(o) AS BIGINT) AS bytes_o
     "stream_events": f"WITH {EV},{EVENT_SQL} SELECT pid, 'event' AS kind, feature, ts_ns, value FROM evented",
 }
 
+_SHOWN = ", ".join(
+    f"CASE WHEN {c} = floor({c}) THEN printf('%.0f', {c}) ELSE printf('%.6f', {c}) END AS {c}" for c in (*POLLED, *RECORDS)
+)
+_HOUR = 3_600_000_000_000
+
 ORACLES |= {
+    "svm_fit": _svm(),
+    "idx_file": f"""WITH {PIXELS}
+SELECT id AS vec_id, round(sum(v), 6) AS total, round(sum(v * d), 6) AS weighted FROM x GROUP BY id""",
+    "kmeans_file": f"""{_lloyd(PIXELS)}
+SELECT c AS prediction, 3 * count(*) AS count, CAST(sum(3 * count(*)) OVER () AS BIGINT) AS images,
+       round(sum(sum(cost)) OVER () * 3, 4) AS wssse FROM {LAST} GROUP BY c""",
+    "pagerank_file": ORACLES["pagerank_top"],
+    "pid_table_csv": f"WITH {FEATURES} SELECT pid, flow_id, {_SHOWN} FROM feat",
+    "ordered_dataset": f"""WITH {FEATURES}
+SELECT pid, {KEY}, start_ts_ns, row_number() OVER (PARTITION BY pid ORDER BY {KEY}, start_ts_ns) AS place FROM feat""",
+    "tied_writes": WRITES.replace("SELECT ts_ns, user_id % 5 AS id", f"SELECT ts_ns // {_HOUR} * {_HOUR} AS ts_ns, user_id % 5 AS id"),
+    "epoch_events": f"""WITH {EV} SELECT ts_ns, user_id % 5 AS id,
+  CASE event_id % 3 WHEN 0 THEN 'enter' WHEN 1 THEN 'sock_sendmsg' ELSE 'exit' END AS kind, size AS ret FROM ev""",
+    "signed_pids": f"WITH {EV} SELECT DISTINCT user_id % 50 AS pid FROM ev WHERE event_id % 3 <> 1 UNION SELECT 7777",
+    "stream_series": ORACLES["series_table"],
     "stream_flows_append": ORACLES["stream_flows"],
     "stream_flow_counters": ORACLES["flow_counters"],
     "stream_routing": ORACLES["event_routing"],

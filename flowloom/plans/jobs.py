@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.functions.text import ChatTemplate
 from flowloom.graph.pagerank import exists_check, pagerank_top_k
@@ -36,13 +38,20 @@ def kmeans_job(
     partitions: int = 64,
     copies: int = 4,
     seed: int = 1,
+    centres: Sequence[Sequence[float]] | None = None,
 ) -> KMeansResult:
-    """PIP-07: cluster the images of IDX files."""
-    images = clustering.as_vectors(read_idx_images(spark, path).select("features"))
+    """PIP-07: cluster the images of IDX files, from a random start or from given ``centres``."""
+    images = read_idx_images(spark, path).select(F.col("image").alias("id"), "features")
     rows = repartition(replicate_n(images, copies), partitions).persist(StorageLevel.MEMORY_AND_DISK)
     n = clustering.row_count_guard(rows, "images")
-    model = clustering.kmeans_fit(rows, k, iterations, seed)
-    sizes = clustering.cluster_sizes(clustering.kmeans_predict(model, rows))
+    if centres is not None:
+        found = clustering.lloyd(rows, centres, iterations)
+        assigned = clustering.assign(rows, found)
+        cost = clustering.wssse(assigned).head()[0]
+        return KMeansResult(n, float(cost), clustering.cluster_sizes(assigned), found)
+    vectors = clustering.as_vectors(rows)
+    model = clustering.kmeans_fit(vectors, k, iterations, seed)
+    sizes = clustering.cluster_sizes(clustering.kmeans_predict(model, vectors))
     return KMeansResult(
         n, float(model.summary.trainingCost), sizes, [[float(x) for x in c] for c in model.clusterCenters()]
     )
@@ -53,9 +62,7 @@ def svm_job(
 ) -> tuple[svm.SvmModel, DataFrame]:
     """PIP-08: train on four fifths of a LIBSVM file, evaluate on the rest."""
     train, test = svm.random_split(read_libsvm(spark, path))
-    train = train.cache()
     model = svm.svm_sgd_train(train, iterations, step, reg)
-    train.unpersist()
     return model, svm.svm_evaluate(model, test)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.scalars import kb_to_bytes
+
 # Which field of which file gives each feature.
 STATUS_FIELDS = {"vmsize_bytes": "VmSize", "vmrss_bytes": "VmRSS", "vmdata_bytes": "VmData"}
 IO_FIELDS = {"disk_read_bytes": "read_bytes", "disk_write_bytes": "write_bytes"}
@@ -17,8 +19,8 @@ def _of(file: str, value: Column) -> Column:
     return F.max(F.when(F.col("file") == file, value))
 
 
-def _line_number(content: Column, field: str) -> Column:
-    """The whole number that follows ``field:`` at the start of a line, else null.
+def _line_word(content: Column, field: str) -> Column:
+    """The word that follows ``field:`` at the start of a line, else null.
 
     Plain string cutting: a pattern search would cost several times as much.
     """
@@ -26,11 +28,12 @@ def _line_number(content: Column, field: str) -> Column:
     mark = f"\n{field}:"
     rest = F.substring_index(F.substring_index(lines, mark, -1), "\n", 1)
     word = F.substring_index(F.ltrim(F.translate(rest, "\t", " ")), " ", 1)
-    return F.when(F.contains(lines, F.lit(mark)) & word.rlike(r"^\d+$"), word.try_cast("bigint"))
+    return F.when(F.contains(lines, F.lit(mark)), word)
 
 
-def _bytes(content: Column, field: str) -> Column:
-    return F.coalesce(_line_number(content, field), F.lit(0)) * 1024
+def _line_number(content: Column, field: str) -> Column:
+    word = _line_word(content, field)
+    return F.when(word.rlike(r"^\d+$"), word.try_cast("bigint"))
 
 
 def _features(content: Column) -> dict[str, dict[str, Column]]:
@@ -38,7 +41,7 @@ def _features(content: Column) -> dict[str, dict[str, Column]]:
     words = F.split(F.trim(F.substring_index(content, ")", -1)), r"\s+")
     return {
         "stat": {name: F.get(words, F.lit(at)).try_cast("bigint") for name, at in STAT_FIELDS.items()},
-        "status": {name: _bytes(content, field) for name, field in STATUS_FIELDS.items()},
+        "status": {name: kb_to_bytes(_line_word(content, field)) for name, field in STATUS_FIELDS.items()},
         "io": {name: _line_number(content, field) for name, field in IO_FIELDS.items()},
     }
 
@@ -78,5 +81,5 @@ def parse_proc_snapshots(log: DataFrame) -> DataFrame:
 def parse_memavailable(log: DataFrame) -> DataFrame:
     """SRC-13: the system-wide available memory of each meminfo snapshot."""
     return log.where(F.col("file") == "meminfo").select(
-        "ts_ns", _bytes(F.col("content"), "MemAvailable").cast("double").alias("value")
+        "ts_ns", kb_to_bytes(_line_word(F.col("content"), "MemAvailable")).cast("double").alias("value")
     )

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+import warnings
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +19,7 @@ from flowloom.functions.scalars import (
     tolerant_number,
 )
 from flowloom.schemas import PACKET, QA_DOCUMENT
-from flowloom.sources import tail
+from flowloom.sources import idx, tail
 
 # One captured packet per line, and the header of a series file.
 CAPTURE_LINE = (
@@ -31,7 +28,7 @@ CAPTURE_LINE = (
     r"(\d+\.\d+\.\d+\.\d+)\.(\d+):.*length\s+(\d+)"
 )
 GLOBAL_SERIES = "memavailable_bytes"
-IDX_IMAGES_MAGIC = 2051
+SIGNED_PID = r"^[+-]?\d+$"
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -246,34 +243,13 @@ def parse_edges(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def decode_idx_images(content: bytes) -> np.ndarray:
-    """The images of one IDX file as rows of doubles in 0..1; a short file raises."""
-    magic, count, height, width = struct.unpack(">iiii", content[:16])
-    if magic != IDX_IMAGES_MAGIC:
-        raise ValueError(f"expected magic {IDX_IMAGES_MAGIC}, got {magic}")
-    pixels = np.frombuffer(content, np.uint8, count=count * height * width, offset=16)
-    return pixels.reshape(count, height * width) / 255.0
+def read_idx_images(spark: SparkSession, path: str, range_bytes: int = idx.RANGE_BYTES) -> DataFrame:
+    """SRC-09: one row per image of a file, of the files of a folder, or of those that match a pattern.
 
-
-def read_idx_images(spark: SparkSession, path: str, batch: int = 1024) -> DataFrame:
-    """SRC-09: one row per image; files are decoded in parallel, in batches."""
-
-    def images(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in files:
-            for name, content in zip(chunk["path"], chunk["content"]):
-                decoded = decode_idx_images(content)
-                for start in range(0, len(decoded), batch):
-                    part = decoded[start : start + batch]
-                    yield pd.DataFrame(
-                        {
-                            "file": name,
-                            "image": np.arange(start, start + len(part), dtype="int64"),
-                            "features": list(part),
-                        }
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(images, "file string, image bigint, features array<double>")
+    A file is read by as many tasks as it has ranges of ``range_bytes``; one that is too short raises.
+    """
+    spark.dataSource.register(idx.IdxImages)
+    return spark.read.format(idx.FORMAT).option("rangeBytes", range_bytes).load(path)
 
 
 def read_libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
@@ -289,14 +265,26 @@ def read_qa_json(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return spark.read.schema(QA_DOCUMENT).option("multiLine", multi_line).json(path)
 
 
-def read_pid_list(spark: SparkSession, path: str, extra: list[int] | None = None) -> DataFrame:
-    """SRC-12: distinct pids of a list file and any given ones, in order."""
-    return parse_pid_list(spark.read.text(path), extra)
+def read_pid_list(
+    spark: SparkSession, path: str, extra: list[int] | None = None, signed: bool = False
+) -> DataFrame:
+    """SRC-12: distinct pids of a list file and any given ones, in order.
+
+    ``signed`` is the event collectors' variant: signs are accepted, and lines that are no pid - blank
+    ones aside - are counted in a warning.
+    """
+    lines = spark.read.text(path)
+    if signed:
+        text = strip(F.col("value"))
+        bad = lines.where((text != "") & ~text.rlike(SIGNED_PID)).count()
+        if bad:
+            warnings.warn(f"{path}: {bad} lines are no pid and are skipped", stacklevel=2)
+    return parse_pid_list(lines, extra, signed)
 
 
 def parse_pid_list(lines: DataFrame, extra: list[int] | None = None, signed: bool = False) -> DataFrame:
     """One pid per line; ``signed`` accepts a sign, as the event variant does."""
-    pattern = r"^[+-]?\d+$" if signed else r"^\d+$"
+    pattern = SIGNED_PID if signed else r"^\d+$"
     found = lines.select(strip(F.col("value")).alias("v")).where(F.col("v").rlike(pattern))
     pids = found.select(F.col("v").try_cast("bigint").alias("pid")).where(F.col("pid").isNotNull())
     if extra:

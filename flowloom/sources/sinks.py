@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from flowloom.functions.scalars import render_number
 from flowloom.schemas import FLOW_COLUMNS, PACKET
+from flowloom.sources import idx
 
 
 def write_flows(flows: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -30,19 +33,31 @@ def render_numbers(df: DataFrame) -> DataFrame:
     )
 
 
-def write_by_pid(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_by_pid(df: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str] = ()) -> None:
     """SNK-02: one output folder per pid.
 
     Rows are first rebalanced by pid: small pids end up in few files, and AQE
-    splits a pid with many rows over several tasks.
+    splits a pid with many rows over several tasks.  With ``order`` (SRT-02) they are
+    partitioned by ranges of (pid, order) instead and sorted within tasks, nulls last: the names of a pid's files, in
+    order, and the rows in each, in order, are the whole order.  One shuffle either way.
     """
-    rows = df.hint("rebalance", "pid")
+    if order:
+        along = [F.col("pid"), *[F.col(c).asc_nulls_last() for c in order]]
+        rows = df.repartitionByRange(*along).sortWithinPartitions(*along)
+    else:
+        rows = df.hint("rebalance", "pid")
     if fmt == "csv":
         render_numbers(rows).write.mode("overwrite").partitionBy("pid").option("header", True).csv(path)
     else:
         rows.write.mode("overwrite").partitionBy("pid").format(fmt).save(path)
 
 
+def write_idx_images(df: DataFrame, path: str, width: int) -> None:
+    """Images of a ``pixels`` column (numbers from 0 to 255, row after row) as IDX files of a folder."""
+    df.sparkSession.dataSource.register(idx.IdxImages)
+    df.select("pixels").write.format(idx.FORMAT).option("width", width).mode("append").save(path)
+
+
 def write_series(series: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK-03: one output folder per (feature, pid); the folder is cleared first."""
     rows = series.select("feature", F.coalesce("pid", F.lit("system")).alias("pid"), "ts_ns", "value")

@@ -148,6 +148,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+IMAGE_WIDTH = 67
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of one row: three pixels of the id, and a pixel per dimension."""
+    digits = [(F.expr(f"vec_id div {by}") % 256).cast("int") for by in (65536, 256, 1)]
+    shade = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 4) * 32))).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array(*digits), shade).alias("pixels"))
+
+
 def _awkward_text():
     """Turns with what cleaning is for: outer blanks, empty answers, date preambles."""
     role, conv, text = F.col("role"), F.col("conv_id"), F.col("text")

@@ -80,6 +80,48 @@ def test_svm_separates_and_scores(spark, tmp_path):
     assert sum(p.count() for p in parts) == 60
 
 
+def test_batched_gradients_are_mllibs(spark):
+    """Full batches: the same weights as the optimizer that takes rows one by one, over many partitions or few."""
+    rng = random.Random(6)
+    rows = [(i, float(rng.random() < 0.4), [rng.gauss(0, 1) for _ in range(5)]) for i in range(80)]
+    points = model.table(spark, rows, "id long, label double, features array<double>")
+    want = V.svm_mllib_train(points, 12, 2.0, 0.05).weights
+    for parts in (2, 40):
+        found = V.svm_sgd_train(points.repartition(parts), 12, 2.0, 0.05)
+        assert found.weights == pytest.approx(want, abs=1e-9)
+
+
+def test_samples_follow_the_key_and_training_goes_on(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, float(i % 2), [rng.gauss(i % 2, 1), rng.gauss(0, 1)]) for i in range(120)]
+    points = model.table(spark, rows, "id long, label double, features array<double>")
+    train = lambda df, n, **how: V.svm_sgd_train(df, n, 1.0, 0.01, fraction=0.5, key="id", **how).weights
+    whole = train(points, 6)
+    assert train(points.repartition(5), 6) == pytest.approx(whole)
+    folder = str(tmp_path / "weights")
+    train(points, 4, folder=folder, save_every=2)
+    assert train(points, 6, folder=folder, save_every=2) == pytest.approx(whole)
+    with pytest.raises(ValueError, match="no labelled points"):
+        V.svm_sgd_train(points.where("id < 0"), 1)
+
+
+def test_a_round_shuffles_no_edges(spark):
+    edges = model.table(spark, [(i % 7, i % 5) for i in range(60)], "src long, dst long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows_per_task in (10**6, 3):
+            graph = G.build_graph(edges, rows_per_task)
+            round_ = G.inflows(graph, graph.vertices.withColumn("rank", F.lit(1.0)))
+            plan = round_._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount" in plan
+            # the sums by destination, and where there are hubs the shares of their lanes
+            assert plan.count("Exchange hashpartitioning") <= len(graph.join_on)
+            graph.forget()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 DOCS = [
     ({"title": " T\n", "paragraphs": [{"context": "\tC ", "qas": [
         {"question": " q1 ", "answers": [{"text": " yes "}, {"text": ""}, {"text": "  "}]},

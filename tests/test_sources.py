@@ -1,12 +1,14 @@
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalars
 from flowloom.plans import jobs
 from flowloom.schemas import FLOW
+from flowloom.sources import idx as idx_files
 from flowloom.sources import proc, readers, sinks
 from tests import model
 
@@ -108,7 +110,7 @@ def idx(images):
 def test_idx_images_and_the_kmeans_job(spark, tmp_path):
     images = np.arange(2 * 2 * 3).reshape(2, 2, 3)
     (tmp_path / "a.idx").write_bytes(idx(images))
-    found = readers.read_idx_images(spark, str(tmp_path), batch=1).orderBy("image").collect()
+    found = readers.read_idx_images(spark, str(tmp_path), range_bytes=1).orderBy("image").collect()
     assert [r.features for r in found] == [(images[i].ravel() / 255.0).tolist() for i in (0, 1)]
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "b.idx").write_bytes(idx(images)[:-1])
@@ -119,6 +121,39 @@ def test_idx_images_and_the_kmeans_job(spark, tmp_path):
     assert [r["count"] for r in result.sizes.collect()] == [3, 3]
 
 
+@pytest.mark.parametrize("range_bytes,per_file", [(1, 3), (13, 1000), (10**6, 7)])
+def test_idx_files_cut_anywhere(spark, tmp_path, monkeypatch, range_bytes, per_file):
+    monkeypatch.setattr(idx_files, "IMAGES_PER_FILE", per_file)
+    rows = [([i, *((i * k) % 256 for k in range(1, 6))],) for i in range(40)]
+    sinks.write_idx_images(model.table(spark, rows, "pixels array<int>").repartition(3), str(tmp_path / "idx"), 3)
+    assert all(f.stat().st_size <= 16 + 6 * per_file for f in (tmp_path / "idx").iterdir())
+    found = readers.read_idx_images(spark, str(tmp_path / "idx"), range_bytes).select("features").collect()
+    assert sorted([round(x * 255) for x in r.features] for r in found) == sorted(r[0] for r in rows)
+
+
+def test_a_dataset_in_order(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(str(p), None if i == 3 else int(v), i) for i, (p, v) in enumerate(zip(rng.integers(0, 3, 300), rng.permutation(300)))]
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_pid(model.table(spark, rows, "pid string, a long, b long"), str(tmp_path / "t"), order=["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert max(len(list(f.glob("*.parquet"))) for f in (tmp_path / "t").glob("pid=*")) > 1
+    for pid in "012":
+        files = sorted((tmp_path / "t" / f"pid={pid}").glob("*.parquet"))
+        read = [tuple(r.values()) for f in files for r in pq.read_table(f, partitioning=None).to_pylist()]
+        want = sorted(((a, b) for p, a, b in rows if p == pid), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        assert read == want
+
+
+def test_signed_pids_warn(spark, tmp_path):
+    path = write(tmp_path / "pids.txt", "+5\n\n -7\nx y\n5\n")
+    with pytest.warns(UserWarning, match="1 lines"):
+        assert [r.pid for r in readers.read_pid_list(spark, path, signed=True).collect()] == [-7, 5]
+
+
 def test_tables_come_back_as_written(spark, tmp_path):
     flow = model.table(spark, [(0, "a", 1, "b", 2, "1.0", "2.0", 5, 3, 30, 0, 1, 2)], FLOW)
     sinks.write_flows(flow, str(tmp_path / "flows"))
