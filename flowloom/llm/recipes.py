@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.frames import pick, stored
-from flowloom.llm.keyfilter import BITS, filter_table, maybe_held
+from flowloom.llm.keyfilter import bits_for, filter_table, maybe_held
 
 # The characters that are deleted before texts are compared.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,9 +26,6 @@ LEAST, MOST = 512, 4096
 # A chunk ends after so many bytes of the class, which holds about two in five of all byte values.
 RUN = 6
 CUT_CLASS = r"[\x00-\x0F\x20-\x2F\x44-\x4B\x61-\x67\x72-\x76\x80-\x8F\xA0-\xAF\xC0-\xC3]"
-# Bits of the filter of repeated recipes for each of them, and all in all at most (16 MB).
-BITS_PER_KEY = 16
-MOST_BITS = 1 << 27
 # Salts tried before two chunks that share an identifier under each of them are reported.
 SALTS = 8
 
@@ -99,9 +96,7 @@ def recipes(
         made = stored(made, "recipes")
         # what moves for verification are chunks of recipes that several rows have; the filter may let others pass
         repeated = stored(_repeated(made).select(_digest("recipe").alias("digest")), "repeated-recipes")
-        bits = BITS
-        while bits < min(BITS_PER_KEY * repeated.count(), MOST_BITS):
-            bits *= 2
+        bits = bits_for(repeated.count())
         asked = cut.withColumn("recipe", recipe).where(maybe_held(_digest("recipe"), filter_table(repeated, "digest", bits), bits))
         chunks = asked.select(F.explode("chunks").alias("chunk")).select(identify(F.col("chunk"), salt).alias("id"), "chunk")
         if shared_identifiers(chunks).isEmpty():
