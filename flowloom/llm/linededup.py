@@ -62,10 +62,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     Words stand between blanks.  Rows that repeat both id and text share a key.
     """
     text = F.col("text")
-    keyed = docs.where(text.isNotNull()).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
-    )
-    return keyed.where(F.trim("line") != "")
+    # hashed in a step of its own: beside the explode the whole text would be hashed once per line
+    keyed = docs.where(text.isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+    lines = keyed.select("doc_id", "rk", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return lines.where(F.trim("line") != "")
 
 
 def rarity_classes(docs: DataFrame) -> DataFrame:
