@@ -21,10 +21,8 @@ from flowloom.llm.keyfilter import filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# Words of a set flip one of PARITY bits each, kept in two numbers.  They rule out
-# partners and never tell sets apart.
-WIDE, NARROW = 64, 40
-PARITY = WIDE + NARROW
+# Words of a set flip one of so many bits each.  They rule out partners and never tell sets apart.
+PARITY = 64
 # Of a set's rarest words, so many are asked for their heads.
 HEAD_WORDS = 4
 _KEY_BITS = 56
@@ -85,7 +83,7 @@ def rarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Every line as ``set_hash, word_xor, parity, narrow, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first.
+    """Every line as ``set_hash, word_xor, parity, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first.
 
     Equal sets agree in two hashes of 64 bits made in different ways: one of the sorted
     keys, and the exclusive or of the whole word hashes.
@@ -93,18 +91,11 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
     keyed = word_keys(_lines(docs), classes)
     n = F.size("keys")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def parity(first: int, bits: int) -> Column:
-        """Parities of the words that fall on bits [first, first + bits)."""
-        place = lambda k: F.pmod(k, F.lit(PARITY)).cast("int") - first
-        flipped = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
-        return F.aggregate("keys", zero, lambda s, k: F.when(place(k).between(0, bits - 1), flipped(s, k)).otherwise(s))
-
+    flip = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(PARITY - 1)).cast("int")))
     return keyed.select(
         F.xxhash64("keys").alias("set_hash"),
         "word_xor",
-        parity(0, WIDE).alias("parity"),
-        parity(WIDE, NARROW).alias("narrow"),
+        F.aggregate("keys", zero, flip).alias("parity"),
         n.alias("n"),
         "doc_id",
         "rk",
@@ -141,21 +132,20 @@ def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     Groups of near copies, however large, thus meet in as many pairs as members.
     """
     near = sets.where(F.col("n") >= _least_size(similarity)).select(
-        "id", "n", "parity", "narrow", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
+        "id", "n", "parity", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
     )
-    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity", "narrow")).alias("head"))
+    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity")).alias("head"))
     n, m = F.col("n"), F.col("head.n")
-    apart = _apart(F.col, lambda c: F.col(f"head.{c}"))
+    apart = _apart(F.col("parity"), F.col("head.parity"))
     fits = similarity.lengths_fit(n, m) & (apart <= n + m - similarity.overlap(n, m) * 2)
     met = near.join(heads, "word").where((F.col("head.first") < F.col("first")) & fits)
     best = met.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("head.id").alias("other"))).alias("best"))
     return best.select(F.col("id").alias("later"), "best.other", F.lit(False).alias("same"))
 
 
-def _apart(x, y) -> Column:
-    """Words in which two sets differ at least, by their parities; ``x`` and ``y`` give the columns of each."""
-    wide, narrow = (F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("parity", "narrow"))
-    return wide + narrow
+def _apart(x: Column, y: Column) -> Column:
+    """Words in which two sets differ at least, by their parities."""
+    return F.bit_count(x.bitwiseXOR(y))
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -170,12 +160,12 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     The first common word of similar sets leaves both enough words for the overlap that
     they need; partners met at later words only are no candidates.
     """
-    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", "narrow", F.posexplode("prefix").alias("at", "word"))
+    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
-    apart = _apart(x, y)
+    apart = _apart(x("parity"), y("parity"))
     fits = similarity.lengths_fit(x("n"), y("n")) & (rest >= need) & (apart <= x("n") + y("n") - need * 2)
     same = x("doc").eqNullSafe(y("doc"))
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
@@ -233,7 +223,6 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
         F.count(F.lit(1)).alias("times"),
         F.first("n").alias("n"),
         F.first("parity").alias("parity"),
-        F.first("narrow").alias("narrow"),
         F.first("prefix").alias("prefix"),
     )
     # numbered once, on writing: a short id for the joins of pairs, whatever the hashes
