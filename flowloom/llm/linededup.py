@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.frames import pick, stored
-from flowloom.llm.keyfilter import filter_table, maybe_held
+from flowloom.llm.keyfilter import bits_for, filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
@@ -125,15 +125,32 @@ def _least_size(similarity: Similarity) -> int:
     return similarity.under - 1 if similarity.under == similarity.over + 1 else 1
 
 
-def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
+def shared_words(sets: DataFrame, similarity: Similarity) -> Column:
+    """A test of prefix words (``word``): whether several sets may hold one in their prefixes.
+
+    Most of the rarest words of a line occur in no other prefix and can lead to no partner; what fails
+    the test never leaves its task.  Words are counted after partial sums, and the filter of the repeated ones follows their number.
+    """
+    words = _near(sets, similarity).select(F.explode("prefix").alias("word"))
+    repeated = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word"), "shared-words")
+    bits = bits_for(repeated.count())
+    return maybe_held(F.col("word"), filter_table(repeated, "word", bits), bits)
+
+
+def _near(sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """Sets that can be similar to others than equal ones."""
+    return sets.where(F.col("n") >= _least_size(similarity))
+
+
+def head_candidates(sets: DataFrame, similarity: Similarity, shared: Column) -> DataFrame:
     """At most one pair for each set, with an earlier one of which it shares a rare word: ``later, other, same``.
 
     Each of a set's rarest words has one head, the earliest set that holds it there.
     Groups of near copies, however large, thus meet in as many pairs as members.
     """
-    near = sets.where(F.col("n") >= _least_size(similarity)).select(
+    near = _near(sets, similarity).select(
         "id", "n", "parity", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
-    )
+    ).where(shared)
     heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity")).alias("head"))
     n, m = F.col("n"), F.col("head.n")
     apart = _apart(F.col("parity"), F.col("head.parity"))
@@ -148,7 +165,7 @@ def _apart(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
 
 
-def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
+def similar_candidates(sets: DataFrame, similarity: Similarity, shared: Column) -> DataFrame:
     """Pairs of different sets that the filters leave: ``later, other, apart, same``, each once.
 
     Only ``open`` sets look for earlier ones.
@@ -160,7 +177,9 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     The first common word of similar sets leaves both enough words for the overlap that
     they need; partners met at later words only are no candidates.
     """
-    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word"))
+    entries = _near(sets, similarity).select(
+        "id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", F.posexplode("prefix").alias("at", "word")
+    ).where(shared)
     one, two = entries.alias("x"), entries.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
@@ -183,7 +202,8 @@ def line_texts(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFram
     asked = pairs.select(F.explode(F.array("later", "other")).alias("id")).distinct()
     wanted = stored(asked.join(firsts, "id").select("id", "first.rk", "first.pos"), "asked-lines")
     key = F.xxhash64("rk", "pos")
-    held = maybe_held(key, filter_table(wanted.select(key.alias("line")), "line"))
+    bits = bits_for(wanted.count())
+    held = maybe_held(key, filter_table(wanted.select(key.alias("line")), "line", bits), bits)
     lines = _lines(docs).where(held).select("rk", "pos", "line")
     # rows that repeat id and text give the same lines again
     return lines.join(wanted, ["rk", "pos"]).select("id", "line").dropDuplicates(["id"])
@@ -228,11 +248,12 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     # numbered once, on writing: a short id for the joins of pairs, whatever the hashes
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     firsts = sets.select("id", "set_hash", "word_xor", "first", "times")
-    tried = stored(head_candidates(sets, similarity), "head-candidates")
+    shared = shared_words(sets, similarity)
+    tried = stored(head_candidates(sets, similarity, shared), "head-candidates")
     gone = stored(verified(tried, stored(line_texts(tried, firsts, docs), "line-texts"), firsts, similarity), "gone")
     settled = gone.select(F.col("later").alias("id"), F.lit(False).alias("open"))
     opened = stored(sets.drop("set_hash", "word_xor").join(settled, "id", "left").withColumn("open", F.coalesce("open", F.lit(True))), "open-sets")
-    pairs = stored(similar_candidates(opened, similarity), "candidates")
+    pairs = stored(similar_candidates(opened, similarity, shared), "candidates")
     texts = stored(line_texts(pairs, firsts, docs), "line-texts")
     nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
     more = verified(nearest.select("later", "best.other", "best.same"), texts, firsts, similarity)
@@ -259,7 +280,8 @@ def cut_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFra
     doc_id, text = (F.col(f"_{columns.index(n)}") for n in ("doc_id", "text"))
     later = stored(later_lines(pick(docs, "doc_id", "text"), similarity), "later-lines")
     keyed = bare.withColumn("rk", F.xxhash64(doc_id, text))
-    touched = maybe_held(F.col("rk"), filter_table(later, "rk"))
+    bits = bits_for(later.count())
+    touched = maybe_held(F.col("rk"), filter_table(later, "rk", bits), bits)
     lines = F.split(text, "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "later")

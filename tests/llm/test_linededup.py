@@ -72,6 +72,14 @@ def test_short_lines_that_differ_all_stay(spark):
     assert [r.text for r in rows] == texts
 
 
+def test_a_text_of_very_many_lines(spark):
+    """Its rows carry one hash of the text each; nothing is done per line over the whole text."""
+    lines = [f"line n{i} of one very long text a{i % 1000} b{i // 1000}" for i in range(100_000)]
+    (row,) = L.drop_later_lines(documents(spark, ["\n".join([*lines, lines[5], lines[77]])])).collect()
+    assert (row.n_lines, row.n_removed) == (100_002, 2)
+    assert row.text == "\n".join(lines)
+
+
 def test_every_word_gives_a_whole_hash_of_its_own(spark):
     lines = spark.createDataFrame([(1, 1, 0, f"only{i}") for i in range(40_000)], "doc_id long, rk long, pos int, line string")
     keys = L.word_keys(lines, spark.sql(f"SELECT array_repeat(0Y, {L.CELLS}) AS levels"))
