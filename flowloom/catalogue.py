@@ -35,6 +35,7 @@ PAGERANK_ROUNDS = 12
 LLOYD_STEPS = 10
 CLUSTERS = 10
 SVM_STEPS = 20
+HELD_OUT_BELOW = -0.05
 # What the monotonic clock of the surrogate log lags behind the epoch.
 CLOCK_NS = 1_700_000_000_000_000_123
 # Score of the surrogate classifier: every coordinate counts.
@@ -244,8 +245,8 @@ def system_memory(spark, sf):
 
 
 def series_pivot(spark, sf):
-    series = S.polled_series(spark, sf).where(F.col("pid").isNotNull())
-    return reshape.series_pivot(series, ["utime_ticks", "vmrss_bytes"])
+    series = S.polled_series(spark, sf).withColumn("pid", F.coalesce("pid", F.lit("system")))
+    return reshape.series_pivot(series, ["memavailable_bytes", "utime_ticks", "vmrss_bytes"])
 
 
 def workload_series(spark, sf):
@@ -347,8 +348,19 @@ def svm_fit(spark, sf):
     points = _binary_points(spark, sf)
     train, test = points.where(F.col("id") % 5 != 0), points.where(F.col("id") % 5 == 0)
     model = V.svm_sgd_train(train, SVM_STEPS, 10.0, 0.01, key="id")
+    return _weights_and_area(spark, model, V.svm_evaluate(model, test))
+
+
+def svm_file(spark, sf):
+    """PIP-08: the job over a LIBSVM file; what is held out is a matter of the first feature."""
+    folder = scratch(spark)
+    C.as_vectors(_binary_points(spark, sf)).select("label", "features").write.format("libsvm").save(folder)
+    return _weights_and_area(spark, *jobs.svm_job(spark, folder, SVM_STEPS, 10.0, 0.01, held_out=F.col("x")[0] < HELD_OUT_BELOW))
+
+
+def _weights_and_area(spark: SparkSession, model: V.SvmModel, auroc: DataFrame) -> DataFrame:
     weights = spark.createDataFrame(list(enumerate(model.weights)), "place long, weight double")
-    area = V.svm_evaluate(model, test).select(F.lit(-1).cast("long").alias("place"), F.col("auroc").alias("weight"))
+    area = auroc.select(F.lit(-1).cast("long").alias("place"), F.col("auroc").alias("weight"))
     return weights.unionByName(area).select("place", F.round("weight", 6).alias("weight"))
 
 
@@ -606,6 +618,13 @@ def stream_flow_counters(spark, sf):
     )
 
 
+def stream_running_bytes(spark, sf):
+    """AGG-02 as a stream out of order."""
+    folder = scratch(spark)
+    packets = S.packets_of(_arriving_events(spark, sf, folder))
+    return enrich.run_to_table(timed.running_bytes_stream(packets, DISORDER), folder)
+
+
 def stream_routing(spark, sf):
     """STF-05 as a stream over five batches; pids are known once they have sent a probe."""
     folder = scratch(spark)
@@ -752,6 +771,7 @@ QUERIES: dict[str, Query] = {
         auroc,
         svm_train,
         svm_fit,
+        svm_file,
         idx_file,
         kmeans_file,
         pagerank_file,
@@ -788,6 +808,7 @@ QUERIES: dict[str, Query] = {
         stream_events,
         stream_flows_append,
         stream_flow_counters,
+        stream_running_bytes,
         stream_routing,
         stream_asof_keyed,
         stream_series,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from flowloom import surrogates as S
 from flowloom.catalogue import (
     CLUSTERS,
+    HELD_OUT_BELOW,
     INTERVAL_NS,
     LLOYD_STEPS,
     METRICS_ALLOWED,
@@ -281,12 +282,12 @@ PIXELS = f"""{IMAGES},
 x AS (SELECT vec_id AS id, unnest(range({S.IMAGE_WIDTH})) AS d, unnest(pixels) / 255.0 AS v FROM images)"""
 
 
-def _svm() -> str:
+def _svm(held: str) -> str:
     """Unrolled gradient steps, then the area under the curve on the points held out."""
     parts = [
         VECTORS,
-        "y AS (SELECT vec_id AS id, CASE WHEN label % 2 = 1 THEN 1.0 ELSE -1.0 END AS y FROM embeddings)",
-        "t AS MATERIALIZED (SELECT x.*, y.y, (SELECT count(*) FROM y WHERE id % 5 <> 0) AS n FROM x JOIN y USING (id) WHERE id % 5 <> 0)",
+        f"y AS (SELECT vec_id AS id, CASE WHEN label % 2 = 1 THEN 1.0 ELSE -1.0 END AS y, {held} AS held FROM embeddings)",
+        "t AS MATERIALIZED (SELECT x.*, y.y, (SELECT count(*) FROM y WHERE NOT held) AS n FROM x JOIN y USING (id) WHERE NOT held)",
         "w0 AS (SELECT DISTINCT d, 0.0::DOUBLE AS w FROM x)",
     ]
     for i in range(1, SVM_STEPS + 1):
@@ -301,7 +302,7 @@ def _svm() -> str:
     last = f"w{SVM_STEPS}"
     parts.append(
         f"scored AS (SELECT x.id, y.y, sum(x.v * w.w) AS s FROM x JOIN {last} w ON x.d = w.d JOIN y ON y.id = x.id "
-        "WHERE x.id % 5 = 0 GROUP BY x.id, y.y)"
+        "WHERE y.held GROUP BY x.id, y.y)"
     )
     parts.append(
         "area AS (SELECT avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END::DOUBLE) AS v "
@@ -431,9 +432,11 @@ WHERE record IS NOT NULL AND record NOT IN ('cuda_allocations', 'cuda_collective
 FROM ev WHERE 1000 + user_id % 4 = 1002 AND size - 600 > 32""",
     "metrics_unpivot": _metrics(METRICS_ALLOWED),
     "system_memory": f"WITH {EV} SELECT ts_ns, CAST(size * 1024 AS DOUBLE) AS value FROM ev",
-    "series_pivot": f"""WITH {EV},{POLLED_SQL}
-SELECT pid, ts_ns, max(value) FILTER (WHERE feature = 'utime_ticks') AS utime_ticks,
-  max(value) FILTER (WHERE feature = 'vmrss_bytes') AS vmrss_bytes FROM own_polled GROUP BY pid, ts_ns""",
+    "series_pivot": f"""WITH {EV},{POLLED_SQL},
+every AS (SELECT pid, feature, ts_ns, value FROM own_polled UNION ALL SELECT 'system', feature, ts_ns, value FROM shared)
+SELECT pid, ts_ns, max(value) FILTER (WHERE feature = 'memavailable_bytes') AS memavailable_bytes,
+  max(value) FILTER (WHERE feature = 'utime_ticks') AS utime_ticks,
+  max(value) FILTER (WHERE feature = 'vmrss_bytes') AS vmrss_bytes FROM every GROUP BY pid, ts_ns""",
     "workload_series": f"""WITH {EV},{SERIES},
 every AS (SELECT pid, 'polled' AS kind, feature, ts_ns FROM own_polled
           UNION ALL SELECT pid, 'event', feature, ts_ns FROM evented)
@@ -479,7 +482,9 @@ _SHOWN = ", ".join(
 _HOUR = 3_600_000_000_000
 
 ORACLES |= {
-    "svm_fit": _svm(),
+    "svm_fit": _svm("vec_id % 5 = 0"),
+    "svm_file": _svm(f"CAST(embedding[1] AS DOUBLE) < {HELD_OUT_BELOW}"),
+    "stream_running_bytes": ORACLES["running_bytes"],
     "idx_file": f"""WITH {PIXELS}
 SELECT id AS vec_id, round(sum(v), 6) AS total, round(sum(v * d), 6) AS weighted FROM x GROUP BY id""",
     "kmeans_file": f"""{_lloyd(PIXELS)}

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import ChatTemplate
@@ -58,10 +59,23 @@ def kmeans_job(
 
 
 def svm_job(
-    spark: SparkSession, path: str, iterations: int = 270_000, step: float = 10.0, reg: float = 0.01
+    spark: SparkSession,
+    path: str,
+    iterations: int = 270_000,
+    step: float = 10.0,
+    reg: float = 0.01,
+    held_out: Column | None = None,
 ) -> tuple[svm.SvmModel, DataFrame]:
-    """PIP-08: train on four fifths of a LIBSVM file, evaluate on the rest."""
-    train, test = svm.random_split(read_libsvm(spark, path))
+    """PIP-08: train on a part of a LIBSVM file and evaluate on the rest, by default a random fifth.
+
+    ``held_out`` is a condition on ``label`` and ``x``, the features as an array, that names the rest.
+    """
+    points = read_libsvm(spark, path).select("label", vector_to_array("features").alias("x"))
+    if held_out is None:
+        train, test = svm.random_split(points)
+    else:
+        train, test = points.where(~held_out), points.where(held_out)
+    train, test = (part.withColumnRenamed("x", "features") for part in (train, test))
     model = svm.svm_sgd_train(train, iterations, step, reg)
     return model, svm.svm_evaluate(model, test)
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from flowloom.operators import asof, flows
-from flowloom.operators.counters import asof_strict
+from flowloom.operators.counters import asof_strict, running_bytes
 from flowloom.operators.events import route_records
 from flowloom.operators.pairing import pair_socket_writes
 from flowloom.streaming import batchwise, enrich, timed
@@ -33,7 +33,7 @@ def test_counters_over_files_out_of_order(spark, tmp_path):
     spark.createDataFrame(packets, model.PACKET_DDL).write.parquet(str(tmp_path / "table"))
     table = spark.read.parquet(str(tmp_path / "table"))
     places = {r: k for k, r in enumerate(rows)}
-    stream, _ = in_files(spark, tmp_path, rows, model.PACKET_DDL, 6, places.get)
+    stream, _ = in_files(spark, tmp_path, rows, model.PACKET_DDL, 5, places.get)
     for lanes in (1, 3):
         folder = str(tmp_path / f"lanes{lanes}")
         timed.counted_packets(stream, folder, "25 seconds", lanes).awaitTermination()
@@ -47,6 +47,8 @@ def test_counters_over_files_out_of_order(spark, tmp_path):
             ),
         )
         assert found.select("batch").distinct().count() > 2
+    running = enrich.run_to_table(timed.running_bytes_stream(stream, "25 seconds"), str(tmp_path / "running"))
+    same(running, running_bytes(table))
 
 
 def test_flows_carry_the_counters_of_their_first_packet(spark, tmp_path):
