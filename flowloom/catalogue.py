@@ -518,7 +518,9 @@ def dataset_from_files(spark, sf):
     """The build from packet, polled, system-wide and event CSV files, written by pid and read back."""
     folder = scratch(spark)
     packets = S.packets(spark, sf)
-    packets.drop("ord").coalesce(1).write.option("header", True).csv(f"{folder}/packets")
+    # several files, whose names and rows keep the order of the packets
+    placed = packets.repartitionByRange(8, "ord").sortWithinPartitions("ord")
+    placed.drop("ord").write.option("header", True).csv(f"{folder}/packets")
     S.write_series_files(spark, sf, f"{folder}/series")
     read = readers.read_packets(spark, f"{folder}/packets")
     series = (

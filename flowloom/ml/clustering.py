@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
@@ -67,7 +68,6 @@ def lloyd_step(df: DataFrame, centres: Sequence[Sequence[float]]) -> list[list[f
     A centre that attracts no points stays where it is.
     """
     fixed = np.asarray(centres, dtype="float64")
-    width = fixed.shape[1]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, counts = np.zeros_like(fixed), np.zeros(len(fixed), dtype="int64")
@@ -81,15 +81,16 @@ def lloyd_step(df: DataFrame, centres: Sequence[Sequence[float]]) -> list[list[f
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"c": used, "n": counts[used], "s": list(sums[used])})
 
-    parts = df.select("features").mapInPandas(partial, "c bigint, n bigint, s array<double>")
-    rows = (
-        parts.groupBy("c")
-        .agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)])
-        .collect()
-    )
+    def add(group: pa.Table) -> pa.Table:
+        sums = group["s"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).sum(axis=0)
+        return pa.table({"c": group["c"][:1], "n": [sum(group["n"].to_pylist())], "s": [sums.tolist()]})
+
+    layout = "c bigint, n bigint, s array<double>"
+    # one row per task and cluster, then one per cluster
+    rows = df.select("features").mapInPandas(partial, layout).groupBy("c").applyInArrow(add, layout).collect()
     moved = fixed.copy()
     for row in rows:
-        moved[row["c"]] = np.array([row[f"s{i}"] for i in range(width)]) / row["n"]
+        moved[row["c"]] = np.array(row["s"]) / row["n"]
     return moved.tolist()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -28,13 +29,16 @@ CAPTURE_LINE = (
     r"(\d+\.\d+\.\d+\.\d+)\.(\d+):.*length\s+(\d+)"
 )
 GLOBAL_SERIES = "memavailable_bytes"
+# Parts of a packet's place: files, splits of a file (in units of 4 MB), rows of a task.
+FILE_BITS, SPLIT_BITS, ROW_BITS = 20, 18, 25
+SPLIT_UNIT = 4 << 20
 SIGNED_PID = r"^[+-]?\d+$"
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """SRC-01: the packet CSV; a malformed number or another header raises.
 
-    ``ord`` is the position in the scan and orders packets of equal time.
+    ``ord`` is the position among all files in the order of their paths; it orders packets of equal time.
     """
     rows = (
         spark.read.schema(PACKET)
@@ -43,7 +47,33 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "FAILFAST")
         .csv(path)
     )
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    return with_file_order(rows)
+
+
+def with_file_order(rows: DataFrame) -> DataFrame:
+    """Add ``ord``: rank of the file by path, then place of the row's split in it, then of the row in its split.
+
+    Spark reads large files first and in splits, so the position in the scan is no order of files.
+    The list of files is the one the driver already has.
+    """
+    # one file may be written with one slash after the scheme here and with three there
+    files = sorted(re.sub("^([^/]*:)/+", r"\1/", f) for f in rows.inputFiles())
+    path = F.regexp_replace("_metadata.file_path", "^([^/]*:)/+", "$1/")
+    if len(files) >= 1 << FILE_BITS:
+        raise ValueError(f"{len(files)} files; their order is kept for fewer than {1 << FILE_BITS}")
+    found = rows.select(
+        "*", F.expr(f"_metadata.file_block_start div {SPLIT_UNIT}").alias("_split"), path.alias("_path")
+    )
+    if len(files) > 1:
+        ranks = rows.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+        found = found.join(F.broadcast(ranks), "_path", "left")
+    else:
+        found = found.withColumn("_file", F.lit(0).cast("long"))
+    # ids grow within a split, and a task reads few enough rows for the bits left to it
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    known = F.coalesce("_file", F.raise_error(F.lit("a file that was not listed")).cast("long"))
+    place = F.shiftleft(F.shiftleft(known, SPLIT_BITS) + F.col("_split"), ROW_BITS) + row
+    return found.select(*rows.columns, place.alias("ord"))
 
 
 def stream_packets(spark: SparkSession, path: str, **options: str) -> DataFrame:
