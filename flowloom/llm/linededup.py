@@ -21,10 +21,9 @@ from flowloom.llm.keyfilter import bits_for, filter_table, maybe_held
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# Words of a set flip one of PARITY bits each, kept in two numbers.  They rule out
-# partners and never tell sets apart.
+# Every word of a set flips one bit in each of two bitmaps of so many bits, at places that have nothing to do with each
+# other.  They rule out partners and never tell sets apart.
 WIDE, NARROW = 64, 40
-PARITY = WIDE + NARROW
 # Of a set's rarest words, so many are asked for their heads.
 HEAD_WORDS = 4
 _KEY_BITS = 56
@@ -94,17 +93,15 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
     n = F.size("keys")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def parity(first: int, bits: int) -> Column:
-        """Parities of the words that fall on bits [first, first + bits)."""
-        place = lambda k: F.pmod(k, F.lit(PARITY)).cast("int") - first
-        flipped = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
-        return F.aggregate("keys", zero, lambda s, k: F.when(place(k).between(0, bits - 1), flipped(s, k)).otherwise(s))
+    def parity(place) -> Column:
+        """Parities of the words that fall on each place."""
+        return F.aggregate("keys", zero, lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k).cast("int"))))
 
     return keyed.select(
         F.xxhash64("keys").alias("set_hash"),
         "word_xor",
-        parity(0, WIDE).alias("parity"),
-        parity(WIDE, NARROW).alias("narrow"),
+        parity(lambda k: k.bitwiseAND(F.lit(WIDE - 1))).alias("parity"),
+        parity(lambda k: F.pmod(F.shiftright(k, 6), F.lit(NARROW))).alias("narrow"),
         n.alias("n"),
         "doc_id",
         "rk",
@@ -153,9 +150,8 @@ def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def _apart(x, y) -> Column:
-    """Words in which two sets differ at least, by their parities; ``x`` and ``y`` give the columns of each."""
-    wide, narrow = (F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("parity", "narrow"))
-    return wide + narrow
+    """Words in which two sets differ at least, by either of their bitmaps; ``x`` and ``y`` give the columns of each."""
+    return F.greatest(*[F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("parity", "narrow")])
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
