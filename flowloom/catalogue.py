@@ -497,7 +497,8 @@ def full_dataset_cut(spark, sf):
 
 
 def interval_cut(spark, sf):
-    return interval_accumulate(S.alloc_events_of(S.events(spark, sf)), INTERVAL_NS, rows_per_task=CUT_ROWS)
+    """Pieces of ten rows: their summaries take several rounds of the prefix scan."""
+    return interval_accumulate(S.alloc_events_of(S.events(spark, sf)), INTERVAL_NS, rows_per_task=10)
 
 
 def socket_writes_cut(spark, sf):
