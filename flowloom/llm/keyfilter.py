@@ -1,4 +1,4 @@
-"""A filter of row keys that lets rows skip a join: one bitmap, natively built and tested."""
+"""A filter of row keys that lets rows skip a join: bitmaps of bounded size, natively built and tested."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # Bits of a filter whose keys were not counted (1 MB).  When keys fill it, it spares fewer rows the join; results never change.
 BITS = 1 << 23
-# For counted keys: bits for each of them, and in all at most (16 MB, which is what is broadcast).
+# For counted keys: bits for each of them, and in all at most (4 MB, which is what is broadcast).
 BITS_PER_KEY = 16
-MOST_BITS = 1 << 27
+MOST_BITS = 1 << 25
+_BITMAP = 32768
 
 
 def bits_for(keys: int) -> int:
@@ -21,23 +22,20 @@ def bits_for(keys: int) -> int:
 
 
 def filter_table(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
-    """One row: the bitmap that holds the (whole-number) keys, 64 of its ``bits`` (a power of two) in each number."""
-    h = F.pmod(F.col(key).cast("long"), F.lit(bits))
-    one = F.lit(1).cast("long")
-    held = keys.groupBy(F.shiftright(h, 6).cast("int").alias("place")).agg(
-        F.bit_or(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))).alias("held")
-    )
-    places = keys.sparkSession.range(0, bits // 64, 1, 1).select(F.col("id").cast("int").alias("place"))
+    """One row: the bitmaps that hold the (long) keys, ``bits`` (a power of two) in all."""
+    h = F.pmod(key, F.lit(bits))
     return (
-        places.join(held, "place", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("held", F.lit(0)).alias("held")))).alias("all"))
-        .select(F.transform("all", lambda x: x["held"]).alias("held"))
+        keys.groupBy(F.floor(h / _BITMAP).cast("int").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.pmod(h, F.lit(_BITMAP))).alias("bitmap"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("held"))
     )
 
 
 def maybe_held(key: Column, table: DataFrame, bits: int = BITS) -> Column:
     """Whether the filter may hold a key; false only for keys that it was not given."""
-    h = F.pmod(key.cast("long"), F.lit(bits))
-    word = F.get(table.scalar(), F.shiftright(h, 6).cast("int"))
-    bit = F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    h = F.pmod(key, F.lit(bits))
+    place = F.pmod(h, F.lit(_BITMAP)).cast("int")
+    bitmap = F.try_element_at(table.scalar(), F.floor(h / _BITMAP).cast("int"))
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
     return F.coalesce(bit == 1, F.lit(False))
