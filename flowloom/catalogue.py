@@ -522,12 +522,12 @@ def dataset_from_files(spark, sf):
     # several files, whose names and rows keep the order of the packets
     placed = packets.repartitionByRange(8, "ord").sortWithinPartitions("ord")
     placed.drop("ord").write.option("header", True).csv(f"{folder}/packets")
-    S.write_series_files(spark, sf, f"{folder}/series")
+    S.write_series_files(spark, sf, f"{folder}/series", parts=4)
     read = readers.read_packets(spark, f"{folder}/packets")
     series = (
-        readers.read_polled(spark, f"{folder}/series")
-        .unionByName(readers.read_global_series(spark, f"{folder}/series"))
-        .unionByName(readers.read_events(spark, f"{folder}/series/{{events,more}}"))
+        readers.read_polled(spark, f"{folder}/series/p*")
+        .unionByName(readers.read_global_series(spark, f"{folder}/series/p*"))
+        .unionByName(readers.read_events(spark, f"{folder}/series/p*/{{events,more}}"))
     )
     built = dataset.build_dataset(read, series, S.SURROGATE)
     sinks.write_by_pid(built, f"{folder}/dataset", order=history.DATASET_ORDER)

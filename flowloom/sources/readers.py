@@ -122,10 +122,11 @@ def parse_capture_text(lines: DataFrame, column: str = "value") -> DataFrame:
 def _text_rows(spark: SparkSession, path: str) -> DataFrame:
     """Every line of the files as its CSV fields, with file name and position."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"),
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("ord"),
         (F.col("_metadata.file_block_start") == 0).alias("front"),
     )
-    return lines.select(_fields("value").alias("fields"), "file", "ord", "front")
+    return lines.select(_fields("value").alias("fields"), "file", "path", "ord", "front")
 
 
 def _fields(line: str) -> Column:
@@ -170,9 +171,9 @@ def _with_header(rows: DataFrame) -> DataFrame:
     list of headers holds one row per file and is joined by size, so it is broadcast
     only when AQE has seen that it is small.
     """
-    first = rows.where("front").groupBy("file").agg(F.min(F.struct("ord", "fields")).alias("top"))
-    headers = first.select("file", F.col("top.ord").alias("head"), F.col("top.fields").alias("names"))
-    return _named_fields(rows.join(headers, "file").where("ord <> head"))
+    first = rows.where("front").groupBy("path").agg(F.min(F.struct("ord", "fields")).alias("top"))
+    headers = first.select("path", F.col("top.ord").alias("head"), F.col("top.fields").alias("names"))
+    return _named_fields(rows.join(headers, "path").where("ord <> head"))
 
 
 def _named_fields(rows: DataFrame) -> DataFrame:

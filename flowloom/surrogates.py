@@ -198,18 +198,24 @@ def qa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_series_files(spark: SparkSession, sf_dir: str, folder: str, upto: Column | None = None) -> None:
+def write_series_files(
+    spark: SparkSession, sf_dir: str, folder: str, upto: Column | None = None, parts: int = 1
+) -> None:
     """The series as CSV files of the names readers look for, with rows and files that must be skipped.
 
     Polled files carry a header, those of odd pids with the columns the other way round
     and a third one between; event files carry none, and come in two parts each.  With ``upto``, a
     condition on ``pid`` and ``ord``, only these rows are written; files of the same name are replaced.
+    With several ``parts`` a series is cut along its order into files of the folders ``p0``, ``p1``, ..., each with a header
+    of its own, so that no task writes a whole series.
     """
     feature, pid, time, value = F.col("feature"), F.col("pid"), F.col("ts_ns").cast("string"), F.col("value").cast("string")
     plain, turned = F.concat_ws(",", time, value), F.concat_ws(",", value, F.lit("x"), time)
     odd = F.coalesce(pid.cast("int") % 2 == 1, F.lit(False))
+    (last,) = events(spark, sf_dir).agg(F.max("event_id")).head() if parts > 1 else (0,)
+    below = F.concat(F.lit("p"), F.expr(f"cast(ord * {parts} div {last + 1} as string)"), F.lit("~")) if parts > 1 else F.lit("")
     polled = polled_series(spark, sf_dir).select(
-        F.concat(feature, F.coalesce(F.concat(F.lit("_pid"), pid), F.lit("")), F.lit(".csv")).alias("name"),
+        F.concat(below, feature, F.coalesce(F.concat(F.lit("_pid"), pid), F.lit("")), F.lit(".csv")).alias("name"),
         "ord",
         F.when(odd, turned).otherwise(plain).alias("line"),
         F.when(odd, "value,note,ts_ns").otherwise("ts_ns,value").alias("top"),
@@ -217,7 +223,7 @@ def write_series_files(spark: SparkSession, sf_dir: str, folder: str, upto: Colu
     header = polled.groupBy("name").agg(F.lit(-1).cast("long").alias("ord"), F.first("top").alias("line"))
     part = F.when(F.col("ord") % 2 == 0, "more").otherwise("events")
     evented = event_series(spark, sf_dir).select(
-        F.concat(part, F.lit("~"), feature, F.lit("_pid"), pid, F.lit(".csv")).alias("name"), "ord", plain.alias("line")
+        F.concat(below, part, F.lit("~"), feature, F.lit("_pid"), pid, F.lit(".csv")).alias("name"), "ord", plain.alias("line")
     )
     unnamed = header.select(F.lit("free_pid1.csv").alias("name"), "ord", F.lit("time,reading").alias("line")).distinct()
     rows = polled.drop("top").unionByName(header).unionByName(evented).unionByName(unnamed)
@@ -229,9 +235,10 @@ def write_series_files(spark: SparkSession, sf_dir: str, folder: str, upto: Colu
     written.select("name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("name").text(f"{folder}-parts")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for sub in ("", "/events", "/more"):
-        store.mkdirs(path(folder + sub))
+    for place in [f"/p{k}" for k in range(parts)] if parts > 1 else [""]:
+        for sub in ("", "/events", "/more"):
+            store.mkdirs(path(folder + place + sub))
     for found in store.globStatus(path(f"{folder}-parts/name=*/part-*")):
-        name = found.getPath().getParent().getName().removeprefix("name=").replace("~", "/")
+        name = found.getPath().getParent().getName().removeprefix("name=").replace("~", "/").replace("%7E", "/")
         store.delete(path(f"{folder}/{name}"), False)
         store.rename(found.getPath(), path(f"{folder}/{name}"))

@@ -164,6 +164,13 @@ def test_packets_of_many_files_are_in_the_order_of_their_names(spark, tmp_path):
     assert [x // 1000 for x in found] == [0] * 2 + [1] * 40 + [2] + [3] * 9
 
 
+def test_files_of_one_name_keep_their_own_headers(spark, tmp_path):
+    write(tmp_path / "p0" / "rss_pid7.csv", "ts_ns,value\n1,2\n")
+    write(tmp_path / "p1" / "rss_pid7.csv", "value,ts_ns\n5,3\n")
+    found = readers.read_polled(spark, str(tmp_path / "p*"))
+    assert sorted((r.ts_ns, r.value) for r in found.collect()) == [(1, 2.0), (3, 5.0)]
+
+
 def test_signed_pids_warn(spark, tmp_path):
     path = write(tmp_path / "pids.txt", "+5\n\n -7\nx y\n5\n")
     with pytest.warns(UserWarning, match="1 lines"):
