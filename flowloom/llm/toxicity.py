@@ -93,20 +93,42 @@ class Scorer:
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; weights of finds are never negative."""
+    """Ridge logistic regression by Newton steps that never raise the loss; weights of finds are never negative."""
     design = np.hstack([np.ones((len(rows), 1)), rows])
     weights = np.zeros(design.shape[1])
     share = (labels.sum() + 0.5) / (len(labels) + 2)
     weights[0] = math.log(share / (1 - share))
     if len(labels) == 0 or labels.min() == labels.max():
         return weights
-    penalty = np.diag([1e-6] + [ridge] * rows.shape[1])
+    penalty = np.array([1e-6] + [ridge] * rows.shape[1])
+
+    def loss(at: np.ndarray) -> float:
+        margin = design @ at
+        return float((np.logaddexp(0.0, margin) - labels * margin).sum() + 0.5 * (penalty * at * at).sum())
+
+    now = loss(weights)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        slope = design.T @ (p - labels) + penalty @ weights
-        curve = (design * (p * (1 - p))[:, None]).T @ design + penalty
-        weights = weights - np.linalg.solve(curve, slope)
-        weights[1:] = np.maximum(weights[1:], 0.0)
+        p = 1 / (1 + np.exp(-np.clip(design @ weights, -500, 500)))
+        slope = design.T @ (p - labels) + penalty * weights
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        # a weight at zero that would fall below it stays there, and the others move without it
+        free = (weights > 0.0) | (slope < 0.0)
+        free[0] = True
+        move = np.zeros_like(weights)
+        move[free] = -np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+        # a whole step may overshoot where classes are nearly apart
+        for rate in 0.5 ** np.arange(40):
+            tried = weights + rate * move
+            tried[1:] = np.maximum(tried[1:], 0.0)
+            then = loss(tried)
+            if then <= now:
+                break
+        else:
+            break
+        settled = now - then <= 1e-12 * abs(now)
+        weights, now = tried, then
+        if settled:
+            break
     return weights
 
 
