@@ -79,7 +79,9 @@ def lloyd_step(df: DataFrame, centres: Sequence[Sequence[float]]) -> list[list[f
                     sums[index] += points[best == index].sum(axis=0)
                 counts += np.bincount(best, minlength=len(fixed))
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"c": used, "n": counts[used], "s": list(sums[used])})
+        # a task without rows has no sums, and pandas no type for an empty list of them
+        if len(used):
+            yield pd.DataFrame({"c": used, "n": counts[used], "s": list(sums[used])})
 
     def add(group: pa.Table) -> pa.Table:
         sums = group["s"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).sum(axis=0)

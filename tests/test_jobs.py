@@ -157,3 +157,10 @@ def test_prompt_endings(spark):
 def test_copies(spark):
     df = spark.range(3)
     assert reshape.replicate_n(df, 4).count() == 12 and reshape.replicate_n(df, 0).count() == 3
+
+
+def test_lloyd_over_tasks_without_rows(spark):
+    points = model.table(spark, [(i, [float(i), 0.0]) for i in range(6)], "id long, features array<double>").repartition(20)
+    centres = C.lloyd(points, [[0.0, 0.0], [5.0, 0.0]], 3)
+    assert centres == [[1.0, 0.0], [4.0, 0.0]]
+    assert [tuple(r) for r in C.cluster_sizes(C.assign(points, centres)).collect()] == [(0, 3), (1, 3)]
