@@ -37,12 +37,19 @@ def kmeans_predict(model: KMeansModel, df: DataFrame) -> DataFrame:
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and squared distance to the nearest centre, the first among equals."""
+    """Index of and squared distance to the nearest centre, the first among equals.
+
+    Squares are added up plainly, in the order of the dimensions: where centres are equally far, as with pixels, the
+    rounding of the sums decides, and so it is the same for a point in any batch and in SQL.
+    """
     best = np.zeros(len(points), dtype="int64")
     least = np.full(len(points), np.inf)
+    columns = np.ascontiguousarray(points.T)
     for index, centre in enumerate(centres):
-        gap = points - centre
-        squared = np.einsum("ij,ij->i", gap, gap)
+        squared = np.zeros(len(points))
+        for column, at in zip(columns, centre):
+            gap = column - at
+            squared += gap * gap
         closer = squared < least
         best[closer], least[closer] = index, squared[closer]
     return best, least

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,17 @@ def test_lloyd_over_tasks_without_rows(spark):
     centres = C.lloyd(points, [[0.0, 0.0], [5.0, 0.0]], 3)
     assert centres == [[1.0, 0.0], [4.0, 0.0]]
     assert [tuple(r) for r in C.cluster_sizes(C.assign(points, centres)).collect()] == [(0, 3), (1, 3)]
+
+
+def test_distances_are_sums_in_the_order_of_dimensions():
+    rng = np.random.default_rng(8)
+    points, centres = rng.integers(0, 256, (40, 67)) / 255.0, rng.integers(0, 256, (3, 67)) / 255.0
+    best, least = C.nearest(points, centres)
+    for point, index, cost in zip(points.tolist(), best, least):
+        sums = []
+        for centre in centres.tolist():
+            total = 0.0
+            for x, c in zip(point, centre):
+                total += (x - c) * (x - c)
+            sums.append(total)
+        assert (cost, index) == (min(sums), sums.index(min(sums)))
