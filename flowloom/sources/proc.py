@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,10 @@ def file_features(log: DataFrame) -> DataFrame:
     return log.select("ts_ns", "pid", F.inline(listed))
 
 
-def parse_proc_snapshots(log: DataFrame) -> DataFrame:
+def parse_proc_snapshots(log: DataFrame, keys: Sequence[str] = ("ts_ns", "pid")) -> DataFrame:
     """SRC-13: logged (ts_ns, pid, file, content) to one wide row per (time, pid).
 
+    Where a log may hold several snapshots of a process at one time, ``keys`` also names the column that tells them apart.
     A process without a readable stat file has ticks 0; absent memory or I/O
     fields are 0 as well.
     """
@@ -75,7 +78,7 @@ def parse_proc_snapshots(log: DataFrame) -> DataFrame:
         for name, value in fields.items()
     ]
     processes = log.where(F.col("file").isin("stat", "status", "io"))
-    return processes.groupBy("ts_ns", "pid").agg(*columns)
+    return processes.groupBy(*keys).agg(*columns)
 
 
 def parse_memavailable(log: DataFrame) -> DataFrame:

@@ -211,3 +211,10 @@ def test_no_pids_is_an_error(spark):
 
     with pytest.raises(ValueError, match="no pids"):
         pid_names(spark.createDataFrame([], "pid string"))
+
+
+def test_snapshots_of_one_time_stay_apart(spark):
+    log = [(5, 7, s, "io", f"read_bytes: {10 + s}\n") for s in (0, 1)] + [(5, 7, 1, "stat", "7 (a) S" + " 1" * 10 + " 42 43")]
+    df = model.table(spark, log, "ts_ns long, pid int, snapshot long, file string, content string")
+    found = proc.parse_proc_snapshots(df, ("ts_ns", "pid", "snapshot")).collect()
+    assert sorted((r.snapshot, r.disk_read_bytes, r.utime_ticks) for r in found) == [(0, 10, 0), (1, 11, 42)]
