@@ -14,15 +14,19 @@ Spark's watermark starts at 1970, so rows of that instant count as late.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from flowloom.operators.asof import EVENT, POLLED, sample_age
 from flowloom.operators.pairing import ENTER, EXIT, SEND, keep_target_enters
@@ -30,6 +34,9 @@ from flowloom.schemas import PACKET, require_columns
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "event_time"
+# Rows of a key that a task handles at once, and rows of one value in the store.
+ROWS_AT_ONCE = 250_000
+BLOCK_ROWS = 8_192
 PACKET_PROBE = StructType([*PACKET.fields, StructField("ord", LongType())])
 COUNTED_PACKET = StructType(
     [*PACKET_PROBE.fields, StructField("neworkin", LongType()), StructField("neworkout", LongType())]
@@ -49,8 +56,11 @@ def with_event_time(rows: DataFrame, delay: str) -> DataFrame:
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``step`` in time order, once none can come before them.
 
-    ``step`` gets the key and rows sorted by ``ts_ns`` and ``ord``; rows of one instant always
-    come together.  With ``idle_ms``, ``forget`` is called when a key had no row for longer than that.
+    ``step`` gets the key and rows sorted by ``ts_ns`` and ``ord``, about ``ROWS_AT_ONCE`` of them at a time; rows of
+    one instant always come together.  With ``idle_ms``, ``forget`` is called when a key had no row for longer than that.
+
+    Rows wait in sorted blocks of ``BLOCK_ROWS``, one value of the store each, with an index of the times
+    they span; so a row costs no call to the store, and a task holds a bounded number of a key's rows.
     """
 
     def __init__(self, rows: StructType, output: StructType, idle_ms: int | None = None) -> None:
@@ -58,8 +68,10 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getMapState("waiting", _layout(block=LongType), _layout(rows=BinaryType))
+        self.index = handle.getValueState("index", _layout(blocks=BinaryType))
         self.latest = handle.getValueState("latest", _layout(ms=LongType))
+        self.arrow = to_arrow_schema(self.rows)
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -72,38 +84,101 @@ class InOrder(StatefulProcessor):
         """Clear the states of the operator."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, blocks, parts, held = None, None, [], 0
         for part in rows:
-            self.waiting.appendList(list(zip(*[part[name].tolist() for name in self.rows.names])))
+            if not len(part):
+                continue
             oldest = int(part["ts_ns"].min())
             first = oldest if first is None else min(first, oldest)
+            parts.append(pa.Table.from_pandas(part[self.rows.names], self.arrow, preserve_index=False))
+            held += len(part)
+            if held >= ROWS_AT_ONCE:
+                blocks = self._keep(pa.concat_tables(parts), self._blocks() if blocks is None else blocks)
+                parts, held = [], 0
+        if parts:
+            blocks = self._keep(pa.concat_tables(parts), self._blocks() if blocks is None else blocks)
         if first is not None:
+            self._note_blocks(blocks)
             self.handle.registerTimer(_due_ms(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.get())
-        found = None
-        if held:
-            rows = pd.DataFrame(held, columns=self.rows.names)
-            due = rows["ts_ns"].to_numpy("int64") // 1000 <= watermark * 1000
-            if due.any():
-                rest = rows[~due]
-                now = rows[due].sort_values(["ts_ns", "ord"], kind="stable", ignore_index=True)
-                found = self._in_pieces(key, now)
-                if len(rest):
-                    self.waiting.put(list(zip(*[rest[name].tolist() for name in self.rows.names])))
-                    self.handle.registerTimer(_due_ms(int(rest["ts_ns"].min())))
-                else:
-                    self.waiting.clear()
-                self._note(int(now["ts_ns"].iloc[-1]) // 1_000_000)
-        if self.idle_ms is not None and not self.waiting.exists() and self.latest.exists():
-            if self.latest.get()[0] + self.idle_ms < watermark:
+        newest = None
+        for now in self._due(watermark * 1_000_000 + 999):
+            found = self._in_pieces(key, now)
+            newest = int(now["ts_ns"].iloc[-1]) // 1_000_000
+            if self.idle_ms is not None:
+                self.latest.update((newest,))
+            if found is not None and len(found):
+                yield found[self.output.names]
+        if self.idle_ms is not None:
+            if newest is not None:
+                self.handle.registerTimer(newest + self.idle_ms + 1)
+            if not self.index.exists() and self.latest.exists() and self.latest.get()[0] + self.idle_ms < watermark:
                 self.latest.clear()
                 self.forget()
-        if found is not None and len(found):
-            yield found[self.output.names]
+
+    def _blocks(self) -> list[tuple[int, int, int]]:
+        """First and last time and number of each block that waits."""
+        return pickle.loads(bytes(self.index.get()[0])) if self.index.exists() else []
+
+    def _note_blocks(self, blocks: list[tuple[int, int, int]]) -> None:
+        if blocks:
+            self.index.update((pickle.dumps(blocks),))
+        else:
+            self.index.clear()
+
+    def _keep(self, rows: pa.Table, blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Put rows into blocks; the index with those."""
+        rows = rows.sort_by([("ts_ns", "ascending"), ("ord", "ascending")])
+        number = max((n for _, _, n in blocks), default=-1)
+        added = []
+        for begin in range(0, rows.num_rows, BLOCK_ROWS):
+            block = rows.slice(begin, BLOCK_ROWS).combine_chunks()
+            number += 1
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.arrow, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(block)
+            self.waiting.updateValue((number,), (sink.getvalue().to_pybytes(),))
+            ts = block.column("ts_ns")
+            added.append((ts[0].as_py(), ts[-1].as_py(), number))
+        return [*blocks, *added]
+
+    def _due(self, upto_ns: int) -> Iterator[pd.DataFrame]:
+        """The waiting rows up to an instant, in order; they wait no longer.
+
+        Blocks are read by their first times, and what lies before the first of the next is complete.
+        """
+        blocks = sorted(self._blocks())
+        due = [b for b in blocks if b[0] <= upto_ns]
+        if not due:
+            return
+        later = blocks[len(due) :]
+        loaded, read = None, 0
+        while read < len(due):
+            parts = [] if loaded is None else [loaded]
+            held = sum(p.num_rows for p in parts)
+            begin = read
+            while read < len(due) and (held < ROWS_AT_ONCE or read == begin):
+                block = pa.ipc.open_stream(bytes(self.waiting.getValue((due[read][2],))[0])).read_all()
+                parts.append(block)
+                held += block.num_rows
+                read += 1
+            bound = min(upto_ns, due[read][0] - 1) if read < len(due) else upto_ns
+            loaded = pa.concat_tables(parts)
+            complete = pc.less_equal(loaded.column("ts_ns"), bound)
+            now = loaded.filter(complete).sort_by([("ts_ns", "ascending"), ("ord", "ascending")])
+            loaded = loaded.filter(pc.invert(complete))
+            if now.num_rows:
+                yield now.to_pandas()
+        for _, _, number in due:
+            self.waiting.removeKey((number,))
+        if loaded.num_rows:
+            later = self._keep(loaded, later)
+        self._note_blocks(later)
+        if later:
+            self.handle.registerTimer(_due_ms(min(b[0] for b in later)))
 
     def _in_pieces(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         """Rows with longer silence between them are apart, however they fell into batches."""
@@ -121,11 +196,6 @@ class InOrder(StatefulProcessor):
         found = [part for part in found if part is not None and len(part)]
         return pd.concat(found, ignore_index=True) if found else None
 
-    def _note(self, ms: int) -> None:
-        if self.idle_ms is not None:
-            self.latest.update((ms,))
-            self.handle.registerTimer(ms + self.idle_ms + 1)
-
 
 def _due_ms(ts_ns: int) -> int:
     """The watermark, in milliseconds, from which on nothing comes at or before an instant."""
@@ -327,18 +397,25 @@ class LastValues(InOrder):
         ts = rows["ts_ns"].to_numpy("int64")
         asked = np.flatnonzero(rows["flow"].notna())
         found = pd.DataFrame({"pid": key[0], "flow": rows["flow"].iloc[asked].tolist(), "start_ts_ns": ts[asked]})
-        names = list(zip(rows["kind"], rows["feature"]))
-        for i, one in enumerate(self.series):
-            mine = np.array([k for k, name in enumerate(names) if name == one], dtype="int64")
-            times, values = ts[mine].tolist(), rows["value"].iloc[mine].tolist()
+        kinds, names = rows["kind"].to_numpy(object), rows["feature"].to_numpy(object)
+        known = rows["value"].to_numpy("float64")
+        for i, (kind, feature) in enumerate(self.series):
+            mine = np.flatnonzero((kinds == kind) & (names == feature))
+            times, values = ts[mine], known[mine]
             if self.newest.containsKey((i,)):
                 held = self.newest.getValue((i,))
-                times, values = [held[0], *times], [held[1], *values]
-            place = np.searchsorted(np.array(times, dtype="int64"), ts[asked], side="right") - 1
-            found[f"v{i}"] = pd.array([values[p] if p >= 0 else None for p in place], dtype="Float64")
-            found[f"t{i}"] = pd.array([times[p] if p >= 0 else None for p in place], dtype="Int64")
+                times, values = np.append(held[0], times), np.append(np.nan if held[1] is None else held[1], values)
+            place = np.searchsorted(times, ts[asked], side="right") - 1
+            none = place < 0
+            if len(times):
+                at = np.maximum(place, 0)
+                found[f"v{i}"] = pd.arrays.FloatingArray(values[at], none | np.isnan(values[at]))
+                found[f"t{i}"] = pd.arrays.IntegerArray(times[at].astype("int64"), none)
+            else:
+                found[f"v{i}"] = pd.array([None] * len(asked), dtype="Float64")
+                found[f"t{i}"] = pd.array([None] * len(asked), dtype="Int64")
             if len(mine):
-                self.newest.updateValue((i,), (times[-1], values[-1]))
+                self.newest.updateValue((i,), (int(times[-1]), float(values[-1])))
         return found
 
     def forget(self) -> None:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from flowloom.operators import asof, flows
@@ -135,3 +137,47 @@ def test_a_retried_batch_writes_late_flows_once(spark, tmp_path):
         found, _ = step(batch, state, 3, lambda df: df)
         assert [r.flow_id for r in found.collect()] == [2]
     assert [r.flow_id for r in spark.read.parquet(f"{folder}/late").collect()] == [1]
+
+
+class Held:
+    """A value, or a map, of a state store; and the handle that opens them."""
+
+    def __init__(self):
+        self.held, self.timers = {}, []
+        self.exists, self.get, self.clear = lambda: bool(self.held), lambda: self.held[None], lambda: self.held.clear()
+        self.update, self.updateValue = lambda v: self.held.update({None: v}), lambda k, v: self.held.update({k: v})
+        self.getValue, self.removeKey = lambda k: self.held[k], lambda k: self.held.pop(k)
+        self.getValueState = self.getMapState = lambda *_: Held()
+        self.registerTimer = self.timers.append
+
+
+def test_a_step_holds_a_bounded_part_of_a_keys_rows(monkeypatch):
+    monkeypatch.setattr(timed, "ROWS_AT_ONCE", 100, raising=False)
+    monkeypatch.setattr(timed, "BLOCK_ROWS", 8, raising=False)
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"ts_ns": rng.integers(1, 3_000, 2_000) * 1_000_000, "ord": np.arange(2_000), "bytes_in": 1, "bytes_out": 2})
+
+    class Seen(timed.RunningBytes):
+        sizes = []
+
+        def step(self, key, part):
+            self.sizes.append(len(part))
+            return super().step(key, part)
+
+    class Watermark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    operator = Seen()
+    operator.init(Held())
+    found = []
+    for ms, begin in ((0, 0), (0, 500), (0, 1_000), (0, 1_500), (1_500, None), (5_000, None)):
+        if begin is not None:
+            operator.handleInputRows(("a",), iter(rows[at : at + 50] for at in range(begin, begin + 500, 50)), None)
+        else:
+            found += operator.handleExpiredTimer(("a",), Watermark(ms), None)
+    found = pd.concat(found)
+    want = rows.groupby("ts_ns")[["bytes_in", "bytes_out"]].sum().cumsum()
+    assert found["ts_ns"].tolist() == want.index.tolist()
+    assert found["in_cum"].tolist() == want["bytes_in"].tolist() and found["out_cum"].tolist() == want["bytes_out"].tolist()
+    assert max(operator.sizes) < 400 and not operator.index.exists() and not operator.waiting.exists()
