@@ -17,6 +17,11 @@ POLLED_FEATURES = (
 )
 
 
+# Rows of a key, or of a time line, that one task sorts: keys of twice as many are cut. A sort of so many
+# wide rows takes some hundred megabytes.
+ROWS_PER_TASK = 1_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of the dataset build.
@@ -33,7 +38,7 @@ class Settings:
     history_k: int = 5
     elephant_fraction: float = 0.10
     link_mbps: float = 1000.0
-    rows_per_task: int = 4_000_000
+    rows_per_task: int = ROWS_PER_TASK
 
     @property
     def elephant_bps(self) -> float:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, Splits, copy_to_salts, find_splits, spread
 from flowloom.schemas import require_columns
 
@@ -59,7 +60,7 @@ def series_names(series: DataFrame) -> tuple[list[str], list[str]]:
     return polled, events
 
 
-def time_splits(*tables: tuple[DataFrame, str], rows_per_task: int = 4_000_000) -> Splits:
+def time_splits(*tables: tuple[DataFrame, str], rows_per_task: int = ROWS_PER_TASK) -> Splits:
     """One global time line cut so that no piece holds much more than a task's rows."""
     basis = None
     for df, ts in tables:
@@ -74,7 +75,7 @@ def extract_features(
     polled: Sequence[str] | None = None,
     events: Sequence[str] | None = None,
     pids: DataFrame | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> DataFrame:
     """JON-01, JON-02, RSH-02: flows x pids with the last sample at or before start.
@@ -93,7 +94,7 @@ def flow_states(
     polled: Sequence[str] | None = None,
     events: Sequence[str] | None = None,
     pids: DataFrame | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Every flow once, with ``STATES``: an array of one struct per pid (its ``pid`` and features), in pid order.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, Splits, copy_to_salts, find_splits, spread
 
 
@@ -31,7 +32,7 @@ def byte_moves(packets: DataFrame, vantage_ip: str | None) -> DataFrame:
     return packets.select("ts_ns", F.inline(ends)).select("ip", "ts_ns", "bytes_in", "bytes_out")
 
 
-def running_bytes(packets: DataFrame, rows_per_task: int = 4_000_000) -> DataFrame:
+def running_bytes(packets: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """AGG-02: bytes in and out of every address up to and including each instant.
 
     Rows are first summed per (address, instant), so the frame is a plain running
@@ -69,7 +70,7 @@ def running_bytes(packets: DataFrame, rows_per_task: int = 4_000_000) -> DataFra
     return local.select("ip", "ts_ns", "in_cum", "out_cum")
 
 
-def counter_splits(packets: DataFrame, vantage_ip: str | None, rows_per_task: int = 4_000_000) -> Splits:
+def counter_splits(packets: DataFrame, vantage_ip: str | None, rows_per_task: int = ROWS_PER_TASK) -> Splits:
     """Cuts per address.  Flow starts are packet times, so packets stand for both sides."""
     if vantage_ip:
         # a single address: its whole time line is what needs cutting
@@ -82,7 +83,7 @@ def asof_strict(
     flows: DataFrame,
     packets: DataFrame,
     vantage_ip: str | None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> DataFrame:
     """JON-03: bytes in and out of the vantage strictly before each flow starts.

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.functions.scalars import collective_bytes, mono_to_epoch
 from flowloom.operators.interval import interval_accumulate
 
@@ -73,7 +74,7 @@ def route_records(
     pids: DataFrame,
     interval_ns: int = 500_000,
     gpu: bool = False,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """STF-05: probe events to one series per (record, pid).
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, Splits, find_splits
 from flowloom.schemas import FLOW_KEY, require_columns
 
@@ -106,7 +107,7 @@ def packet_splits(packets: DataFrame, rows_per_task: int) -> Splits:
 def flow_aggregate(
     packets: DataFrame,
     gap_us: int,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> DataFrame:
     """WIN-01, AGG-01, WIN-02: one row per flow.
@@ -167,14 +168,14 @@ def _hot_key_positions(runs: DataFrame, keyed: DataFrame, splits: Splits) -> Dat
     )
 
 
-def number_flows(flows: DataFrame, rows_per_task: int = 4_000_000) -> DataFrame:
+def number_flows(flows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """WIN-05: dense ``flow_id``, 4-tuples by first appearance, then by time."""
     own = [c for c in flows.columns if c != "key_ord"]
     return dense_number(flows, "flow_id", "key_ord", "start_ts_ns", rows_per_task).select("flow_id", *own)
 
 
 def dense_number(
-    df: DataFrame, name: str, first: str, second: str, rows_per_task: int = 4_000_000
+    df: DataFrame, name: str, first: str, second: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Number rows 0.. by (first, second), both integral, without a global window."""
     splits = find_splits(df, (), first, second, rows_per_task)

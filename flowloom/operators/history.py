@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, HALO, Splits, find_splits, with_halo
 from flowloom.schemas import FLOW_KEY, require_columns
 
@@ -41,7 +42,7 @@ def add_history(
     df: DataFrame,
     k: int = 5,
     columns: Sequence[str] | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
     along: Sequence[str] = (),
 ) -> DataFrame:

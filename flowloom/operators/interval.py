@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.functions.scalars import mono_to_epoch
 from flowloom.operators.splits import CHUNK, Splits, find_splits
 from flowloom.session import checkpoint
@@ -122,7 +123,7 @@ def interval_accumulate(
     series: Sequence[str] = ("series",),
     exact: bool = False,
     clock_offset_ns: int = 0,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
     state: DataFrame | None = None,
     emission_times: bool = False,

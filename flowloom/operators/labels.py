@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, HALO, Splits, find_splits, with_halo
 from flowloom.schemas import require_columns
 
@@ -36,7 +37,7 @@ def label_splits(df: DataFrame, rows_per_task: int) -> Splits:
 
 
 def lead_next_size(
-    df: DataFrame, rows_per_task: int = 4_000_000, splits: Splits | None = None
+    df: DataFrame, rows_per_task: int = ROWS_PER_TASK, splits: Splits | None = None
 ) -> DataFrame:
     """WIN-04: ``y_next_size``, the total size of the source's next flow.
 
@@ -63,7 +64,7 @@ def lead_next_size(
 def add_labels(
     df: DataFrame,
     threshold_bps: float = 1e8,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> DataFrame:
     """PIP-04: duration_s, avg_rate_bps, y_is_elephant and y_next_size."""

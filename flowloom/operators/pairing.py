@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.splits import CHUNK, Splits, find_splits
 
 # The probe kinds of the log.
@@ -21,7 +22,7 @@ def keep_target_enters(log: DataFrame, pid: int | None) -> DataFrame:
 def pair_socket_writes(
     log: DataFrame,
     pid: int | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     splits: Splits | None = None,
 ) -> DataFrame:
     """STF-02: one row per write call that reached a socket.

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from flowloom.config import ROWS_PER_TASK
+
 CHUNK = "_chunk"
 HALO = "_halo"
 
@@ -136,7 +138,7 @@ def find_splits(
     keys: Sequence[str],
     ts: str,
     tie: str | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     seed: int = 17,
 ) -> Splits:
     """Sample ``df`` and choose cuts for keys above twice ``rows_per_task``.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.events import name_records, record_kinds
 from flowloom.operators.interval import interval_accumulate, next_state
 from flowloom.operators.pairing import ENTER, SEND, keep_target_enters, pair_socket_writes
@@ -64,7 +65,7 @@ def interval_batches(
     interval_ns: int,
     folder: str,
     series: Sequence[str] = ("series",),
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> StreamingQuery:
     """STR-05: interval accumulation; state is the last emission and the bytes since."""
     schema = StructType(
@@ -81,7 +82,7 @@ def interval_batches(
 
 
 def write_pair_batches(
-    log: DataFrame, folder: str, pid: int | None = None, rows_per_task: int = 4_000_000
+    log: DataFrame, folder: str, pid: int | None = None, rows_per_task: int = ROWS_PER_TASK
 ) -> StreamingQuery:
     """STR-06: socket writes; state is the entry, and a send if there was one, of every open call."""
     columns = ["ts_ns", "id", "kind", "ret", "ord"]
@@ -109,7 +110,7 @@ def routing_batches(
     interval_ns: int = 500_000,
     gpu: bool = False,
     pids: DataFrame | None = None,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> StreamingQuery:
     """STF-05: probe events routed to one series per (record, pid), batch by batch.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from flowloom.config import ROWS_PER_TASK
 from flowloom.operators.asof import extract_features
 from flowloom.operators.filters import feature_allowlist
 from flowloom.sources.proc import SNAPSHOT_FEATURES, file_features
@@ -44,7 +45,7 @@ def asof_stream(
     polled: Sequence[str],
     events: Sequence[str],
     pids: DataFrame,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     delay_ns: int = 3_600_000_000_000,
 ) -> StreamingQuery:
     """STR-03: last-value enrichment of a stream.
@@ -66,7 +67,7 @@ def asof_step(
     polled: Sequence[str],
     events: Sequence[str],
     pids: DataFrame,
-    rows_per_task: int = 4_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
     delay_ns: int = 3_600_000_000_000,
 ) -> Step:
     """What happens to one micro-batch of ``asof_stream``; done again, it writes the same folders again."""

@@ -166,3 +166,9 @@ def test_the_whole_dataset_equals_its_stages(spark, rows_per_task):
     assert sorted(map(str, whole.collect())) == sorted(map(str, staged.collect()))
     assert whole.count() == 3 * whole.select("flow_id").distinct().count()
     assert whole.agg(F.max("flow_id")).first()[0] + 1 == whole.select("flow_id").distinct().count()
+
+
+def test_a_time_line_of_three_million_rows_is_cut(spark):
+    rows = spark.range(3_000_000).select(F.col("id").alias("ts_ns"))
+    cut = asof.time_splits((rows, "ts_ns")).attach(rows).groupBy("_chunk").count().collect()
+    assert len(cut) > 1 and max(r["count"] for r in cut) <= 2_000_000
