@@ -10,8 +10,9 @@ increasing number along time for hot ones.  Operators window over
 
 The cuts are plain numbers frozen on the driver, so every branch of a plan and
 every retried task sees the same chunks.  They only decide balance: any cuts
-give the same results.  There are about ``rows / rows_per_task`` of them, which
-bounds the tables that are broadcast here.
+give the same results.  There are about ``rows / rows_per_task`` of them, or
+``MAX_CUTS`` if that is less and pieces of ``config.ROWS_PER_TASK`` rows allow
+it, which bounds the lists on the driver and the tables that are broadcast here.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HALO = "_halo"
 
 SAMPLES_PER_TASK = 64
 SUB_CHUNKS = 1 << 20
+# Cuts of one table, if pieces smaller than the default would give more.
+MAX_CUTS = 4096
 # Positions within a key run from 0 up to this.
 TOP = 1.0 - 1e-6
 
@@ -145,18 +148,26 @@ def find_splits(
 
     ``ts`` and ``tie`` must be integral.  The rows of the sample alone decide: how
     many bytes the source has on disk says little about how many rows it yields.
+    Pieces of so few rows that there would be more than ``MAX_CUTS`` are made larger.
     """
     keys = tuple(keys)
     result = Splits(keys, ts, tie)
-    fraction = min(1.0, SAMPLES_PER_TASK / rows_per_task)
-    step = max(1, round(rows_per_task * fraction))
     columns = [*keys, ts] + ([tie] if tie else [])
     sample = df.select(*columns).where(F.col(ts).isNotNull())
+    if rows_per_task < ROWS_PER_TASK:
+        rows_per_task = _piece_rows(sample.count(), rows_per_task)
+    fraction = min(1.0, SAMPLES_PER_TASK / rows_per_task)
+    step = max(1, round(rows_per_task * fraction))
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=seed)
     return _keyed_cuts(sample, result, step) if keys else _global_cuts(sample, result, step)
 
 
+def _piece_rows(rows: int, rows_per_task: int) -> int:
+    """Rows of a piece: as asked, or what keeps ``rows`` within ``MAX_CUTS``, but not above the default for that."""
+    return max(rows_per_task, min(ROWS_PER_TASK, -(-rows // MAX_CUTS)))
+
+
 def _keyed_cuts(sample: DataFrame, result: Splits, step: int) -> Splits:
     keys, ts, tie = result.keys, result.ts, result.tie
     by_key = Window.partitionBy(*keys)

@@ -57,3 +57,18 @@ def test_cutting_goes_by_rows_not_by_bytes(spark, tmp_path):
     splits = find_splits(rows, ("k",), "t", None, 2_000)
     assert not splits.trivial
     assert max(r["count"] for r in splits.attach(rows).groupBy(CHUNK).count().collect()) <= 2 * 2_000
+
+
+def test_small_pieces_give_a_bounded_number_of_cuts(spark):
+    """However few rows a piece is to have, the driver holds no more cuts than it is meant to, with and without keys."""
+    from pyspark.sql import functions as F
+
+    from flowloom.operators.splits import CHUNK, MAX_CUTS, find_splits
+
+    n = 100_000
+    rows = spark.range(0, n, 1, 4).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    for keys in (("k",), ()):
+        splits = find_splits(rows, keys, "t", None, 3)
+        assert MAX_CUTS / 2 < len(splits.cuts) < 1.2 * MAX_CUTS
+        pieces = splits.attach(rows).groupBy(*keys, CHUNK).count().agg(F.max("count"), F.sum("count")).first()
+        assert pieces[0] < 10 * n / MAX_CUTS and pieces[1] == n
