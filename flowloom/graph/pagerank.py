@@ -107,7 +107,8 @@ def inflows(graph: Graph, ranks: DataFrame) -> DataFrame:
     if "lane" in graph.join_on:
         share = share.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
     return (
-        graph.edges.join(share, graph.join_on)
+        # the vertices of a bucket are hashed; a merge would sort the edges again in every round
+        graph.edges.join(share.hint("shuffle_hash"), graph.join_on)
         .groupBy(F.col("dst").alias("id"))
         .agg(F.sum(F.col("share") * F.col("copies")).alias("inflow"))
     )

@@ -18,8 +18,13 @@ from flowloom.sources.readers import read_edges, read_idx_images, read_libsvm, r
 
 
 def pagerank_job(spark: SparkSession, path: str, iterations: int = 40, partitions: int = 256, k: int = 10) -> DataFrame:
-    """PIP-06: the k highest ranked vertices of an edge list file."""
-    edges = repartition(exists_check(read_edges(spark, path), "edges"), partitions)
+    """PIP-06: the k highest ranked vertices of an edge list file.
+
+    The edges are spread over ``partitions`` unless the file is read in as many parts anyway.
+    """
+    edges = exists_check(read_edges(spark, path), "edges")
+    if edges.rdd.getNumPartitions() < partitions:
+        edges = repartition(edges, partitions)
     return pagerank_top_k(edges, iterations, k)
 
 

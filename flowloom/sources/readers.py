@@ -264,12 +264,17 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_edges(lines: DataFrame, column: str = "value") -> DataFrame:
-    part = F.split(strip(F.col(column)), r"[,\s]+")
-    ends = lines.select(F.get(part, F.lit(0)).alias("s"), F.get(part, F.lit(1)).alias("d"))
-    digits = r"^\d+$"
+    """The first two parts of every line, if both are numbers; a line is taken apart once, below the filters."""
+    line, digit = F.col(column), lambda c: c.between("0", "9")
+    # most lines begin and end with a digit, where nothing is to be stripped
+    line = F.when(digit(F.left(line, F.lit(1))) & digit(F.right(line, F.lit(1))), line).otherwise(strip(line))
+    part = F.split(F.regexp_replace(line, r"[,\s]+", " "), " ")
+    # filters are not pushed below an explode, so they do not repeat what is in it
+    parts = lines.select(F.explode(F.array(part)).alias("part"))
+    s, d, digits = F.get("part", F.lit(0)), F.get("part", F.lit(1)), r"^\d+$"
     return (
-        ends.where(F.col("s").rlike(digits) & F.col("d").rlike(digits))
-        .select(F.col("s").try_cast("bigint").alias("src"), F.col("d").try_cast("bigint").alias("dst"))
+        parts.where(s.rlike(digits) & d.rlike(digits))
+        .select(s.try_cast("bigint").alias("src"), d.try_cast("bigint").alias("dst"))
         .where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     )
 

@@ -123,6 +123,23 @@ def test_a_round_shuffles_no_edges(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_a_round_sorts_no_edges(spark):
+    edges = model.table(spark, [(i % 7, i % 5) for i in range(60)], "src long, dst long")
+    graph = G.build_graph(edges)
+    plan = G.inflows(graph, graph.vertices.withColumn("rank", F.lit(1.0)))._jdf.queryExecution().executedPlan().toString()
+    graph.forget()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_the_job_moves_no_edges_of_a_file_in_many_parts(spark, tmp_path, monkeypatch):
+    moved = []
+    monkeypatch.setattr(jobs, "repartition", lambda df, n: moved.append(n) or df.repartition(n))
+    spark.range(40).repartition(4).select(F.concat_ws(" ", F.lit(1), "id").alias("value")).write.text(str(tmp_path / "e"))
+    parts = jobs.read_edges(spark, str(tmp_path / "e")).rdd.getNumPartitions()
+    few, many = (jobs.pagerank_job(spark, str(tmp_path / "e"), 2, n, 3).collect() for n in (parts, parts + 1))
+    assert moved == [parts + 1] and [r.id for r in few] == [r.id for r in many]
+
+
 DOCS = [
     ({"title": " T\n", "paragraphs": [{"context": "\tC ", "qas": [
         {"question": " q1 ", "answers": [{"text": " yes "}, {"text": ""}, {"text": "  "}]},

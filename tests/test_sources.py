@@ -102,6 +102,14 @@ def test_edges_and_pids(spark, tmp_path):
     assert [r.pid for r in pids.collect()] == [3, 5, 9]
 
 
+def test_a_line_of_an_edge_list_is_taken_apart_once(spark):
+    lines = ["1\u00a02", "\u00a03\u20034\u00a0", "\u20035 6\u2003", "7,,8", "9 , 10 x", "11 12,", ",13 14", "15 16x", "+17 18", "01 002", None]
+    edges = readers.parse_edges(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(tuple(r) for r in edges.collect()) == [(1, 2), (5, 6), (7, 8), (9, 10), (11, 12)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def idx(images):
     n, h, w = images.shape
     return struct.pack(">iiii", 2051, n, h, w) + images.astype("uint8").tobytes()
