@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.config import Settings
-from flowloom.operators import asof, history, labels
+from flowloom.operators import asof, history, labels, splits
 from flowloom.plans.dataset import build_dataset, extract_flows
 from tests import model
 
@@ -168,6 +168,20 @@ def test_the_whole_dataset_equals_its_stages(spark, rows_per_task):
     assert whole.agg(F.max("flow_id")).first()[0] + 1 == whole.select("flow_id").distinct().count()
 
 
+def test_the_whole_dataset_with_few_cuts_for_pieces_of_three_rows(spark, monkeypatch):
+    """The driver's bound on cuts makes pieces larger and changes no row."""
+    found = []
+    find = splits._global_cuts
+    monkeypatch.setattr(splits, "_global_cuts", lambda *a: found.append(find(*a)) or found[-1])
+    packets = model.table(spark, [(p[0], f"{p[0] / 1e9:.6f}", *p[2:]) for p in model.random_packets(21, 200, hot=0.4)], model.PACKET_DDL)
+    samples = model.table(spark, [(p, k, f, t * 4000, v, o) for p, k, f, t, v, o in series(8, 100)], SERIES)
+    settings = Settings(host_ip="h", flow_gap_us=9)
+    whole = sorted(map(str, build_dataset(packets, samples, settings).collect()))
+    monkeypatch.setattr(splits, "MAX_CUTS", 6)
+    assert sorted(map(str, build_dataset(packets, samples, settings.with_(rows_per_task=3)).collect())) == whole
+    assert 0 < max(len(s.cuts) for s in found) <= 2 * 6
+
+
 def test_a_time_line_of_three_million_rows_is_cut(spark):
     rows = spark.range(3_000_000).select(F.col("id").alias("ts_ns"))
     cut = asof.time_splits((rows, "ts_ns")).attach(rows).groupBy("_chunk").count().collect()
