@@ -39,3 +39,27 @@ def maybe_held(key: Column, table: DataFrame, bits: int = BITS) -> Column:
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
     return F.coalesce(bit == 1, F.lit(False))
+
+
+def word_table(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """One row: the same filter as numbers of 32 bits, which are tested without copying a bitmap for every row."""
+    word = lambda i: F.conv(F.hex(F.substring("bitmap", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    h = F.pmod(key, F.lit(bits))
+    held = (
+        keys.groupBy(F.floor(h / _BITMAP).cast("int").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.pmod(h, F.lit(_BITMAP))).alias("bitmap"))
+        .select("bucket", F.transform(F.sequence(F.lit(0), F.lit(_BITMAP // 32 - 1)), word).alias("words"))
+    )
+    buckets = keys.sparkSession.range(0, bits // _BITMAP, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    rows = buckets.join(held, "bucket", "left").agg(F.sort_array(F.collect_list(F.struct("bucket", "words"))).alias("rows"))
+    return rows.select(F.transform("rows", lambda r: r["words"]).alias("held"))
+
+
+def maybe_in_words(key: Column, table: DataFrame, bits: int) -> Column:
+    """Whether a ``word_table`` may hold a key; false only for keys that it was not given."""
+    h = F.pmod(key, F.lit(bits))
+    words = F.get(table.scalar(), F.shiftright(h, _BITMAP.bit_length() - 1).cast("int"))
+    word = F.get(words, F.shiftright(h, 5).bitwiseAND(F.lit(_BITMAP // 32 - 1)).cast("int"))
+    # the bytes of a bitmap are read as one number, the first as its highest
+    place = h.bitwiseAND(F.lit(31)).bitwiseXOR(F.lit(24)).cast("int")
+    return F.coalesce(F.call_function("shiftright", word, place).bitwiseAND(F.lit(1)) == 1, F.lit(False))

@@ -11,22 +11,25 @@ equal lines meet once, with a map-side minimum, before any join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.frames import pick, stored
-from flowloom.llm.keyfilter import bits_for, filter_table, maybe_held
+from flowloom.llm.keyfilter import bits_for, maybe_in_words, word_table
 
 # Words are counted in this many hashed cells; a cell's class orders its words.
 CELLS = 1 << 17
-# Words of a set flip one of PARITY bits each, kept in two numbers.  They rule out
+# Words of a set flip one of 128 bits each, kept in two numbers.  They rule out
 # partners and never tell sets apart.
-WIDE, NARROW = 64, 40
-PARITY = WIDE + NARROW
+_HALF = 6
 # Of a set's rarest words, so many are asked for their heads.
 HEAD_WORDS = 4
+# Prefixes are shuffled in so many shares, by word, one after the other: a share at a time lies on disk.
+SHARES = 2
 _KEY_BITS = 56
 
 
@@ -61,10 +64,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     Words stand between blanks.  Rows that repeat both id and text share a key.
     """
-    text = F.col("text")
-    # hashed in a step of its own: beside the explode the whole text would be hashed once per line
-    keyed = docs.where(text.isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
-    lines = keyed.select("doc_id", "rk", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return _split(_keyed(docs))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with their key, hashed in a step of its own: beside the explode the whole text would be hashed once per line."""
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+
+
+def _split(keyed: DataFrame) -> DataFrame:
+    lines = keyed.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.where(F.trim("line") != "")
 
 
@@ -85,26 +94,25 @@ def rarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Every line as ``set_hash, word_xor, parity, narrow, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first.
+    """Every line as ``id, set_hash, word_xor, even, odd, n, doc_id, rk, pos, prefix``: its set, and the rarest words of it, rarest first.
 
     Equal sets agree in two hashes of 64 bits made in different ways: one of the sorted
-    keys, and the exclusive or of the whole word hashes.
+    keys, and the exclusive or of the whole word hashes.  Ids are short, and what they
+    are is settled when the lines are written.
     """
     keyed = word_keys(_lines(docs), classes)
     n = F.size("keys")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def parity(first: int, bits: int) -> Column:
-        """Parities of the words that fall on bits [first, first + bits)."""
-        place = lambda k: F.pmod(k, F.lit(PARITY)).cast("int") - first
-        flipped = lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
-        return F.aggregate("keys", zero, lambda s, k: F.when(place(k).between(0, bits - 1), flipped(s, k)).otherwise(s))
-
+    place = lambda k: k.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("int")
+    half = lambda k: F.shiftright(k, _HALF).bitwiseAND(one)
+    flipped = lambda s, bit, k: s.bitwiseXOR(F.call_function("shiftleft", bit, place(k)))
     return keyed.select(
+        F.monotonically_increasing_id().alias("id"),
         F.xxhash64("keys").alias("set_hash"),
         "word_xor",
-        parity(0, WIDE).alias("parity"),
-        parity(WIDE, NARROW).alias("narrow"),
+        # over all words, and over those of the odd half alone
+        F.aggregate("keys", zero, lambda s, k: flipped(s, one, k)).alias("all"),
+        F.aggregate("keys", zero, lambda s, k: flipped(s, half(k), k)).alias("odd"),
         n.alias("n"),
         "doc_id",
         "rk",
@@ -112,7 +120,7 @@ def line_sets(docs: DataFrame, classes: DataFrame, similarity: Similarity) -> Da
         F.transform(
             F.slice("keys", F.lit(1), similarity.prefix(n)), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
         ).alias("prefix"),
-    )
+    ).select("id", "set_hash", "word_xor", F.col("all").bitwiseXOR(F.col("odd")).alias("even"), "odd", "n", "doc_id", "rk", "pos", "prefix")
 
 
 def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -121,9 +129,9 @@ def word_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
     ranked = lines.withColumn("levels", classes.scalar())
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    keys = F.transform(
-        "hashes", lambda h: F.shiftleft(F.get("levels", cell(h)).cast("long"), _KEY_BITS).bitwiseOR(h.bitwiseAND(mask))
-    )
+    # every cell has a level: said so, keys are known not to be null and are sorted as plain numbers
+    level = lambda h: F.coalesce(F.get("levels", cell(h)).cast("long"), F.lit(0).cast("long"))
+    keys = F.transform("hashes", lambda h: F.shiftleft(level(h), _KEY_BITS).bitwiseOR(h.bitwiseAND(mask)))
     xor = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h))
     keyed = ranked.withColumn("hashes", hashes).withColumn("keys", F.sort_array(keys)).withColumn("word_xor", xor)
     return keyed.drop("line", "levels", "hashes")
@@ -134,28 +142,70 @@ def _least_size(similarity: Similarity) -> int:
     return similarity.under - 1 if similarity.under == similarity.over + 1 else 1
 
 
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """The sets of the lines: ``id, set_hash, word_xor, first, times, n, even, odd, prefix``.
+
+    Most sets are held by one line, which is not moved: hashes are counted first, and
+    only lines whose hash is among the repeated ones are grouped.
+    """
+    often = lines.groupBy("set_hash", "word_xor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    held = _filter(stored(often.select("set_hash"), "repeated-hashes"), "set_hash", "set_hash")
+    place = F.struct("doc_id", "rk", "pos")
+    kept = ["n", "even", "odd", "prefix"]
+    single = lines.where(~held).select("id", "set_hash", "word_xor", place.alias("first"), F.lit(1).cast("long").alias("times"), *kept)
+    several = lines.where(held).groupBy("set_hash", "word_xor").agg(
+        F.min("id").alias("id"),
+        F.min(place).alias("first"),
+        F.count(F.lit(1)).alias("times"),
+        *[F.first(c).alias(c) for c in kept],
+    )
+    return single.unionByName(stored(several, "repeated-sets"))
+
+
+def _filter(keys: DataFrame, key: str | Column, column: str | Column) -> Column:
+    """Whether ``column`` may be among the (long, evenly spread) keys of a stored table: a key filter sized by their number."""
+    bits = bits_for(keys.count())
+    key = F.col(key) if isinstance(key, str) else key
+    table = stored(word_table(keys.select(key.alias("key")), "key", bits), "filter")
+    return maybe_in_words(F.col(column) if isinstance(column, str) else column, table, bits)
+
+
 def head_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     """At most one pair for each set, with an earlier one of which it shares a rare word: ``later, other, same``.
 
     Each of a set's rarest words has one head, the earliest set that holds it there.
     Groups of near copies, however large, thus meet in as many pairs as members.
     """
-    near = sets.where(F.col("n") >= _least_size(similarity)).select(
-        "id", "n", "parity", "narrow", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
+    all_near = sets.where(F.col("n") >= _least_size(similarity)).select(
+        "id", "n", "even", "odd", "first", F.explode(F.slice("prefix", F.lit(1), F.lit(HEAD_WORDS))).alias("word")
     )
-    heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "parity", "narrow")).alias("head"))
     n, m = F.col("n"), F.col("head.n")
     apart = _apart(F.col, lambda c: F.col(f"head.{c}"))
     fits = similarity.lengths_fit(n, m) & (apart <= n + m - similarity.overlap(n, m) * 2)
-    met = near.join(heads, "word").where((F.col("head.first") < F.col("first")) & fits)
-    best = met.groupBy("id").agg(F.min(F.struct(apart.alias("apart"), F.col("head.id").alias("other"))).alias("best"))
+
+    def share(k: int) -> DataFrame:
+        near = all_near.where(_share("word", k))
+        heads = near.groupBy("word").agg(F.min(F.struct("first", "id", "n", "even", "odd")).alias("head"))
+        met = near.join(heads, "word").where((F.col("head.first") < F.col("first")) & fits)
+        return met.select("id", apart.alias("apart"), F.col("head.id").alias("other"))
+
+    best = _in_shares(share, "met-heads").groupBy("id").agg(F.min(F.struct("apart", "other")).alias("best"))
     return best.select(F.col("id").alias("later"), "best.other", F.lit(False).alias("same"))
 
 
+def _share(word: str, k: int) -> Column:
+    return F.pmod(F.col(word), F.lit(SHARES)) == k
+
+
+def _in_shares(share: Callable[[int], DataFrame], name: str) -> DataFrame:
+    """The rows of all shares of the words, each found and written before the next is begun."""
+    return reduce(DataFrame.union, [stored(share(k), name) for k in range(SHARES)])
+
+
 def _apart(x, y) -> Column:
     """Words in which two sets differ at least, by their parities; ``x`` and ``y`` give the columns of each."""
-    wide, narrow = (F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("parity", "narrow"))
-    return wide + narrow
+    even, odd = (F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("even", "odd"))
+    return even + odd
 
 
 def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -170,8 +220,7 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     The first common word of similar sets leaves both enough words for the overlap that
     they need; partners met at later words only are no candidates.
     """
-    entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "parity", "narrow", F.posexplode("prefix").alias("at", "word"))
-    one, two = entries.alias("x"), entries.alias("y")
+    all_entries = sets.where(F.col("n") >= _least_size(similarity)).select("id", "open", "n", F.col("first.doc_id").alias("doc"), "even", "odd", F.posexplode("prefix").alias("at", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = similarity.overlap(x("n"), y("n"))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
@@ -181,41 +230,41 @@ def similar_candidates(sets: DataFrame, similarity: Similarity) -> DataFrame:
     follows = F.coalesce(x("doc") > y("doc"), x("doc").isNotNull())  # null ids come first
     # x is open; written alike over both sides, so that neither is filtered below and they share one shuffle
     asks = x("open").cast("int") * 2 + y("open").cast("int") >= 2
-    pairs = one.join(two, (x("word") == y("word")) & asks & (x("id") != y("id")) & (same | follows) & fits)
-    return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
+    def share(k: int) -> DataFrame:
+        entries = all_entries.where(_share("word", k))
+        one, two = entries.alias("x"), entries.alias("y")
+        pairs = one.join(two, (x("word") == y("word")) & asks & (x("id") != y("id")) & (same | follows) & fits)
+        return pairs.select(x("id").alias("later"), y("id").alias("other"), apart.alias("apart"), same.alias("same")).distinct()
 
-def line_texts(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """One line of every set in the pairs, its first: ``id, line``.
+    return _in_shares(share, "met").distinct()
 
-    A key filter of lines keeps the others from being shuffled.
+
+def line_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """One line of every set in the pairs, its first: ``id, first, line``.
+
+    Key filters of sets, documents and lines keep the others from being shuffled.
     """
-    asked = pairs.select(F.explode(F.array("later", "other")).alias("id")).distinct()
-    wanted = stored(asked.join(firsts, "id").select("id", "first.rk", "first.pos"), "asked-lines")
+    asked = stored(pairs.select(F.explode(F.array("later", "other")).alias("id")).distinct(), "asked")
+    wanted = stored(sets.where(_filter(asked, F.xxhash64("id"), F.xxhash64("id"))).select("id", "first").join(asked, "id").select("id", "first", "first.rk", "first.pos"), "asked-lines")
+    rows = _keyed(docs).where(_filter(wanted, "rk", "rk"))
     key = F.xxhash64("rk", "pos")
-    bits = bits_for(wanted.count())
-    held = maybe_held(key, filter_table(wanted.select(key.alias("line")), "line", bits), bits)
-    lines = _lines(docs).where(held).select("rk", "pos", "line")
+    lines = _split(rows).where(_filter(wanted, key, key)).select("rk", "pos", "line")
     # rows that repeat id and text give the same lines again
-    return lines.join(wanted, ["rk", "pos"]).select("id", "line").dropDuplicates(["id"])
+    return lines.join(wanted, ["rk", "pos"]).select("id", "first", "line").dropDuplicates(["id"])
 
 
 def _words(line: str) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, similarity: Similarity) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
     """Sets that have an earlier similar one among the pairs, compared word by word: ``later``."""
-    one = texts.select(F.col("id").alias("later"), F.col("line").alias("la"))
-    two = texts.select(F.col("id").alias("other"), F.col("line").alias("lb"))
-    both = pairs.join(one, "later").join(two, "other").select("later", "other", "same", _words("la").alias("wa"), _words("lb").alias("wb"))
+    one = texts.select(F.col("id").alias("later"), F.col("first").alias("mine"), F.col("line").alias("la"))
+    two = texts.select(F.col("id").alias("other"), F.col("first").alias("theirs"), F.col("line").alias("lb"))
+    both = pairs.join(one, "later").join(two, "other").where("not same or theirs < mine").select("later", _words("la").alias("wa"), _words("lb").alias("wb"))
     enough = F.size(F.array_intersect("wa", "wb")) >= similarity.overlap(F.size("wa"), F.size("wb"))
-    similar = stored(both.select("later", "other", "same", enough.alias("enough")).where("enough"), "similar-lines")
-    inside = similar.where("same")
-    mine = firsts.select(F.col("id").alias("later"), F.col("first").alias("mine"))
-    theirs = firsts.select(F.col("id").alias("other"), F.col("first").alias("theirs"))
-    inside = inside.join(mine, "later").join(theirs, "other").where("theirs < mine")
-    return similar.where("not same").select("later").union(inside.select("later")).distinct()
+    return both.where(enough).select("later").distinct()
 
 
 def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
@@ -229,37 +278,32 @@ def later_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataF
     """
     classes = stored(rarity_classes(docs), "word-classes")
     lines = stored(line_sets(docs, classes, similarity), "lines")
-    sets = lines.groupBy("set_hash", "word_xor").agg(
-        F.min(F.struct("doc_id", "rk", "pos")).alias("first"),
-        F.count(F.lit(1)).alias("times"),
-        F.first("n").alias("n"),
-        F.first("parity").alias("parity"),
-        F.first("narrow").alias("narrow"),
-        F.first("prefix").alias("prefix"),
-    )
-    # numbered once, on writing: a short id for the joins of pairs, whatever the hashes
-    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    firsts = sets.select("id", "set_hash", "word_xor", "first", "times")
+    sets = distinct_sets(lines)
     tried = stored(head_candidates(sets, similarity), "head-candidates")
-    gone = stored(verified(tried, stored(line_texts(tried, firsts, docs), "line-texts"), firsts, similarity), "gone")
-    settled = gone.select(F.col("later").alias("id"), F.lit(False).alias("open"))
-    opened = stored(sets.drop("set_hash", "word_xor").join(settled, "id", "left").withColumn("open", F.coalesce("open", F.lit(True))), "open-sets")
-    pairs = stored(similar_candidates(opened, similarity), "candidates")
-    texts = stored(line_texts(pairs, firsts, docs), "line-texts")
+    gone = stored(verified(tried, stored(line_texts(tried, sets, docs), "line-texts"), similarity), "gone")
+    pairs = stored(similar_candidates(_marked(sets, gone, "settled").withColumn("open", ~F.col("settled")), similarity), "candidates")
+    texts = stored(line_texts(pairs, sets, docs), "line-texts")
     nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "other", "same")).alias("best"))
-    more = verified(nearest.select("later", "best.other", "best.same"), texts, firsts, similarity)
+    more = verified(nearest.select("later", "best.other", "best.same"), texts, similarity)
     gone = stored(gone.union(more), "gone")
     open_still = pairs.join(gone, "later", "left_anti")
-    gone = stored(gone.union(verified(open_still, texts, firsts, similarity)).distinct(), "gone")
-    marked = (
-        firsts.join(gone.select(F.col("later").alias("id"), F.lit(True).alias("whole")), "id", "left")
-        .where("times > 1 or whole")
-        .select("set_hash", "word_xor", "first", F.coalesce("whole", F.lit(False)).alias("whole"))
-    )
-    repeated = lines.join(marked, ["set_hash", "word_xor"]).where(F.col("whole") | (F.struct("doc_id", "rk", "pos") > F.col("first")))
+    gone = stored(gone.union(verified(open_still, texts, similarity)).distinct(), "gone")
+    again = stored(
+        _marked(sets.select("id", "set_hash", "word_xor", "first", "times"), gone, "whole").where("times > 1 or whole"), "again"
+    ).select("set_hash", "word_xor", "first", "whole")
+    held = _filter(again, "set_hash", "set_hash")
+    repeated = lines.where(held).join(again, ["set_hash", "word_xor"]).where(F.col("whole") | (F.struct("doc_id", "rk", "pos") > F.col("first")))
     return repeated.groupBy("rk").agg(F.collect_set("pos").alias("later"))
 
 
+def _marked(sets: DataFrame, found: DataFrame, mark: str) -> DataFrame:
+    """The sets with a column that tells those found; sets that a key filter rules out take part in no join."""
+    maybe = _filter(found, F.xxhash64("later"), F.xxhash64("id"))
+    known = found.select(F.col("later").alias("id"), F.lit(True).alias("_found"))
+    joined = sets.where(maybe).join(known, "id", "left").withColumn(mark, F.coalesce("_found", F.lit(False))).drop("_found")
+    return sets.where(~maybe).withColumn(mark, F.lit(False)).unionByName(stored(joined, mark))
+
+
 def cut_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
     """All rows and columns of the documents, and of each ``cut`` (its new text), ``n_lines`` and ``n_removed``.
 
@@ -271,8 +315,7 @@ def cut_lines(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFra
     doc_id, text = (F.col(f"_{columns.index(n)}") for n in ("doc_id", "text"))
     later = stored(later_lines(pick(docs, "doc_id", "text"), similarity), "later-lines")
     keyed = bare.withColumn("rk", F.xxhash64(doc_id, text))
-    bits = bits_for(later.count())
-    touched = maybe_held(F.col("rk"), filter_table(later, "rk", bits), bits)
+    touched = _filter(later, "rk", "rk")
     lines = F.split(text, "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "later")

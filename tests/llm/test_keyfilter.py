@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,3 +24,18 @@ def test_no_keys_hold_nothing(spark):
 
 def test_size_follows_the_keys():
     assert K.bits_for(0) == 1 << 16 and K.bits_for(10**5) == 1 << 21 and K.bits_for(10**12) == K.MOST_BITS
+
+
+def test_a_filter_in_words_holds_what_the_bitmaps_hold(spark):
+    for size in (0, 3, 20_000):
+        rng = random.Random(size)
+        keys = [rng.randrange(-(2**63), 2**63) for _ in range(size)]
+        bits = K.bits_for(size)
+        given = spark.createDataFrame([(k,) for k in keys], "k long")
+        asked = spark.createDataFrame([(k,) for k in keys + [rng.randrange(-(2**63), 2**63) for _ in range(20_000)]], "k long")
+        found = asked.select(
+            K.maybe_in_words(F.col("k"), K.word_table(given, "k", bits), bits).alias("words"),
+            K.maybe_held(F.col("k"), K.filter_table(given, "k", bits), bits).alias("bitmaps"),
+        )
+        assert found.where("words <> bitmaps or words is null").count() == 0
+        assert given.where(~K.maybe_in_words(F.col("k"), K.word_table(given, "k", bits), bits)).count() == 0

@@ -84,3 +84,15 @@ def test_every_word_gives_a_whole_hash_of_its_own(spark):
     lines = spark.createDataFrame([(1, 1, 0, f"only{i}") for i in range(40_000)], "doc_id long, rk long, pos int, line string")
     keys = L.word_keys(lines, spark.sql(f"SELECT array_repeat(0Y, {L.CELLS}) AS levels"))
     assert keys.select("word_xor").distinct().count() == keys.select("keys").distinct().count() == 40_000
+
+
+def test_lines_that_stand_alone_are_not_grouped(spark, monkeypatch):
+    texts = [f"line n{i} has words a{i} b{i} of its own" for i in range(300)]
+    docs = documents(spark, [*texts, texts[7], "own its of b9 a9 words has n9 line"])
+    lines = L.stored(L.line_sets(docs, L.rarity_classes(docs), L.Similarity()), "lines")
+    written, stored = {}, L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    sets = L.distinct_sets(lines)
+    assert sets.select("id").distinct().count() == sets.count() == 300
+    assert sorted(r.times for r in written["repeated-sets"].collect()) == [2, 2]
+    assert {r.first.doc_id for r in written["repeated-sets"].collect()} == {r.doc_id for r in docs.where("text in ('%s', '%s')" % (texts[7], texts[9])).groupBy("text").min("doc_id").withColumnRenamed("min(doc_id)", "doc_id").collect()}
